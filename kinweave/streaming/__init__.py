@@ -1,0 +1,2 @@
+"""The eight questions are batch questions: "latest" means the latest time in the data, and averages
+run over all people. Nothing here needs a stream, so the package holds no streaming operator."""
