@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,29 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def append(df: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], column: str = "text", rows: int = 512) -> DataFrame:
+    """df with columns of a DDL schema added, computed in Python from one column a few rows at a time.
+
+    make() runs once in each task and returns a function from a list of values to one list or Arrow
+    array for each added column. Input columns that are named like an added one are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T.StructType.fromDDL(schema)
+    df = df.select(*[c for c in df.columns if c not in added.names])
+    out = T.StructType([*df.schema.fields, *added.fields])
+    types = [f.type for f in to_arrow_schema(added)]
+
+    def run(batches):
+        apply = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(apply(piece.column(column).to_pylist()), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *added.names])
+
+    return df.mapInArrow(run, out)

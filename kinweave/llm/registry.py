@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinweave.llm import query_native
+from kinweave.llm import query_native, query_simhash
 
-MODULES = [query_native]
+MODULES = [query_native, query_simhash]
 
 
 def queries():
