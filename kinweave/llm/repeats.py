@@ -9,12 +9,14 @@ or settled past the threshold, as in prefix doubling over a suffix array:
    in a hundred is one. An anchor whose gram occurs once is unique: none of its windows repeat.
 2. Contexts, all bytes of an anchor's windows. If a context occurs twice, all its windows repeat, past
    the threshold; copies of whole texts end here.
-3. Windows, `length` bytes. Only contexts that are alone of their kind, but whose gram has others, lay
-   out their windows. Those that meet in one task are settled there and go on as one row; so a window
-   common to a third of all texts gives no more rows than there are batches. The rest meet by Spark's sort.
+3. Windows, `length` bytes. Of the contexts whose gram has others, one of each kind lays out its
+   windows, which again meet.
+
+Both times, items that meet in one batch of a task are settled there and go on as one row, so what is
+common to a third of all texts gives no more rows than there are batches; the rest meet by Spark's sort.
 4. A text's settled windows become intervals, and what they cover is cut out.
 
-Keys are 64-bit hashes, at the last stage two of them. A null text counts as an empty one; texts under
+Keys are two hashes, together 96 bits or more. A null text counts as an empty one; texts under
 `length` bytes lose nothing. Repeated rows are occurrences of their own, so both lose what they share.
 What is kept of a text is bytes: a cut may go through a character. Columns other than doc_id and text
 are not read. The input must give its rows in the same order each time it is read, as files do.
@@ -30,74 +32,82 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import cut_table
-from kinweave.llm.substrings import Hashed, anchors
+from kinweave.llm.substrings import Hashed, anchors, mix
 
 #: Windows that a task compares among themselves before it passes them on.
 BATCH_WINDOWS = 1 << 20
 
 
-def _anchors(length: int, gram: int):
-    def run(batches):
-        import pyarrow as pa
+def settle(first_key: np.ndarray, second_key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For items with two hashes and a number of occurrences: which repeat for sure, the first item of
+    each kind, in order, and the occurrences of each first's kind."""
+    order = np.lexsort((second_key, first_key))
+    a, b = first_key[order], second_key[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    kind = np.cumsum(new) - 1
+    total = np.bincount(kind, weights=n[order]).astype(np.int64)
+    repeats = np.empty(len(order), bool)
+    repeats[order] = total[kind] > 1
+    first = order[new]
+    back = np.argsort(first)
+    return repeats, first[back], total[back]
 
-        for batch in batches:
-            rows, texts = batch.column("row"), batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                out = []
-                for i in range(at, min(at + 256, batch.num_rows)):
-                    data = (texts[i].as_py() or "").encode()
-                    if len(data) >= length:
-                        lo, hi, g, context = anchors(Hashed(data), length, gram)
-                        out.append((np.full(len(lo), rows[i].as_py()), lo, hi, g, context))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "lo", "hi", "g", "context"])
 
-    return run
+def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g: np.ndarray, n: np.ndarray):
+    """Rows (row, lo, hi, key, g, n) for ranges of windows: one for each kind of this batch, n at most 2,
+    and with n = 0, under a key of their own, the ranges that repeat for sure, adjoining ones as one."""
+    import pyarrow as pa
 
+    repeats, first, total = settle(key, g, n)
+    done = np.flatnonzero(repeats & (n == 1))
+    r, a, b = row[done], lo[done], hi[done]
+    new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (a[1:] != b[:-1] + 1)]) if len(done) else done
+    last = np.r_[new[1:], len(done)] - 1 if len(done) else done
+    own = mix((r[new].astype(np.uint64) << np.uint64(24)) + a[new].astype(np.uint64)).view(np.int64)
+    none = np.zeros(len(new), np.int64)
+    columns = zip((r[new], a[new], b[last], own, none, none), (row[first], lo[first], hi[first], key[first], g[first], np.minimum(total, 2)), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=NAMES_RANGE)
 
-def settle(window: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For windows (hash, gram hash, occurrences): which repeat for sure, the first of each kind, and
-    the occurrences of each first's kind."""
-    order = np.lexsort((g, window))
-    new = np.r_[True, (window[order][1:] != window[order][:-1]) | (g[order][1:] != g[order][:-1])]
-    kind = np.cumsum(new) - 1
-    total = np.bincount(kind, weights=n[order]).astype(np.int64)
-    repeats = np.empty(len(window), bool)
-    repeats[order] = total[kind] > 1
-    return repeats, order[new], total
 
+NAMES_RANGE = ["row", "lo", "hi", "key", "g", "n"]
+RANGE = ", ".join(f"{c} bigint" for c in NAMES_RANGE)
 
-def _windows(length: int):
-    """Rows (row, doc_id, text, contexts) to settled windows (row, s) and open ones (row, s, window, g, n).
-    n counts occurrences; over 1, the row only stands for windows that are settled already."""
+
+def _anchors(length: int, gram: int):
+    """The anchors of each text, keyed by context and gram."""
 
     def run(batches):
-        import pyarrow as pa
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
+                data = (text.as_py() or "").encode()
+                if len(data) >= length:
+                    lo, hi, g, context = anchors(Hashed(data), length, gram)
+                    out.append((np.full(len(lo), row.as_py()), lo, hi, context, g, np.ones(len(lo), np.int64)))
+            if out:
+                yield _settled(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    return run
 
-        held: list[tuple] = []
 
-        def flush():
-            row, s, window, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            repeats, first, total = settle(window, g, n)
-            done = np.flatnonzero(repeats & (n == 1))
-            none = pa.nulls(len(done), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row[done]), pa.array(s[done]), none, none, none], names=["row", "s", "window", "g", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[first], s[first], window[first], g[first], total)], names=["row", "s", "window", "g", "n"])
+def _windows(length: int):
+    """The windows of each text's open contexts, keyed by window and gram."""
 
+    def run(batches):
+        held: list[tuple] = []
         count = 0
         for batch in batches:
             for r in batch.select(["row", "text", "contexts"]).to_pylist():
                 h = Hashed(r["text"].encode())
                 for c in r["contexts"]:
                     s = np.arange(c["lo"], c["hi"] + 1)
-                    held.append((np.full(len(s), r["row"]), s, h.at(s, length).view(np.int64), np.full(len(s), c["g"]), np.full(len(s), c["n"])))
+                    held.append((np.full(len(s), r["row"]), s, s, h.at(s, length).view(np.int64), np.full(len(s), c["g"] & 0xFFFFFFFF), np.full(len(s), c["n"])))
                     count += len(s)
                 if count >= BATCH_WINDOWS:
-                    yield from flush()
-                    count = 0
+                    yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, count = [], 0
         if held:
-            yield from flush()
+            yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -138,18 +148,19 @@ def marks(docs: DataFrame, length: int = 400, gram: int = 160) -> tuple[DataFram
     if not 1 <= gram <= length:
         raise ValueError("a gram is part of a window")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = cut_table(numbered.mapInArrow(_anchors(length, gram), "row bigint, lo bigint, hi bigint, g bigint, context bigint"))
-    contexts = found.groupBy("g", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi")).alias("r"))
-    several = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
-    open_contexts = contexts.join(several, "g", "left_semi")
-    lists = open_contexts.groupBy("r.row").agg(F.collect_list(F.struct("r.lo", "r.hi", "g", "n")).alias("contexts"))
-    laid = numbered.join(lists, "row").mapInArrow(_windows(length), "row bigint, s bigint, window bigint, g bigint, n bigint")
-    of_kind = F.sum("n").over(W.partitionBy("window", "g"))
-    settled = laid.withColumn("of_kind", F.when(F.col("window").isNotNull(), of_kind)).where("window is null or (n = 1 and of_kind > 1)")
-    twice = found.join(contexts.where("n > 1").select("g", "context"), ["g", "context"], "left_semi")
-    spans = settled.select("row", "s", (F.col("s") + length).alias("e")).union(
-        twice.select("row", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    kind = W.partitionBy("key", "g")
+    ranked = numbered.mapInArrow(_anchors(length, gram), RANGE).withColumns(
+        {"total": F.sum("n").over(kind), "place": F.row_number().over(kind.orderBy(F.desc("n"), "row", "lo"))}
     )
+    done = (F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") > 1))
+    names = ["row", "lo", "hi", "g", F.least("total", F.lit(2)).alias("n"), done.alias("done"), ((F.col("n") > 0) & (F.col("place") == 1)).alias("leads")]
+    found = cut_table(ranked.select(*names).where("done or leads"))
+    leads = found.where("leads").select("row", "lo", "hi", "g", "n")
+    several = leads.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
+    lists = leads.join(several, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "g", "n")).alias("contexts"))
+    laid = numbered.join(lists, "row").mapInArrow(_windows(length), RANGE).withColumn("total", F.sum("n").over(kind))
+    settled = laid.where(done).select("row", "lo", "hi").union(found.where("done").select("row", "lo", "hi"))
+    spans = settled.select("row", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
     return numbered, spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
 
 
