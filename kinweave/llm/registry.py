@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinweave.llm import query_bpe, query_license, query_native, query_pii, query_repeats, query_simhash, query_topk
+from kinweave.llm import query_bpe, query_license, query_lm, query_native, query_pii, query_repeats, query_simhash, query_topk
 
-MODULES = [query_native, query_simhash, query_license, query_bpe, query_repeats, query_topk, query_pii]
+MODULES = [query_native, query_simhash, query_license, query_bpe, query_repeats, query_topk, query_lm, query_pii]
 
 
 def queries():
