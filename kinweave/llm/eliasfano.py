@@ -17,6 +17,16 @@ for _b in range(256):
     _IN_BYTE[_b, : len(_ones)] = _ones
 
 
+def _skip(counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of counts, which count the rest-th item falls into, and which item of that one it is."""
+    at, going = np.zeros(len(rest), np.int64), np.ones(len(rest), bool)
+    for column in counts.T[:-1]:
+        going &= rest >= column
+        rest = rest - column * going
+        at += going
+    return at, rest
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
     data = np.packbits(bits, bitorder="little")
     return np.pad(data, (0, -len(data) % 8)).view(np.uint64)
@@ -50,6 +60,7 @@ class Codes:
         blocks = upper // _WORDS
         self.before = words[6 : 7 + blocks]
         self.upper = words[7 + blocks : 7 + blocks + upper].reshape(blocks, _WORDS)
+        self.flat = words[7 + blocks : 7 + blocks + upper]
         self.lower = words[7 + blocks + upper : 7 + blocks + upper + lower]
         self.words = 7 + blocks + upper + lower
         self.zeros_before = np.arange(blocks + 1, dtype=np.uint64) * np.uint64(64 * _WORDS) - self.before
@@ -62,14 +73,10 @@ class Codes:
         rest = (k - before[block]).astype(np.int64)
         words = self.upper[block]
         words = words if ones else ~words
-        ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        at = (ends <= rest[:, None]).sum(axis=1)
+        at, rest = _skip(np.bitwise_count(words), rest)
         rows = np.arange(len(k))
-        rest = rest - np.where(at > 0, ends[rows, at - 1], 0)
-        of_word = np.ascontiguousarray(words[rows, at]).view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(np.bitwise_count(of_word), axis=1, dtype=np.int64)
-        byte = (ends <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(byte > 0, ends[rows, byte - 1], 0)
+        of_word = words[rows, at].view(np.uint8).reshape(-1, 8)
+        byte, rest = _skip(np.bitwise_count(of_word), rest)
         return (block * _WORDS + at) * 64 + byte * 8 + _IN_BYTE[of_word[rows, byte], rest]
 
     def _low_bits(self, i: np.ndarray) -> np.ndarray:
@@ -100,23 +107,38 @@ class Codes:
             out[a : a + (1 << 17)] = self._successor(x[a : a + (1 << 17)])
         return out
 
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """The place of the first number, if any, whose high bits are `high`."""
+        return np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
+
     def _successor(self, x: np.ndarray) -> np.ndarray:
-        high = (x >> np.uint64(self.low)).astype(np.int64)
-        end = self._select(high, False) - high
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        low = x & np.uint64((1 << self.low) - 1)
-        while (todo := np.flatnonzero(start < end)).size:
-            middle = (start[todo] + end[todo]) >> 1
-            less = self._low_bits(middle) < low[todo]
-            start[todo[less]] = middle[less] + 1
-            end[todo[~less]] = middle[~less]
-        return start
+        high, low = (x >> np.uint64(self.low)).astype(np.int64), x & np.uint64((1 << self.low) - 1)
+        at = self._begin(high)
+        # Most buckets are short: a few steps along, then by halves for the rest.
+        todo = np.arange(len(x))
+        for _ in range(4):
+            todo = todo[self._inside(at[todo], high[todo]) & (self._low_bits(at[todo]) < low[todo])]
+            at[todo] += 1
+        start, end = at[todo], self._begin(high[todo] + 1)
+        while (open_ := np.flatnonzero(start < end)).size:
+            middle = (start[open_] + end[open_]) >> 1
+            less = self._low_bits(middle) < low[todo[open_]]
+            start[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+        at[todo] = start
+        return at
+
+    def _inside(self, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the numbers at these places still have these high bits, for places not before their first."""
+        bit = (at + high).astype(np.uint64)
+        return (self.flat[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & _ONE).astype(bool)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1 where it isn't there."""
         if not self.n:
             return np.full(len(x), -1)
+        x = x.astype(np.uint64)
         at = self.successor(x)
-        there = at < self.n
-        there[there] = self.get(at[there]) == x[there].astype(np.uint64)
+        there = self._inside(at, (x >> np.uint64(self.low)).astype(np.int64))
+        there[there] = self._low_bits(at[there]) == x[there] & np.uint64((1 << self.low) - 1)
         return np.where(there, at, -1)

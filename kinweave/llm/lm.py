@@ -73,21 +73,11 @@ class Files:
         return np.memmap(path, np.uint64, "r")
 
 
-class Words(dict):
-    """Hashes of words, kept; forgotten all at once when they get too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
-        return out
+def hashes(text: str | None) -> np.ndarray:
+    """The hashes of a text's tokens: its words, A-Z in lower case, then end."""
+    words = (text or "").encode().lower().split()
+    words.append(b" ")
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -121,10 +111,10 @@ def merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _batches(batches, most: int = BATCH):
     """Token hashes of many texts at once, with the texts' lengths."""
-    words, held, size = Words(), [], 0
+    held, size = [], 0
     for batch in batches:
         for text in batch.column("text"):
-            held.append(words.of(text.as_py()))
+            held.append(hashes(text.as_py()))
             size += len(held[-1])
             if size >= most:
                 yield np.concatenate(held), np.array([len(x) for x in held])
@@ -314,8 +304,8 @@ def train(texts: DataFrame, discount: float = 0.75, range_tokens: int = 1 << 22,
     bounds = _hash_bounds(ranges)
 
     def count_words(batches):
-        for tokens, _ in _batches(batches):
-            yield _blocks_by_range(tokens, bounds)
+        for found, _ in _batches(batches):
+            yield _blocks_by_range(found, bounds)
 
     def finish_words(r, blocks):
         keys, counts = merge(blocks)
@@ -336,9 +326,9 @@ def train(texts: DataFrame, discount: float = 0.75, range_tokens: int = 1 << 22,
 
     def count_pairs(batches):
         words, end = Vocabulary(uri, offsets), None
-        for hashes, lengths in _batches(batches):
+        for tokens, lengths in _batches(batches):
             end = int(words.look_up(np.array([END], np.uint64))[0][0]) if end is None else end
-            numbers, _ = words.numbers(hashes)
+            numbers, _ = words.numbers(tokens)
             yield _blocks_by_range((previous(numbers, lengths, end) * size + numbers).astype(np.uint64), pair_bounds.astype(np.uint64))
 
     def finish_pairs(r, blocks):
@@ -374,12 +364,12 @@ def score(docs: DataFrame, model: Model, rows: int = 2048) -> DataFrame:
     """docs (with a column text) with n_tokens, n_known, train_tokens, base_score and score."""
 
     def make():
-        reader, words = model.reader(), Words()
+        reader = model.reader()
 
         def run(texts):
-            hashes = [words.of(t) for t in texts]
-            lengths = np.array([len(h) for h in hashes])
-            known, base, own = reader.score(np.concatenate(hashes), lengths)
+            tokens = [hashes(t) for t in texts]
+            lengths = np.array([len(h) for h in tokens])
+            known, base, own = reader.score(np.concatenate(tokens), lengths)
             return [lengths.tolist(), known.tolist(), [model.tokens] * len(lengths), base.tolist(), own.tolist()]
 
         return run
