@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -71,3 +72,22 @@ def cut_table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_range(rows: DataFrame, finish, schema: str) -> DataFrame:
+    """One row finish(range, blocks), as a dict, for each range of rows (range, block).
+
+    finish gets the blocks as an iterator, so that it can fold them without holding all of them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def pairs():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("range", "block")), strict=True)
+
+        for r, group in itertools.groupby(pairs(), key=lambda x: x[0]):
+            yield pa.RecordBatch.from_pylist([finish(r, (b for _, b in group))])
+
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, schema)

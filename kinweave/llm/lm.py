@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import eliasfano
-from kinweave.llm.common import append, shared_dir
+from kinweave.llm.common import append, by_range, shared_dir
 
 #: The end token's stand-in: no word holds a space.
 END = xxhash.xxh64_intdigest(b" ")
@@ -101,7 +102,7 @@ def unblock(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return codes.all() + np.uint64(first), counts
 
 
-def merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def merge(blocks: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*map(unblock, blocks), strict=True))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -134,29 +135,6 @@ def _blocks_by_range(keys: np.ndarray, bounds: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(full), pa.array(data, pa.binary())], names=["range", "block"])
 
 
-def _by_range(rows: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(range, blocks) for each range of rows (range, block); a task holds one range at a time."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def row(r, blocks):
-            return pa.RecordBatch.from_pylist([finish(r, blocks)])
-
-        held, now = [], None
-        for batch in batches:
-            for r, b in zip(*(batch.column(c).to_pylist() for c in ("range", "block")), strict=True):
-                if now is not None and r != now:
-                    yield row(now, held)
-                    held = []
-                now = r
-                held.append(b)
-        if now is not None:
-            yield row(now, held)
-
-    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, schema)
-
-
 def _lay_ranges(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where ranges of pairs begin, for first words with these counts: (word, part, parts). A range has
     about `most` pairs; a word with more is cut into parts by its followers' numbers."""
@@ -314,7 +292,7 @@ def train(texts: DataFrame, discount: float = 0.75, range_tokens: int = 1 << 22,
         return {"range": r, "n": len(keys), "tokens": int(counts.sum()), "word": word.tolist(), "part": part.tolist(), "parts": parts.tolist()}
 
     schema = "range bigint, n bigint, tokens bigint, word array<bigint>, part array<bigint>, parts array<bigint>"
-    made = _by_range(texts.mapInArrow(count_words, "range bigint, block binary"), finish_words, schema).collect()
+    made = by_range(texts.mapInArrow(count_words, "range bigint, block binary"), finish_words, schema).collect()
     made = sorted(made, key=lambda r: r["range"])
     sizes = np.zeros(ranges, np.int64)
     for r in made:
@@ -345,7 +323,7 @@ def train(texts: DataFrame, discount: float = 0.75, range_tokens: int = 1 << 22,
         Files(uri).write(f"pairs-{r}", np.concatenate([np.array([low, len(keys), len(pointers)], np.uint64), pointers, codes, tail]))
         return {"range": r, "pairs": len(keys)}
 
-    kept = [] if not size else _by_range(texts.mapInArrow(count_pairs, "range bigint, block binary"), finish_pairs, "range bigint, pairs bigint").collect()
+    kept = [] if not size else by_range(texts.mapInArrow(count_pairs, "range bigint, block binary"), finish_pairs, "range bigint, pairs bigint").collect()
     empty = set(range(len(pair_bounds))) - {r["range"] for r in kept}  # these have no file
     return Model(uri, tokens, offsets, pair_bounds, empty, discount)
 
