@@ -156,4 +156,7 @@ def _repeats(d: DataFrame, width: int = 5) -> DataFrame:
 
 def reject(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows that pass all rules, with the columns they came with."""
-    return assess(docs, **limits).where("kept").select(*[c for c in docs.columns if c not in OUTPUTS])
+    # A filter is not moved below a column that is not deterministic. Moved down step by step, the rules
+    # would be put into one expression that repeats every step's work many times over.
+    held = assess(docs, **limits).withColumn("_fence", F.monotonically_increasing_id())
+    return held.where("kept and _fence >= 0").select(*[c for c in docs.columns if c not in OUTPUTS])
