@@ -117,11 +117,14 @@ def mix(
 
 def resample(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: each row as often as it is taken whole, and, where a quota ends inside
-    a text, once more with that text's leading words. Columns stay as they came."""
-    given = docs.columns
-    m = mix(docs, **options).withColumn("_left", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(False), whole), F.when(F.col("_left") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    m = m.withColumn("_cut", F.explode(copies))
-    front = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_left").cast("int")), " ")
-    return m.withColumn("text", F.when(F.col("_cut"), front).otherwise(F.col("text"))).select(*given)
+    a text, once more with that text's leading words. Columns stay as they came. Texts move once, to
+    meet what was decided about their rows; so the input must give its rows in the same order each time
+    it is read, as files do."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    m = mix(numbered.select("_row", "doc_id", "text", "source"), **options).where("taken > 0")
+    whole, left = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
+    decided = m.select("_row", copies.alias("_copies"))
+    rows = numbered.join(decided, "_row").withColumn("_cut", F.explode("_copies"))
+    front = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_cut").cast("int")), " ")
+    return rows.withColumn("text", F.when(F.col("_cut") > 0, front).otherwise(F.col("text"))).select(*docs.columns)
