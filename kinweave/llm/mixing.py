@@ -96,22 +96,22 @@ def mix(
     sources = apportion(sources, [], [F.col("source").isNull(), F.col("source")], "target", blocks, "blocks")
 
     def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-        right = table.withColumnRenamed("source", "_source")
-        return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("_part", "shards"))
+        right = table.withColumnsRenamed({"source": "_source", "shards": "_shards"})
+        return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("_part", "_shards"))
 
     by_shard = with_source(parts.drop("n"), sources).groupBy("source", "_shard").agg(
         F.sum("words").alias("shard_words"), F.max("blocks").alias("blocks"), *[F.max(c).alias(c) for c in ("source_size", "target")]
     )
     quotas = apportion(by_shard, ["source"], [F.col("source").isNull(), F.col("source"), F.col("_shard")], "shard_words", F.col("blocks"), "quota")
     quota = F.least(F.col("quota") * block_words, F.col("shard_words") * most).alias("_quota")
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_in"), "shard_words", quota, "source_size", "target")
+    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_in"), F.col("shard_words").alias("_words"), quota, "source_size", "target")
 
     placed = with_source(sized, sources.select("source", "shards"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_in")))
     order = W.partitionBy("source", "_shard").orderBy(seeded(F.col("doc_id"), seed), "doc_id", "size")
     before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    times = F.when(F.col("shard_words") > 0, F.floor(F.col("_quota") / F.col("shard_words"))).otherwise(F.lit(0))
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - times * F.col("shard_words") - before))
+    times = F.when(F.col("_words") > 0, F.floor(F.col("_quota") / F.col("_words"))).otherwise(F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - times * F.col("_words") - before))
     return placed.withColumn("taken", (F.col("size") * times + rest).cast("bigint")).select(*given, *OUTPUTS)
 
 

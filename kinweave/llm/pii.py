@@ -93,7 +93,10 @@ _SPELLED_PART = re.compile(rf"plus[ -]+|{_NAME}|dot|point|[ ,.-]+", re.IGNORECAS
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"[ ]?{_OPEN} ?(at|@|dot|\.) ?{_CLOSE}[ ]?", re.IGNORECASE)
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: at |@)[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.IGNORECASE)
+# Ends of names of hosts that are not English words. Without brackets, only these tell an
+# address from plain words.
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|ca|au|de|fr|es|nl|ch|se|dk|fi|pl|pt|br|mx|jp|cn|ru"
+_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: at |@)[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:{_ENDS})(?![A-Za-z0-9-])", re.IGNORECASE)
 _WORDED_PART = re.compile(r" (at|dot) ", re.IGNORECASE)
 
 Edit = tuple[int, int, str]

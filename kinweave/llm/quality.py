@@ -115,7 +115,10 @@ def assess(
     odd = wordy & (F.col("word_distance") > max_word_distance)
     both = long & wordy & (F.col("char_distance") > joint_char_distance) & (F.col("word_distance") > joint_word_distance)
     diverges = F.coalesce(far | odd | both, F.lit(False))
-    return d.withColumns({"base_failed": base, "kept": ~base & ~diverges}).select(*kept, *OUTPUTS)
+    # A filter is not moved below a column that is not deterministic. Moved down step by step, the rules
+    # would become one expression that repeats every step's work many times over.
+    fence = F.monotonically_increasing_id() >= 0
+    return d.withColumns({"base_failed": base, "kept": ~base & ~diverges & fence}).select(*kept, *OUTPUTS)
 
 
 def _common(d: DataFrame) -> DataFrame:
@@ -155,8 +158,7 @@ def _repeats(d: DataFrame, width: int = 5) -> DataFrame:
 
 
 def reject(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows that pass all rules, with the columns they came with."""
-    # A filter is not moved below a column that is not deterministic. Moved down step by step, the rules
-    # would be put into one expression that repeats every step's work many times over.
-    held = assess(docs, **limits).withColumn("_fence", F.monotonically_increasing_id())
-    return held.where("kept and _fence >= 0").select(*[c for c in docs.columns if c not in OUTPUTS])
+    """The rows that pass all rules, with all the columns they came with."""
+    away = {c: f"_given_{c}" for c in docs.columns if c in OUTPUTS}
+    held = assess(docs.withColumnsRenamed(away), **limits).where("kept")
+    return held.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
