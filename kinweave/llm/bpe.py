@@ -110,10 +110,11 @@ class Chunk:
     __slots__ = ("data", "ids", "head", "tail", "head_ids", "tail_ids")
 
     def __init__(self, data: bytes, c: Codec):
-        self.data, self.ids = data, c.encode(data)
+        self.data, ids = data, c.encode(data)
+        self.ids = np.array(ids, np.int32)  # an eighth of a list's size
         self.head = data[: data.find(b" ", 1)] if data.find(b" ", 1) > 0 else data
         self.tail = data[data.rfind(b" ") :] if data.rfind(b" ") >= 0 else data
-        self.head_ids, self.tail_ids = self._covering(c, self.ids, len(self.head)), self._covering(c, self.ids[::-1], len(self.tail))[::-1]
+        self.head_ids, self.tail_ids = self._covering(c, ids, len(self.head)), self._covering(c, ids[::-1], len(self.tail))[::-1]
 
     @staticmethod
     def _covering(c: Codec, ids: list[int], length: int) -> list[int]:
@@ -129,7 +130,7 @@ class Chunk:
 class Encoder:
     """Encodes texts by chunks; keeps the chunks used last, up to `most_bytes` of their text."""
 
-    def __init__(self, c: Codec, bits: int = 11, most_bytes: int = 8 << 20):
+    def __init__(self, c: Codec, bits: int = 11, most_bytes: int = 4 << 20):
         self.codec, self.bits, self.most, self.held = c, bits, most_bytes, 0
         self.chunks: OrderedDict[bytes, Chunk] = OrderedDict()
         self.joins: dict[tuple[bytes, bytes], bool] = {}
@@ -153,15 +154,13 @@ class Encoder:
         if (known := self.joins.get(key)) is None:
             whole = self.codec.encode(left.tail + right.head)
             known = bool(left.tail_ids) and bool(right.head_ids) and whole == left.tail_ids + right.head_ids
-            if len(self.joins) > 1 << 16:
+            if len(self.joins) > 1 << 14:
                 self.joins.clear()
             self.joins[key] = known
         return known
 
-    def plain(self, data: bytes) -> list[int]:
-        if not data:
-            return []
-        edges = [0, *cuts(data, self.bits), len(data)]
+    def plain(self, data: bytes) -> np.ndarray:
+        edges = [0, *cuts(data, self.bits), len(data)] if data else []
         done: list[Chunk] = []
         for a, b in zip(edges, edges[1:], strict=False):
             new = self.chunk(data[a:b])
@@ -169,18 +168,17 @@ class Encoder:
                 self.repaired += 1
                 new = Chunk(done.pop().data + new.data, self.codec)
             done.append(new)
-        if len(done) == 1:
-            return done[0].ids
-        return [i for c in done for i in c.ids]
+        return np.concatenate([_NONE, *[c.ids for c in done]])
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
+    def encode(self, text: str | None) -> np.ndarray:
         for token, i in self.codec.special.items():
-            if token in text:
+            if text and token in text:
                 first, *rest = text.split(token)
-                return [*self.plain(first.encode()), *[x for r in rest for x in (i, *self.encode(r))]]
-        return self.plain(text.encode())
+                return np.concatenate([self.plain(first.encode()), *[x for r in rest for x in (np.array([i], np.int32), self.encode(r))]])
+        return self.plain((text or "").encode())
+
+
+_NONE = np.empty(0, np.int32)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, bits: int = 11) -> DataFrame:
@@ -196,12 +194,12 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, bits: int = 11
             ids = [e.encode(t) for t in texts]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([e.codec.decode(x).decode("utf-8", "replace") for x in ids])]
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([_NONE, *ids])))
+            return [tokens, pa.array([e.codec.decode(x.tolist()).decode("utf-8", "replace") for x in ids], pa.string())]
 
         return run
 
-    return append(docs, "tokens array<int>, decoded string", make, rows=128)
+    return append(docs, "tokens array<int>, decoded string", make, rows=64)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
