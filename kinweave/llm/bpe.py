@@ -2,13 +2,21 @@
 
 A text is cut where a rolling hash over the last 32 bytes has its low bits zero, at the next place
 where a space stands between two ASCII letters; so a passage that stands in many documents falls into
-the same chunks in each. A task encodes a chunk once and keeps its ids, digits and bytes, up to a
-fixed amount of memory. Where two chunks join, the last word of the left one and the first of the
-right one are encoded again as one piece; if that doesn't give the ids that the chunks have there,
-the two chunks are encoded as one, until all joins agree. Encoding a text so is encoding it whole.
-
-Chunks are kept for each task, not exchanged between tasks: dealing out all chunk texts and their ids
-by content and back would move several times the input to save the encoding of the few that repeat.
+the same chunks in each.
+
+1. Each task lists the hashes of its distinct chunks. A hash that several tasks list is a shared chunk,
+   and one of them, picked by a hash so that the work spreads, owns it.
+2. The owner encodes the chunk. Its ids are dealt to the tasks that list it, as a file for each task in
+   the shared folder. Only hashes and shared chunks' ids move, never texts.
+3. Each task encodes its texts with the ids it was dealt, and keeps the chunks it used last, up to a
+   fixed amount of memory. Dealt ids must decode to the chunk's very bytes; else it is encoded here.
+4. Where two chunks join, the last word of the left one and the first of the right one are encoded
+   again as one piece; if that doesn't give the ids that the chunks have there, the two chunks are
+   encoded as one, until all joins agree. Encoding a text so is encoding it whole.
+
+A task is known by its number. Should an input be split in another way when it is read again, chunks
+are missed and encoded on the spot; results stay the same. A task holds the ids of its own shared
+chunks, which are no more than its part of the input. The shared folder must be one that pyarrow can open.
 
 The special token's string in a text becomes its id, as the tokenizers library does by default. A null
 text counts as an empty one: no ids, empty decoded text. Repeated rows give the same result. Columns
@@ -19,14 +27,17 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import append
+from kinweave.llm.common import append, cut_table, shared_dir
 
 # Fixed value: the pattern that splits a text before byte-pair merges, as the vocabulary's pre-tokenizer has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,8 +120,8 @@ class Chunk:
 
     __slots__ = ("data", "ids", "head", "tail", "head_ids", "tail_ids")
 
-    def __init__(self, data: bytes, c: Codec):
-        self.data, ids = data, c.encode(data)
+    def __init__(self, data: bytes, c: Codec, ids: list[int] | None = None):
+        self.data, ids = data, c.encode(data) if ids is None else ids
         self.ids = np.array(ids, np.int32)  # an eighth of a list's size
         self.head = data[: data.find(b" ", 1)] if data.find(b" ", 1) > 0 else data
         self.tail = data[data.rfind(b" ") :] if data.rfind(b" ") >= 0 else data
@@ -127,22 +138,34 @@ class Chunk:
         return []
 
 
+def chunk_hash(data: bytes) -> int:
+    """A chunk's hash as a signed 64-bit number."""
+    h = xxhash.xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Encoder:
-    """Encodes texts by chunks; keeps the chunks used last, up to `most_bytes` of their text."""
+    """Encodes texts by chunks; keeps the chunks used last, up to `most_bytes` of their text. given: ids
+    of chunks that were encoded elsewhere, by the chunks' hashes."""
 
-    def __init__(self, c: Codec, bits: int = 11, most_bytes: int = 4 << 20):
-        self.codec, self.bits, self.most, self.held = c, bits, most_bytes, 0
+    def __init__(self, c: Codec, bits: int = 11, most_bytes: int = 4 << 20, given: dict[int, np.ndarray] | None = None):
+        self.codec, self.bits, self.most, self.held, self.given = c, bits, most_bytes, 0, given or {}
         self.chunks: OrderedDict[bytes, Chunk] = OrderedDict()
         self.joins: dict[tuple[bytes, bytes], bool] = {}
-        self.reused = self.made = self.repaired = 0
+        self.reused = self.taken = self.made = self.repaired = 0
 
     def chunk(self, data: bytes) -> Chunk:
         if found := self.chunks.get(data):
             self.chunks.move_to_end(data)
             self.reused += 1
             return found
-        self.made += 1
-        new = self.chunks[data] = Chunk(data, self.codec)
+        ids = self.given.get(chunk_hash(data)) if self.given else None
+        if ids is not None and self.codec.decode(known := ids.tolist()) == data:
+            self.taken += 1
+            new = self.chunks[data] = Chunk(data, self.codec, known)
+        else:
+            self.made += 1
+            new = self.chunks[data] = Chunk(data, self.codec)
         self.held += len(data)
         while self.held > self.most and len(self.chunks) > 1:
             old, _ = self.chunks.popitem(last=False)
@@ -159,11 +182,14 @@ class Encoder:
             self.joins[key] = known
         return known
 
-    def plain(self, data: bytes) -> np.ndarray:
+    def pieces(self, data: bytes) -> list[bytes]:
         edges = [0, *cuts(data, self.bits), len(data)] if data else []
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def plain(self, data: bytes) -> np.ndarray:
         done: list[Chunk] = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            new = self.chunk(data[a:b])
+        for piece in self.pieces(data):
+            new = self.chunk(piece)
             while done and not self.agrees(done[-1], new):
                 self.repaired += 1
                 new = Chunk(done.pop().data + new.data, self.codec)
@@ -181,14 +207,115 @@ class Encoder:
 _NONE = np.empty(0, np.int32)
 
 
+class Lister(Encoder):
+    """Goes over texts as an Encoder does, but only gathers the chunks not seen before, by hash."""
+
+    def __init__(self, c: Codec, bits: int):
+        super().__init__(c, bits)
+        self.seen: set[int] = set()
+        self.new: dict[int, bytes] = {}
+
+    def plain(self, data: bytes) -> np.ndarray:
+        for piece in self.pieces(data):
+            if (h := chunk_hash(piece)) not in self.seen:
+                self.seen.add(h)
+                self.new[h] = piece
+        return _NONE
+
+    def take(self, texts: list) -> dict[int, bytes]:
+        for t in texts:
+            self.encode(t)
+        new, self.new = self.new, {}
+        return new
+
+
+def _few(batches, rows: int = 64):
+    """The texts of batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.column("text").slice(at, rows).to_pylist()
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def _deal(rows: DataFrame) -> str:
+    """The URI of a folder with a part for each task, for rows with a column t, the task's number."""
+    uri = f"{shared_dir(rows.sparkSession)}/chunks/{uuid.uuid4().hex}"
+    rows.repartition("t").write.partitionBy("t").parquet(uri)
+    return uri
+
+
+def _dealt(uri: str, columns: list[str]):
+    """What this task was dealt, as an Arrow table; None if nothing."""
+    from pyarrow import fs, parquet
+
+    system, path = fs.FileSystem.from_uri(f"{uri}/t={_task()}")
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    return parquet.read_table(path, filesystem=system, columns=columns, partitioning=None).combine_chunks()
+
+
+def _hashes(path: str, bits: int):
+    def run(batches):
+        import pyarrow as pa
+
+        lister, t = Lister(codec(path), bits), _task()
+        for texts in _few(batches):
+            new = list(lister.take(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(new), pa.int32()), pa.array(new, pa.int64())], names=["t", "h"])
+
+    return run
+
+
+def _own_ids(path: str, bits: int, uri: str):
+    def run(batches):
+        import pyarrow as pa
+
+        table = _dealt(uri, ["h"])
+        if table is None:
+            return
+        own, lister = set(table.column("h").to_pylist()), Lister(codec(path), bits)
+        for texts in _few(batches):
+            new = {h: lister.codec.encode(c) for h, c in lister.take(texts).items() if h in own}
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.list_(pa.int32()))], names=["h", "ids"])
+
+    return run
+
+
+def share_chunks(texts: DataFrame, path: str, bits: int) -> str:
+    """Encodes each chunk that several tasks over texts (a column text) have once; the URI of what each is dealt."""
+    of_chunk = W.partitionBy("h")
+    listed = texts.mapInArrow(_hashes(path, bits), "t int, h bigint")
+    listed = listed.withColumns({"n": F.count(F.lit(1)).over(of_chunk), "owner": F.min(F.struct(F.xxhash64("h", "t"), "t")).over(of_chunk)["t"]})
+    shared = cut_table(listed.where("n > 1").select("t", "h", "owner"))
+    own = _deal(shared.where("t = owner").select("t", "h"))
+    made = texts.mapInArrow(_own_ids(path, bits, own), "h bigint, ids array<int>")
+    return _deal(shared.select("t", "h").join(made, "h").select("t", "h", "ids"))
+
+
+def given_ids(uri: str) -> dict[int, np.ndarray]:
+    """The ids of this task's shared chunks, by hash."""
+    table = _dealt(uri, ["h", "ids"])
+    if table is None or not table.num_rows:
+        return {}
+    ids = table.column("ids").chunk(0)
+    values, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return {h: values[a:b] for h, a, b in zip(table.column("h").to_pylist(), at, at[1:], strict=False)}
+
+
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, bits: int = 11) -> DataFrame:
     """docs (with a column text) with tokens, the ids of the whole text, and decoded, the text from those ids."""
     path = vocabulary or default_vocabulary()
+    uri = share_chunks(docs.select("text"), path, bits)
 
     def make():
         import pyarrow as pa
 
-        e = Encoder(codec(path), bits)
+        e = Encoder(codec(path), bits, given=given_ids(uri))
 
         def run(texts):
             ids = [e.encode(t) for t in texts]

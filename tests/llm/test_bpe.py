@@ -49,6 +49,39 @@ def test_memory_is_bounded():
     assert e.held <= 2000 or len(e.chunks) == 1
 
 
+def test_given_ids_are_used_only_if_they_decode_to_the_chunk():
+    data = "a passage of several plain words"
+    right, wrong = bpe.Chunk(data.encode(), CODEC).ids, bpe.Chunk(b"another text", CODEC).ids
+    for ids, taken in ((right, 1), (wrong, 0)):
+        e = bpe.Encoder(CODEC, given={bpe.chunk_hash(data.encode()): ids})
+        assert e.encode(data).tolist() == plain(data)
+        assert (e.taken, e.made) == (taken, 1 - taken)
+
+
+def test_shared_chunks_are_encoded_once_and_dealt_to_all_that_have_them(spark, tmp_path):
+    passage = " ".join(f"shared passage number {chr(97 + i % 26)}{chr(97 + i // 26)} of many words" for i in range(200))
+    texts = [f"{'begin ' * i} text {chr(97 + i)} {passage} end {chr(97 + i)}" for i in range(12)] + [None, "", "<|endoftext|>" + passage]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(6, "doc_id")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    tasks = docs.rdd.getNumPartitions()
+    assert tasks > 1
+    bits, path = 6, bpe.default_vocabulary()
+    dealt = spark.read.parquet(bpe.share_chunks(docs.select("text"), path, bits))
+    of = {}
+    for part in docs.select("text").rdd.glom().collect():
+        lister = bpe.Lister(CODEC, bits)
+        for h, data in lister.take([r.text for r in part]).items():
+            of.setdefault(h, []).append(data)
+    want = {h: (len(x), CODEC.encode(x[0])) for h, x in of.items() if len(x) > 1}
+    got = {}
+    for r in dealt.collect():
+        n, _ = got.get(r.h, (0, None))
+        got[r.h] = (n + 1, r.ids)
+    assert len(want) > 20 and got == want
+    assert {r.doc_id: r.tokens for r in bpe.encode_decode(docs, bits=bits).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_documents(spark):
     for docs in (cases.docs(spark), cases.small(spark, 60)):
         out = bpe.encode_decode(docs)
