@@ -19,7 +19,8 @@ common to a third of all texts gives no more rows than there are batches; the re
 Keys are two hashes, together 96 bits or more. A null text counts as an empty one; texts under
 `length` bytes lose nothing. Repeated rows are occurrences of their own, so both lose what they share.
 What is kept of a text is bytes: a cut may go through a character. Columns other than doc_id and text
-are not read. The input must give its rows in the same order each time it is read, as files do.
+are not read. Rows are told apart by a number that is either written down with them or, for Parquet
+files, their place in the files; it doesn't depend on how a job splits the input.
 """
 
 from __future__ import annotations
@@ -143,11 +144,27 @@ def _cut():
 NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
 
 
-def marks(docs: DataFrame, length: int = 400, gram: int = 160) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows of docs, and for each row with repeats its intervals (s, e)."""
+def stored(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text), written down once so that every later job reads the same numbers."""
+    return cut_table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """(row, doc_id, text) of a table of Parquet files that was read as it is; row is the file's number
+    by name and the row's place in the file, whatever the splits."""
+    spark = files.sparkSession
+    names = sorted(r.path for r in files.select(F.col("_metadata.file_path").alias("path")).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(names)), "file bigint, path string")
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), "doc_id", "text")
+    row = F.coalesce(F.shiftleft("file", 40) + F.col("at"), F.lit(-1))  # never null, and known to be: or the texts' exchange isn't used twice
+    return rows.join(F.broadcast(numbers), "path").select(row.alias("row"), "doc_id", "text")
+
+
+def marks(numbered: DataFrame, length: int = 400, gram: int = 160) -> DataFrame:
+    """For each row of numbered (row, doc_id, text) with repeats its intervals (s, e). A row must have
+    the same number in every job."""
     if not 1 <= gram <= length:
         raise ValueError("a gram is part of a window")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = W.partitionBy("key", "g")
     ranked = numbered.mapInArrow(_anchors(length, gram), RANGE).withColumns(
         {"total": F.sum("n").over(kind), "place": F.row_number().over(kind.orderBy(F.desc("n"), "row", "lo"))}
@@ -161,15 +178,19 @@ def marks(docs: DataFrame, length: int = 400, gram: int = 160) -> tuple[DataFram
     laid = numbered.join(lists, "row").mapInArrow(_windows(length), RANGE).withColumn("total", F.sum("n").over(kind))
     settled = laid.where(done).select("row", "lo", "hi").union(found.where("done").select("row", "lo", "hi"))
     spans = settled.select("row", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    return numbered, spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+
 
+def remove(docs: DataFrame, length: int = 400, gram: int = 160, number=stored) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for each row of docs (doc_id, text).
 
-def remove(docs: DataFrame, length: int = 400, gram: int = 160) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for each row of docs (doc_id, text)."""
+    number: `stored` for any docs, or `placed`, which writes no texts, for Parquet files as they were read.
+    """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    numbered, intervals = marks(docs, length, gram)
+    numbered = number(docs)
+    intervals = marks(numbered, length, gram)
     kind = dict(docs.dtypes)["doc_id"]
     out = T.StructType.fromDDL(f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<s:int,e:int>>")
     run = _cut()

@@ -117,6 +117,26 @@ def test_repeats_edges(spark):
     assert got == Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows], 40), strict=True))
 
 
+@pytest.mark.parametrize("way", ["stored", "placed"])
+def test_repeats_other_splits(spark, tmp_path, way):
+    """Files are split anew between the jobs, as when an executor joins or is lost."""
+    rnd = random.Random(2)
+    common = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(40, 90))) + (common if i % 3 == 0 else "")) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert docs.rdd.getNumPartitions() < 9
+        out = repeats.remove(docs, 24, 8, **({"number": repeats.placed} if way == "placed" else {}))
+        spark.conf.set(name, "1m")
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert got == Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows], 24), strict=True))
+
+
 # Top-k
 
 
