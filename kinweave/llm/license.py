@@ -3,7 +3,8 @@
 A text's words are its runs of letters and digits, A-Z in lower case. Every rolling k-gram of words is
 hashed and joined in Spark to the positions where license templates have it. Each match votes for a
 diagonal, the offset between the two positions; a diagonal's votes come together by aggregation.
-Neighbouring diagonals, as insertions and deletions make them, are merged into one span; a span is
+Neighbouring diagonals, as insertions and deletions make them, come together by their offsets, whatever
+stray diagonals lie between them in the text, and are cut along the text into spans; a span is
 verified by how much of the template it covers and how densely it is covered.
 
 Beside that, base phrases are found where their words stand consecutively; their labels always stay.
@@ -137,10 +138,13 @@ def scan(
     diagonals = hits.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), *[F.max(c).alias(c) for c in base]
     )
-    along = W.partitionBy("row", "template").orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > neighbour) | (F.col("first") - F.max("last").over(along.rowsBetween(W.unboundedPreceding, -1)) > gap + k)
-    merged = diagonals.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(along))
-    spans = merged.groupBy("row", "template", "_span").agg(
+    across = W.partitionBy("row", "template").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(across) > neighbour
+    near = diagonals.withColumn("_far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("_near", F.sum("_far").over(across))
+    along = W.partitionBy("row", "template", "_near").orderBy("first", "diagonal")
+    apart = F.col("first") - F.max("last").over(along.rowsBetween(W.unboundedPreceding, -1)) > gap + k
+    merged = near.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(along))
+    spans = merged.groupBy("row", "template", "_near", "_span").agg(
         F.min("first").alias("first"), (F.max("last") + k).alias("end"), F.sum(F.col("votes") + k - 1).alias("covered"), *[F.max(c).alias(c) for c in base]
     )
     h = WordHashes()

@@ -45,6 +45,26 @@ def test_license(spark):
     assert license.scan(cases.empty(spark)).count() == 0
 
 
+def test_license_inserted_words(spark):
+    """Repeated 4-grams give stray diagonals; every long template is found with one word put in anywhere, BSD with two."""
+    rows = []
+    for t, (label, text) in enumerate(license.TEMPLATES):
+        w = FOLDED.findall(lower(text))
+        if len(w) < 30:
+            continue
+        places = [(i,) for i in range(1, len(w))]
+        if label == "bsd":
+            places += [(i, j) for i in range(1, len(w)) for j in range(i, len(w))]
+        for at in places:
+            edited = list(w)
+            for i in reversed(at):
+                edited.insert(i, "zzz")
+            rows.append((f"{label} {t} {at}", " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    missed = [r.doc_id for r in license.scan(docs).collect() if r.doc_id.split()[0] not in [s.label for s in r.spans]]
+    assert len(rows) > 2000 and not missed
+
+
 # Quality classifier
 
 
