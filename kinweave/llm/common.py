@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,60 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+class Columns:
+    """A caller's columns under names of our own, given0, given1, … by position, so that no name of theirs
+    can clash with one that an operator works with. Those named like an output, in any case of letters,
+    are left out of `back`."""
+
+    def __init__(self, docs: DataFrame, outputs: list[str] | tuple[str, ...] = ()):
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"given{i}" for i in range(len(self.names))])
+        replaced = {o.lower() for o in outputs}
+        self.kept = [i for i, n in enumerate(self.names) if n.lower() not in replaced]
+
+    def __getitem__(self, name: str) -> str:
+        """Where the caller's column of this name is now; one that differs only in its case if none is named just so."""
+        exact = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if len(exact) != 1:
+            raise ValueError(f"the input needs one column {name}, not {len(exact)}")
+        return f"given{exact[0]}"
+
+    def back(self, rows: DataFrame, added: Mapping[str, Column] = {}, replaced: Mapping[str, Column] = {}) -> DataFrame:  # noqa: B006
+        """rows with the caller's columns under their names again, some of them replaced, and the added ones behind them."""
+        at = {self[n]: c for n, c in replaced.items()}
+        given = [at.get(f"given{i}", F.col(f"given{i}")).alias(f"given{i}") for i in self.kept]
+        return rows.select(*given, *added.values()).toDF(*[self.names[i] for i in self.kept], *added)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, on one machine, as in tests, a temporary one;
+    on a cluster that is an error, as its machines don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/kinweave/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what is under a path, wherever Spark can write."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators of this application keep in the shared folder. Results are lazy and
+    read from there, so call this when they have been written or are no longer wanted."""
+    delete(spark, own_dir(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute the rows once and keep them in the shared folder, so that a lost executor loses nothing."""
     spark = df.sparkSession
@@ -45,35 +91,70 @@ def append(df: DataFrame, schema: str, make: Callable[[], Callable[[list], list]
     """df with columns of a DDL schema added, computed in Python from one column a few rows at a time.
 
     make() runs once in each task and returns a function from a list of values to one list or Arrow
-    array for each added column. Input columns that are named like an added one are replaced.
+    array for each added column. Input columns that are named like an added one are replaced; others
+    keep their values, whatever their names.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = T.StructType.fromDDL(schema)
-    df = df.select(*[c for c in df.columns if c not in added.names])
-    out = T.StructType([*df.schema.fields, *added.fields])
+    given = Columns(df, added.names)
+    at = given[column]
+    out = T.StructType([*given.rows.schema.fields, *added.fields])
     types = [f.type for f in to_arrow_schema(added)]
 
     def run(batches):
         apply = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                piece = batch.slice(at, rows)
-                new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(apply(piece.column(column).to_pylist()), types, strict=True)]
+            for start in range(0, batch.num_rows, rows):
+                piece = batch.slice(start, rows)
+                new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(apply(piece.column(at).to_pylist()), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *added.names])
 
-    return df.mapInArrow(run, out)
+    return given.back(given.rows.mapInArrow(run, out), {n: F.col(n) for n in added.names})
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """As `cut`, but kept as Parquet, which is smaller than a checkpoint for many narrow rows."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What tells rows apart.
+KEYS = ["key_file", "key_row"]
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows with the columns KEYS, written down once, so that every later job reads the same numbers."""
+    return cut_table(rows.withColumns({KEYS[0]: F.lit(0).cast("bigint"), KEYS[1]: F.monotonically_increasing_id()}))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with the columns KEYS: for a table of files as it was read, a hash of the file's path and the
+    row's place in the file, whatever the splits of a job. Rows that don't come from files are `stored`."""
+    try:
+        keyed = rows.withColumns({KEYS[0]: F.xxhash64(F.col("_metadata.file_path")), KEYS[1]: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return stored(rows)
+    return keyed
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, most: int = 10_000) -> DataFrame:
+    """rows with their facts, one row of facts for each key, which says in `count` how many of the `total`
+    rows the key has; a key may have any part of them.
+
+    Keys with over total / most rows are fewer than `most`, so their facts are broadcast and their rows stay
+    where they are; the other rows meet their facts by key.
+    """
+    hot = F.col(count) > max(64, total // most)
+    stay = facts.where(hot).withColumn("is_hot", F.lit(True))
+    marked = rows.join(F.broadcast(stay), key, "left")
+    rest = marked.where("is_hot is null").select(*rows.columns).join(facts.where(~hot), key)
+    return marked.where("is_hot").drop("is_hot").unionByName(rest)
+
+
 def by_range(rows: DataFrame, finish, schema: str) -> DataFrame:
     """One row finish(range, blocks), as a dict, for each range of rows (range, block).
 

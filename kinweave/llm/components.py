@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut
+from kinweave.llm.common import cut, join_hot
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_minimum(edges: DataFrame, total: int) -> DataFrame:
+    """edges with m, the smallest node among u and its neighbours; a star's centre may have most of the edges."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_hot(edges, least, "u", "n", total)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,9 +28,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = _digest(e)
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_minimum(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
-        joined = large.join(_minimum(large), "u")
+        joined = _with_minimum(large, before[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())
         if (now := _digest(e)) == before:

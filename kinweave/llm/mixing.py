@@ -11,9 +11,12 @@
    takes every word floor(f) times and the rest from the front of that order.
 
 A null text has 0 words and is taken 0 times. A null source is a source of its own, the last one.
-Repeated rows (equal ids) are rows of their own, in any order among equals. An empty table gives an
-empty one. Nothing depends on the order or partitioning of the rows, so reruns agree. Columns of the
-input that are named like an output are replaced.
+Repeated rows (equal ids) are rows of their own; those with equal ids and sizes come in order of their
+texts' hashes, and only rows with equal texts are in any order. An empty table gives an empty one. A very
+long text may be cut like any other; its shard is as large as it is. Nothing depends on the order or
+partitioning of the rows, so reruns agree. Columns of the input that are named like an output are
+replaced, others keep their values whatever their names. There are a few rows for each source and shard;
+the sources, thousands at most, are ranked in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import words
+from kinweave.llm.common import KEYS, Columns, cut_table, stored, words
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -85,10 +88,16 @@ def mix(
     docs: DataFrame, share: float = 1.5, most: int = 2, block_words: int = 16, shard_docs: int = 4096,
     seed: int = 1, weights: tuple[int, ...] = WEIGHTS,
 ) -> DataFrame:
-    """The rows of docs (columns doc_id, text, source) with size, source_size, target and taken."""
-    given = [c for c in docs.columns if c not in OUTPUTS]
-    sized = docs.select(*given, F.size(words(F.col("text"))).cast("bigint").alias("size"), _part(F.col("doc_id"), seed).alias("_part"))
-    parts = sized.groupBy("source", "_part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    """The rows of docs (columns doc_id, text, source) without text, with size, source_size, target and taken.
+
+    Words are counted in one pass over the texts; what is decided on, all columns but text, is kept in the
+    shared folder.
+    """
+    given = Columns(docs, [*OUTPUTS, "text"])
+    text = F.col(given["text"])
+    facts = {"doc_id": F.col(given["doc_id"]), "source": F.col(given["source"]), "size": F.size(words(text)).cast("bigint"), "tie": F.xxhash64(text)}
+    sized = cut_table(given.rows.withColumns(facts | {"part": _part(F.col(given["doc_id"]), seed)}).drop(given["text"]))
+    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = parts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
     shards = F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col("n") / shard_docs)))
     sources = targets(sources.select("source", "source_size", shards.alias("shards")), share, most, weights)
@@ -97,7 +106,7 @@ def mix(
 
     def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
         right = table.withColumnsRenamed({"source": "_source", "shards": "_shards"})
-        return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("_part", "_shards"))
+        return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("part", "_shards"))
 
     by_shard = with_source(parts.drop("n"), sources).groupBy("source", "_shard").agg(
         F.sum("words").alias("shard_words"), F.max("blocks").alias("blocks"), *[F.max(c).alias(c) for c in ("source_size", "target")]
@@ -108,23 +117,26 @@ def mix(
 
     placed = with_source(sized, sources.select("source", "shards"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_in")))
-    order = W.partitionBy("source", "_shard").orderBy(seeded(F.col("doc_id"), seed), "doc_id", "size")
+    order = W.partitionBy("source", "_shard").orderBy(seeded(F.col("doc_id"), seed), "doc_id", "size", "tie")
     before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     times = F.when(F.col("_words") > 0, F.floor(F.col("_quota") / F.col("_words"))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - times * F.col("_words") - before))
-    return placed.withColumn("taken", (F.col("size") * times + rest).cast("bigint")).select(*given, *OUTPUTS)
+    taken = placed.withColumn("taken", (F.col("size") * times + rest).cast("bigint"))
+    return given.back(taken, {c: F.col(c) for c in OUTPUTS})
 
 
-def resample(docs: DataFrame, **options) -> DataFrame:
+def resample(docs: DataFrame, number=stored, **options) -> DataFrame:
     """The mix as rows of docs: each row as often as it is taken whole, and, where a quota ends inside
-    a text, once more with that text's leading words. Columns stay as they came. Texts move once, to
-    meet what was decided about their rows; so the input must give its rows in the same order each time
-    it is read, as files do."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    m = mix(numbered.select("_row", "doc_id", "text", "source"), **options).where("taken > 0")
+    a text, once more with that text's leading words. Columns stay as they came. number: how rows are told
+    apart, `common.stored` or, for files as they were read, `common.placed`. Texts move once, to meet what
+    was decided about their rows."""
+    given = Columns(docs)
+    numbered = number(given.rows)
+    asked = [F.col(given[c]).alias(c) for c in ("doc_id", "text", "source")]
+    m = mix(numbered.select(*KEYS, *asked), **options).where("taken > 0")
     whole, left = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
-    decided = m.select("_row", copies.alias("_copies"))
-    rows = numbered.join(decided, "_row").withColumn("_cut", F.explode("_copies"))
-    front = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_cut").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("_cut") > 0, front).otherwise(F.col("text"))).select(*docs.columns)
+    rows = numbered.join(m.select(*KEYS, copies.alias("copies")), KEYS).withColumn("cut", F.explode("copies"))
+    text = F.col(given["text"])
+    front = F.array_join(F.slice(words(text), F.lit(1), F.col("cut").cast("int")), " ")
+    return given.back(rows, replaced={"text": F.when(F.col("cut") > 0, front).otherwise(text)})

@@ -7,7 +7,9 @@ text are mapped back to characters of the source; one that takes in a rewritten
 overlap a base span of its kind is added. Base spans always stay.
 
 Offsets are code points, ends exclusive. A null text counts as an empty one: no spans. Repeated rows
-give the same result. Columns named like an output are replaced. All work is on one row at a time.
+give the same result. An empty table gives an empty one. A very long text is gone through once for
+each pattern. Columns named like an output are replaced, all others pass through whatever their names.
+All work is on one row at a time.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import re
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinweave.llm.common import append
+from kinweave.llm.common import Columns, append
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -219,7 +222,8 @@ def written(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs (with a column text) with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans, all of them."""
+    """docs (with a column text) with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and
+    all spans with their number n_spans."""
 
     def make():
         def run(texts):
@@ -227,12 +231,13 @@ def find(docs: DataFrame) -> DataFrame:
             for t in texts:
                 base = base_spans(t or "")
                 kinds = [k for k, _, _ in base]
-                rows.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(written(base).encode()).hexdigest(), written(all_spans(t or "", base))))
+                spans = all_spans(t or "", base)
+                rows.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans)))
             return [list(c) for c in zip(*rows, strict=True)]
 
         return run
 
-    return append(docs, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", make)
+    return append(docs, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint", make)
 
 
 def redacted(text: str | None) -> str | None:
@@ -249,5 +254,6 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data taken out of the column text; the columns stay as they came."""
-    done = append(docs, "_redacted string", lambda: lambda texts: [[redacted(t) for t in texts]])
-    return done.select(*[done["_redacted"].alias("text") if c == "text" else done[c] for c in docs.columns])
+    given = Columns(docs)
+    done = append(given.rows, "redacted string", lambda: lambda texts: [[redacted(t) for t in texts]], column=given["text"])
+    return given.back(done, replaced={"text": F.col("redacted")})

@@ -14,7 +14,9 @@ Rules, for each row:
   nearer pair of limits `joint_char_distance` and `joint_word_distance`; either alone is too weak there.
 
 A null text counts as an empty one (0 words: base fails). Repeated rows are judged alike, each by
-itself. Other columns pass through unread, except that a column named like an output is replaced.
+itself. An empty table gives an empty one. A very long text is judged as any other, in memory of some
+ten times its size. Other columns pass through unread, whatever their names, except that a column named
+like an output is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import SPACE, words
+from kinweave.llm.common import SPACE, Columns, words
 
 # Shares of character classes in prose of each language, by class: lower-case ASCII,
 # white space, upper-case ASCII, digits, symbols, non-ASCII, other ASCII.
@@ -85,8 +87,8 @@ def assess(
     joint_word_distance: float = 0.25,
 ) -> DataFrame:
     """The rows of docs (which need a column text) with the columns of OUTPUTS added."""
-    kept = [c for c in docs.columns if c not in OUTPUTS]
-    d = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_t"))
+    given = Columns(docs, OUTPUTS)
+    d = given.rows.withColumn("_t", F.coalesce(given["text"], F.lit("")))
     d = d.withColumn("_w", words(F.col("_t")))
     # Strip one class of characters after another; each count is the difference of two lengths.
     for at, pattern in enumerate(("[a-z]+", SPACE + "+", "[A-Z]+", "[0-9]+", SYMBOLS + "+", r"[^\x00-\x7F]+")):
@@ -118,7 +120,8 @@ def assess(
     # A filter is not moved below a column that is not deterministic. Moved down step by step, the rules
     # would become one expression that repeats every step's work many times over.
     fence = F.monotonically_increasing_id() >= 0
-    return d.withColumns({"base_failed": base, "kept": ~base & ~diverges & fence}).select(*kept, *OUTPUTS)
+    judged = d.withColumns({"base_failed": base, "kept": ~base & ~diverges & fence})
+    return given.back(judged, {c: F.col(c) for c in OUTPUTS})
 
 
 def _common(d: DataFrame) -> DataFrame:
@@ -159,6 +162,6 @@ def _repeats(d: DataFrame, width: int = 5) -> DataFrame:
 
 def reject(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows that pass all rules, with all the columns they came with."""
-    away = {c: f"_given_{c}" for c in docs.columns if c in OUTPUTS}
-    held = assess(docs.withColumnsRenamed(away), **limits).where("kept")
-    return held.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+    given = Columns(docs)
+    judged = assess(given.rows.withColumnRenamed(given["text"], "text"), **limits).withColumnRenamed("text", given["text"])
+    return given.back(judged.where("kept"))

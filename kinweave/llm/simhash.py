@@ -13,7 +13,9 @@
 
 A null or empty text has fingerprint zero and is linked like any other. Rows with equal texts share
 their fingerprint. A null doc_id takes part but names nothing, unless a component has no other: then
-its component_id is null. Columns named like an output are replaced; others pass through `keep_first`.
+its component_id is null. An empty table gives an empty one. A very long text needs some twenty times
+its size in memory while its shingles are counted. `near_duplicates` reads no other columns; all pass
+through `keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import golay
-from kinweave.llm.common import append, cut
+from kinweave.llm.common import KEYS, Columns, append, cut, cut_table, join_hot, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -183,28 +185,37 @@ def link(fingerprints: DataFrame, distance: int = 4, most: int = 1 << 16) -> Dat
     return links if over.isEmpty() else links.union(_blockwise(over, distance, most))
 
 
-def groups(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(f, label, component_id) for each distinct fingerprint of prints (doc_id, f)."""
-    nodes = cut(prints.groupBy("f").agg(F.min("doc_id").alias("first")))
-    labels = components(link(nodes.select("f"), distance)).withColumnRenamed("node", "f")
-    linked = nodes.join(labels, "f")
-    named = linked.groupBy("label").agg(F.min("first").alias("named"))
-    linked = linked.join(named, "label").select("f", "label", "named")
-    return nodes.join(linked.withColumn("linked", F.lit(True)), "f", "left").select(
-        "f", F.coalesce("label", "f").alias("label"), F.when(F.col("linked"), F.col("named")).otherwise(F.col("first")).alias("component_id")
-    )
+def groups(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """nodes with a column label, equal for linked fingerprints; nodes have one row for each fingerprint f."""
+    labels = cut_table(components(link(nodes.select("f"), distance)).select(F.col("node").alias("f"), "label"))
+    return nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
-    prints = cut(with_fingerprint(docs.select("doc_id", "text"), "f").select("doc_id", "f"))
-    named = prints.join(groups(prints, distance), "f")
-    return named.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The rows of docs that name their component, one row for each component, with all columns."""
-    prints = cut(with_fingerprint(docs.select("doc_id", "text"), "f").select("doc_id", "f"))
-    g = groups(prints, distance).select(F.col("f").alias("_f"), F.col("label").alias("_label"), F.col("component_id").alias("_component"))
-    rows = with_fingerprint(docs, "_f").join(g, "_f").where(F.col("doc_id").eqNullSafe(F.col("_component")))
-    return rows.dropDuplicates(["_label"]).select(*docs.columns)
+    given = Columns(docs)
+    rows = given.rows.select(F.col(given["doc_id"]).alias("doc_id"), F.col(given["text"]).alias("text"))
+    prints = cut_table(with_fingerprint(rows, "f").select("doc_id", "f"))
+    nodes = prints.groupBy("f").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    grouped = cut_table(groups(cut_table(nodes), distance))
+    named = grouped.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_print = join_hot(grouped, named, "label", "members", grouped.count()).select("f", "n", "component_id")
+    whole = join_hot(prints, cut_table(of_print), "f", "n", prints.count())
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, distance: int = 4, number=stored) -> DataFrame:
+    """The rows of docs that come first in their component, one row for each component, with all columns.
+
+    Rows come in the order of their doc_id (null last), a hash of their text, and their place. number: how
+    rows are told apart, `common.stored` or, for files as they were read, `common.placed`. All is decided
+    on narrow rows; texts move once, to meet the chosen places.
+    """
+    given = Columns(docs)
+    rows = number(given.rows)
+    doc_id, text = F.col(given["doc_id"]), F.col(given["text"])
+    place = F.struct(doc_id.isNull(), doc_id, F.xxhash64(text), *KEYS)
+    narrow = with_fingerprint(rows.select(place.alias("place"), text.alias("text")), "f").select("place", "f")
+    nodes = cut_table(narrow.groupBy("f").agg(F.min("place").alias("place")))
+    first = groups(nodes, distance).groupBy("label").agg(F.min("place").alias("place"))
+    return given.back(rows.join(first.select(*[F.col(f"place.{k}").alias(k) for k in KEYS]), KEYS, "left_semi"))
