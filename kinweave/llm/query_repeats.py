@@ -7,7 +7,7 @@ from kinweave.llm.common import table
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(table(spark, sf_dir, "documents"), number=repeats.placed).drop("kept", "spans")
+    return repeats.remove(table(spark, sf_dir, "documents"), number=repeats.placed, with_kept=False).drop("kept", "spans")
 
 
 QUERIES = {"op6_suffix_dedup": op6}

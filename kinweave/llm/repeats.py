@@ -1,26 +1,33 @@
 """Exact removal of repeated byte strings: every byte covered by a string of `length` bytes that also
 starts anywhere else goes, judged on the texts as they came.
 
-Ranks of positions are refined at growing lengths, and a position leaves as soon as its rank is unique
-or settled past the threshold, as in prefix doubling over a suffix array:
-
-1. Anchors, `gram` bytes. Each window of `length` bytes has as its anchor its gram with the smallest
-   hash, which equal windows share. An anchor stands for all windows that have it; about one position
-   in a hundred is one. An anchor whose gram occurs once is unique: none of its windows repeat.
-2. Contexts, all bytes of an anchor's windows. If a context occurs twice, all its windows repeat, past
-   the threshold; copies of whole texts end here.
-3. Windows, `length` bytes. Of the contexts whose gram has others, one of each kind lays out its
-   windows, which again meet.
-
-Both times, items that meet in one batch of a task are settled there and go on as one row, so what is
+Distributed prefix doubling over the positions of all texts. A position's rank at a length is a name of
+the string of that length there, equal for equal strings; the ranks at 2L are the pairs of ranks at L
+of a position and of the one L further on. At each length, in growing order, Spark sorts the ranks of the
+positions that are still open; a position whose rank is unique leaves, the others go on to the double
+length, and at `length` they are the answer. `longest_repeat` is the last length at which a text still
+had an open position.
+
+Not all positions are sorted at the first length; two sieves, which lose nothing, come before:
+
+1. Anchors. Each window of L bytes has as its anchor its gram with the smallest hash, which equal windows
+   share. Anchors are sorted by their gram; where that is unique, none of the anchor's windows repeat. An
+   anchor stands for all windows that have it, so some two positions in a hundred are sorted.
+2. Contexts. All bytes of an anchor's windows are its context. If a context occurs twice, all its windows
+   repeat. Of the contexts whose gram has others, one of each kind lays its windows out, to meet those
+   of other kinds. Copies of whole texts end here, at each length.
+
+In both sorts, items that meet in one batch of a task are settled there and go on as one row, so what is
 common to a third of all texts gives no more rows than there are batches; the rest meet by Spark's sort.
-4. A text's settled windows become intervals, and what they cover is cut out.
-
-Keys are two hashes, together 96 bits or more. A null text counts as an empty one; texts under
-`length` bytes lose nothing. Repeated rows are occurrences of their own, so both lose what they share.
-What is kept of a text is bytes: a cut may go through a character. Columns other than doc_id and text
-are not read. Rows are told apart by a number that is either written down with them or, for Parquet
-files, their place in the files; it doesn't depend on how a job splits the input.
+In the end a text's open positions become intervals, and what they cover is cut out.
+
+Ranks are names made by hashing, 96 bits or more together, as a pair can then be formed where its text
+is; they are not compared byte by byte. A null text counts as an empty one; texts under `length` bytes
+lose nothing. An empty table gives an empty one. A very long text is one task's work, in memory of some
+sixty times its size. Repeated rows are occurrences of their own, so both lose what they share. What is
+kept of a text is bytes: a cut may go through a character. Columns other than doc_id and text are not
+read. Rows are told apart by a number that is either written down with them or, for Parquet files, their
+place in the files; it doesn't depend on how a job splits the input.
 """
 
 from __future__ import annotations
@@ -54,9 +61,9 @@ def settle(first_key: np.ndarray, second_key: np.ndarray, n: np.ndarray) -> tupl
     return repeats, first[back], total[back]
 
 
-def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g: np.ndarray, n: np.ndarray):
-    """Rows (row, lo, hi, key, g, n) for ranges of windows: one for each kind of this batch, n at most 2,
-    and with n = 0, under a key of their own, the ranges that repeat for sure, adjoining ones as one."""
+def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g: np.ndarray, n: np.ndarray, length: int):
+    """Rows (row, lo, hi, key, g, n, length) for ranges of windows: one for each kind of this batch, n at most
+    2, and with n = 0, under a key of their own, the ranges that repeat for sure, adjoining ones as one."""
     import pyarrow as pa
 
     repeats, first, total = settle(key, g, n)
@@ -67,48 +74,75 @@ def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g
     own = mix((r[new].astype(np.uint64) << np.uint64(24)) + a[new].astype(np.uint64)).view(np.int64)
     none = np.zeros(len(new), np.int64)
     columns = zip((r[new], a[new], b[last], own, none, none), (row[first], lo[first], hi[first], key[first], g[first], np.minimum(total, 2)), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=NAMES_RANGE)
+    arrays = [np.concatenate(c) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in [*arrays, np.full(len(arrays[0]), length)]], names=NAMES_RANGE)
 
 
-NAMES_RANGE = ["row", "lo", "hi", "key", "g", "n"]
+NAMES_RANGE = ["row", "lo", "hi", "key", "g", "n", "length"]
 RANGE = ", ".join(f"{c} bigint" for c in NAMES_RANGE)
 
 
-def _anchors(length: int, gram: int):
-    """The anchors of each text, keyed by context and gram."""
+def _anchors(lengths: list[int], grams: list[int]):
+    """The anchors of each text for each length, keyed by context and gram."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            out: dict[int, list] = {length: [] for length in lengths}
             for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
                 data = (text.as_py() or "").encode()
-                if len(data) >= length:
-                    lo, hi, g, context = anchors(Hashed(data), length, gram)
-                    out.append((np.full(len(lo), row.as_py()), lo, hi, context, g, np.ones(len(lo), np.int64)))
-            if out:
-                yield _settled(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                if len(data) >= lengths[0]:
+                    hashed = Hashed(data)
+                    for length, gram in zip(lengths, grams, strict=True):
+                        if len(data) >= length:
+                            lo, hi, g, context = anchors(hashed, length, gram)
+                            # Grams of different lengths are different things, also where they hash alike.
+                            g = mix(g.view(np.uint64) ^ np.uint64(length)).view(np.int64)
+                            out[length].append((np.full(len(lo), row.as_py()), lo, hi, context ^ length, g, np.ones(len(lo), np.int64)))
+            for length, found in out.items():
+                if found:
+                    yield _settled(*(np.concatenate(x) for x in zip(*found, strict=True)), length)
 
     return run
 
 
-def _windows(length: int):
-    """The windows of each text's open contexts, keyed by window and gram."""
+def _ranks(h: Hashed, at: np.ndarray, length: int, base: int) -> np.ndarray:
+    """The ranks of positions at a length: names at the base length, and above it pairs of ranks at half of it."""
+    if length == base:
+        return h.at(at, length)
+    half = length // 2
+    return mix(_ranks(h, at, half, base) ^ mix(_ranks(h, at + half, half, base)))
+
+
+def _inside(at: np.ndarray, ranges: list) -> np.ndarray:
+    """Which positions lie in one of the ranges lo … hi."""
+    lo, hi = (np.array([r[x] for r in ranges], np.int64) for x in ("lo", "hi"))
+    order = np.argsort(lo)
+    lo, furthest = lo[order], np.maximum.accumulate(hi[order])
+    k = np.searchsorted(lo, at, side="right") - 1
+    return (k >= 0) & (at <= furthest[np.maximum(k, 0)])
+
+
+def _windows(length: int, base: int):
+    """The open positions in each text's open contexts, keyed by rank and gram. Above the base length, a
+    position is open if it and the one half the length further on still were at half the length."""
 
     def run(batches):
         held: list[tuple] = []
         count = 0
         for batch in batches:
-            for r in batch.select(["row", "text", "contexts"]).to_pylist():
+            for r in batch.to_pylist():
                 h = Hashed(r["text"].encode())
                 for c in r["contexts"]:
                     s = np.arange(c["lo"], c["hi"] + 1)
-                    held.append((np.full(len(s), r["row"]), s, s, h.at(s, length).view(np.int64), np.full(len(s), c["g"] & 0xFFFFFFFF), np.full(len(s), c["n"])))
+                    if length > base:
+                        s = s[_inside(s, r["ranges"]) & _inside(s + length // 2, r["ranges"])]
+                    held.append((np.full(len(s), r["row"]), s, s, _ranks(h, s, length, base).view(np.int64), np.full(len(s), c["g"] & 0xFFFFFFFF), np.full(len(s), c["n"])))
                     count += len(s)
                 if count >= BATCH_WINDOWS:
-                    yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
                     held, count = [], 0
-        if held:
-            yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if count:
+            yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
 
     return run
 
@@ -124,24 +158,27 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut():
+def _cut(lengths: list[int], with_kept: bool):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for doc_id, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
-                data = (text or "").encode()
-                spans = merged(np.array([m["s"] for m in marks]), np.array([m["e"] for m in marks])) if marks else []
-                edges = [0, *[x for span in spans for x in span], len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"s": a, "e": b} for a, b in spans]))
-            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=run.schema)
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for r in batch.slice(at, 64).to_pylist():
+                    data = (r["text"] or "").encode()
+                    open_ = r[f"ranges_{lengths[-1]}"]
+                    spans = merged(np.array([m["lo"] for m in open_]), np.array([m["hi"] for m in open_]) + lengths[-1]) if open_ else []
+                    edges = [0, *[x for span in spans for x in span], len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    longest = max((n for n in lengths if r[f"ranges_{n}"]), default=0)
+                    out.append((r["doc_id"], len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), longest, kept if with_kept else None, [{"s": a, "e": b} for a, b in spans]))
+                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=run.schema)
 
     return run
 
 
-NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat", "kept", "spans"]
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -160,39 +197,52 @@ def placed(files: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(numbers), "path").select(row.alias("row"), "doc_id", "text")
 
 
-def marks(numbered: DataFrame, length: int = 400, gram: int = 160) -> DataFrame:
-    """For each row of numbered (row, doc_id, text) with repeats its intervals (s, e). A row must have
-    the same number in every job."""
-    if not 1 <= gram <= length:
-        raise ValueError("a gram is part of a window")
+def open_ranges(numbered: DataFrame, lengths: list[int], grams: list[int]) -> list[DataFrame]:
+    """For each length (row, ranges): the ranges lo … hi of each row's positions whose string of that length
+    also starts elsewhere, for numbered (row, doc_id, text). A row must have the same number in every job."""
     kind = W.partitionBy("key", "g")
-    ranked = numbered.mapInArrow(_anchors(length, gram), RANGE).withColumns(
+    ranked = numbered.mapInArrow(_anchors(lengths, grams), RANGE).withColumns(
         {"total": F.sum("n").over(kind), "place": F.row_number().over(kind.orderBy(F.desc("n"), "row", "lo"))}
     )
     done = (F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") > 1))
-    names = ["row", "lo", "hi", "g", F.least("total", F.lit(2)).alias("n"), done.alias("done"), ((F.col("n") > 0) & (F.col("place") == 1)).alias("leads")]
+    names = ["row", "lo", "hi", "g", "length", F.least("total", F.lit(2)).alias("n"), done.alias("done"), ((F.col("n") > 0) & (F.col("place") == 1)).alias("leads")]
     found = cut_table(ranked.select(*names).where("done or leads"))
-    leads = found.where("leads").select("row", "lo", "hi", "g", "n")
+    leads = found.where("leads").select("row", "lo", "hi", "g", "n", "length")
     several = leads.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
-    lists = leads.join(several, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "g", "n")).alias("contexts"))
-    laid = numbered.join(lists, "row").mapInArrow(_windows(length), RANGE).withColumn("total", F.sum("n").over(kind))
-    settled = laid.where(done).select("row", "lo", "hi").union(found.where("done").select("row", "lo", "hi"))
-    spans = settled.select("row", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    contexts = cut_table(leads.join(several, "g", "left_semi"))
+    out: list[DataFrame] = []
+    for length in lengths:
+        lists = contexts.where(F.col("length") == length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "g", "n")).alias("contexts"))
+        texts = numbered.join(lists, "row")
+        if out:
+            texts = texts.join(out[-1], "row")
+        laid = texts.mapInArrow(_windows(length, lengths[0]), RANGE).withColumn("total", F.sum("n").over(kind))
+        settled = laid.where(done).select("row", "lo", "hi").union(found.where("done").where(F.col("length") == length).select("row", "lo", "hi"))
+        out.append(settled.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    return out
 
 
-def remove(docs: DataFrame, length: int = 400, gram: int = 160, number=stored) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for each row of docs (doc_id, text).
+def remove(docs: DataFrame, length: int = 400, gram: int = 160, rounds: int = 2, number=stored, with_kept: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, kept, spans) for each row of docs (doc_id, text).
 
+    rounds: how many lengths there are, each the double of the one before, `length` the last; longest_repeat
+    is one of these lengths, or 0 where no string of even the first one repeats.
     number: `stored` for any docs, or `placed`, which writes no texts, for Parquet files as they were read.
+    with_kept: whether to give what remains of the texts; else kept is null.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    half = 1 << rounds - 1
+    if not half <= gram <= length or length % half:
+        raise ValueError("a gram is part of a window, and lengths double")
+    lengths, grams = ([n >> k for k in range(rounds - 1, -1, -1)] for n in (length, gram))
     numbered = number(docs)
-    intervals = marks(numbered, length, gram)
-    kind = dict(docs.dtypes)["doc_id"]
-    out = T.StructType.fromDDL(f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<s:int,e:int>>")
-    run = _cut()
+    kind = dict(numbered.dtypes)["doc_id"]
+    out = T.StructType.fromDDL(f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, longest_repeat bigint, kept binary, spans array<struct<s:int,e:int>>")
+    run = _cut(lengths, with_kept)
     run.schema = to_arrow_schema(out)
-    return numbered.join(intervals, "row", "left").mapInArrow(run, out)
+    rows = numbered
+    for n, ranges in zip(lengths, open_ranges(numbered, lengths, grams), strict=True):
+        rows = rows.join(ranges.withColumnRenamed("ranges", f"ranges_{n}"), "row", "left")
+    return rows.mapInArrow(run, out)
