@@ -117,9 +117,14 @@ def append(df: DataFrame, schema: str, make: Callable[[], Callable[[list], list]
 
 def cut_table(df: DataFrame) -> DataFrame:
     """As `cut`, but kept as Parquet, which is smaller than a checkpoint for many narrow rows."""
+    return df.sparkSession.read.schema(df.schema).parquet(cut_files(df))
+
+
+def cut_files(df: DataFrame) -> str:
+    """Writes the rows as Parquet and gives the folder, for tasks that go through all of it by themselves."""
     path = f"{own_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: What tells rows apart.

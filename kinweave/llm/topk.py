@@ -1,15 +1,19 @@
 """Exact top-k search over integer vectors by exhaustive term-at-a-time accumulation.
 
 A vector's component x becomes the integer floor(scale * x); a term is a component's position. Queries
-and candidates are each packed into blocks, and every query block meets every candidate block in one
-row. There, term by term, the queries' nonzero weights times the term's postings are scattered into a
-dense array of scores; each query's k best are selected by partition. The blocks' results then merge.
-Memory is two blocks and their scores, however many rows there are.
+are packed into blocks, which are written down once in the shared folder. Candidates stay where they are
+read: each task holds up to `hold` of them at a time as blocks of postings, and streams the query blocks
+past them. There, term by term, a query's nonzero weights times the term's postings are scattered into a
+dense array of scores; the k best are selected by partition, block after block. Only those k rows for each
+query and held part are shuffled, and merged. Memory is what is held, one query block and one block of
+scores, however many rows there are.
 
 Vectors that are null, or hold a null or a value that isn't finite, take no part; an empty vector has
 score 0 with all. Vectors of unequal length are padded with zeros. A query's own id is never among its
 results. Query rows that repeat an id are one query, by the smallest vector; candidate rows that repeat
-an id stay rows of their own. Scores are 64-bit integers and must fit into that. Ties go to the smaller id.
+an id stay rows of their own. Scores are 64-bit integers and must fit into that. Ties go to the smaller
+id. Empty tables give an empty result. Columns other than id and v are not read. The shared folder must be
+one that pyarrow can open.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import cut_files
+
 
 def usable(vector: Column) -> Column:
     """True for a vector without nulls whose components are all finite."""
@@ -75,42 +81,54 @@ def best(found: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -found[at]))[:k]]
 
 
-def _search(k: int):
-    def run(batches):
+def _blocks(packed, names=("n", "terms", "ids", "weights")):
+    """Ids and postings (terms, n) of each packed block of a record batch."""
+    for r in packed.select(list(names)).to_pylist():
+        yield np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64).reshape(r["terms"], r["n"])
+
+
+def _search(k: int, uri: str, block: int, hold: int):
+    """Rows (id, w) of candidates to (query_id, vec_id, score), the k best of what is held, for each query."""
+
+    def found(held):
         import pyarrow as pa
+        from pyarrow import dataset, fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        for queries in dataset.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=1):
+            for own, q in _blocks(queries):
+                ids, best_scores, owner = (np.empty(0, np.int64) for _ in range(3))
+                for c_ids, c in held:
+                    s = scores(q, c)
+                    at = [best(s[i], c_ids, x, k) for i, x in enumerate(own)]
+                    row = np.repeat(np.arange(len(own)), [len(a) for a in at])
+                    flat = np.concatenate(at)
+                    owner, ids, best_scores = np.r_[owner, row], np.r_[ids, c_ids[flat]], np.r_[best_scores, s[row, flat]]
+                    order = np.lexsort((ids, -best_scores, owner))
+                    owner, ids, best_scores = owner[order], ids[order], best_scores[order]
+                    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    owner, ids, best_scores = owner[place < k], ids[place < k], best_scores[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(own[owner]), pa.array(ids), pa.array(best_scores)], names=["query_id", "vec_id", "score"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, c_ids = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "ids"))
-                q = np.frombuffer(r["q_weights"], np.int64).reshape(r["q_terms"], -1) if r["q_terms"] else np.zeros((0, len(q_ids)), np.int64)
-                c = np.frombuffer(r["weights"], np.int64).reshape(r["terms"], -1) if r["terms"] else np.zeros((0, len(c_ids)), np.int64)
-                s = scores(q, c)
-                at = [best(s[i], c_ids, own, k) for i, own in enumerate(q_ids)]
-                count = [len(a) for a in at]
-                flat = np.concatenate(at) if at else np.empty(0, np.int64)
-                row = np.repeat(np.arange(len(q_ids)), count)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[flat]), pa.array(s[row, flat])], names=["query_id", "vec_id", "score"])
+    def run(batches):
+        held, count = [], 0
+        for packed in _pack(block)(batches):
+            held += _blocks(packed)
+            count += len(held[-1][0])
+            if count >= hold:
+                yield from found(held)
+                held, count = [], 0
+        if held:
+            yield from found(held)
 
     return run
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, query_block: int = 128, block: int = 1024) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, query_block: int = 128, block: int = 1024, hold: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates (id, v) of each query (id, v)."""
     q = weights(queries, scale).groupBy("id").agg(F.min("w").alias("w"))
-    n_blocks = max(1, -(-q.count() // query_block))
-    # The block number spreads queries evenly; a block's members are packed where the number is dealt to.
-    # A block may come out in pieces, which then each meet all candidates.
-    packed = q.repartition(n_blocks, "id").mapInArrow(_pack(query_block), "n bigint, terms bigint, ids binary, weights binary")
-    packed = packed.select(F.lit(0).alias("all"), F.col("terms").alias("q_terms"), F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"))
-    blocks = weights(candidates, scale).mapInArrow(_pack(block), "n bigint, terms bigint, ids binary, weights binary")
-    return _meet(packed, blocks, n_blocks, k)
-
-
-def _meet(packed: DataFrame, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    number = F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks))
-    numbered = packed.withColumn("b", number)
-    spread = blocks.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    pairs = spread.join(numbered, "b").select("q_terms", "q_ids", "q_weights", "terms", "ids", "weights")
-    found = pairs.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    packed = q.mapInArrow(_pack(query_block), "n bigint, terms bigint, ids binary, weights binary")
+    uri = cut_files(packed)
+    found = weights(candidates, scale).mapInArrow(_search(k, uri, block, hold), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
