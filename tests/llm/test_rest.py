@@ -65,6 +65,61 @@ def test_license_inserted_words(spark):
     assert len(rows) > 2000 and not missed
 
 
+def test_license_repeated_phrases(spark):
+    """A phrase said again and again is not a license, however often; a license beside it is still found."""
+    mit, wide = license.TEMPLATES[0][1], " ".join(f"w{i}" for i in range(40))
+    periodic = ["to deal in the " * 25, "of the software and " * 30, "the following conditions " * 5000, "to deal in the " * 4000]
+    rows = [*enumerate(periodic), (10, periodic[0] + mit), (11, f"{mit} {periodic[0]}"), (12, f"{periodic[3]}{wide} {mit} {wide} {periodic[3]}"), (13, f"{mit} {wide} {mit}")]
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i].labels == "" and got[i].score == 0 and not got[i].spans for i in range(4))
+    n = len(FOLDED.findall(lower(mit)))
+    for i, starts in ((10, [100]), (11, [0]), (12, [16040]), (13, [0, n + 40])):
+        assert got[i].labels == "mit" and [(s["first"], s["end"]) for s in got[i].spans if s["cover"] == 1] == [(a, a + n) for a in starts]
+
+
+def test_license_recall_and_brute_force(spark):
+    """Copies with words changed, put in or left out, against an alignment of every window of the text."""
+    rnd, rows = random.Random(4), []
+    for t, (label, text) in enumerate(license.TEMPLATES):
+        w = FOLDED.findall(lower(text))
+        for rate in (0.02, 0.05, 0.1, 0.3, 0.6) if len(w) >= 30 else ():
+            for _ in range(12):
+                edited = []
+                for x in w:
+                    r = rnd.random()
+                    edited += [x] if r > rate else [rnd.choice(w)] if r < rate / 3 else [x, "zzz"] if r < 2 * rate / 3 else []
+                rows.append((f"{label} {t} {rate}", " ".join([*["aa"] * rnd.randrange(9), *edited, *["bb"] * rnd.randrange(9)])))
+    got = Counter()
+    for r in license.scan(spark.createDataFrame(rows, "doc_id string, text string").coalesce(2)).collect():
+        label, _, rate = r.doc_id.split()
+        got[rate] += label in [s.label for s in r.spans]
+    each = len(rows) / 5
+    assert got["0.02"] == each and got["0.05"] == each and got["0.1"] >= 0.9 * each
+
+    def aligned(text, template, k=4):
+        """Whether the common k-grams, chained in order, cover the template densely, by plain dynamic programming."""
+        a, b = FOLDED.findall(lower(text)), FOLDED.findall(lower(template))
+        pairs = sorted({(i + d, j + d) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k] for d in range(k)})
+        best = [1] * len(pairs)
+        for x in range(len(pairs)):
+            for y in range(x):
+                if pairs[y][0] < pairs[x][0] and pairs[y][1] < pairs[x][1]:
+                    best[x] = max(best[x], best[y] + 1)
+        return max(best, default=0) / len(b)
+
+    few = [r for r in rows if r[0].endswith("0.3")][::3] + [r for r in rows if r[0].endswith("0.1")][::8]
+    for name, text in few:
+        t = int(name.split()[1])
+        pos, at = [], []
+        a, b = FOLDED.findall(lower(text)), FOLDED.findall(lower(license.TEMPLATES[t][1]))
+        for i in range(len(a) - 3):
+            for j in range(len(b) - 3):
+                if a[i : i + 4] == b[j : j + 4]:
+                    pos.append(i)
+                    at.append(j)
+        assert len(license.chain(np.array(pos, np.int64), np.array(at, np.int64), 4)) / len(b) == aligned(text, license.TEMPLATES[t][1])
+
+
 # Quality classifier
 
 
