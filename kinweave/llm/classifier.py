@@ -2,17 +2,19 @@
 
 1. Word vectors. Words (runs of letters and digits, runs of other signs, A-Z in lower case) fall into
    `buckets` by hash. Every bucket has a sparse random index vector; a bucket's vector is the sum of the
-   index vectors of all its words' neighbours, over all texts, less what chance alone would give, and
-   scaled to length one. Each batch's sums meet in two steps, so nothing but the final table of fixed
-   size comes together.
-2. Pooling. A text is the mean of its words' vectors, with a few shares and lengths of itself.
+   index vectors of all its words' neighbours, those that follow rotated so that order shows, over all
+   texts, less what chance alone would give, and scaled to length one. Each batch's sums meet in two
+   steps, so nothing but the final table of fixed size comes together.
+2. Pooling. A text is the mean of its words' vectors, their standard deviation, and the mean product of
+   the vectors of neighbouring words. Nothing else of the text goes in.
 3. Network. Two layers, trained in numpy on at most `most_rows` labelled rows, those with the smallest
    hashes of their ids; the limit is the only one here. A fifth of them is kept to fit a temperature,
    which makes scores probabilities.
 
 Only texts are inputs of a score. A null text counts as an empty one, with a pooled vector of zeros.
-Repeated rows score alike. A null doc_id has no label and is not held out. Labels that are null, or not
-0 or 1, are left out; if one of the two is missing, every score is the share of ones (0.5 without any).
+Repeated rows score alike. An empty table gives an empty one. A very long text is pooled a piece at a time.
+A null doc_id has no label and is not held out. Labels that are null, or not 0 or 1, are left out; if one
+of the two is missing, every score is the share of ones (0.5 without any). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ def index_vectors(buckets: int, size: int, ones: int, seed: int = 5) -> tuple[np
     return r.integers(0, size, (buckets, ones)), r.choice(np.array([-1.0, 1.0]), (buckets, ones))
 
 
+#: How far the index vector of a following word is rotated.
+TURN = 7
+
+
 def context_sums(texts: list[np.ndarray], buckets: int, size: int, ones: int, window: int) -> np.ndarray:
     """For each bucket the summed index vectors of its words' neighbours in the same text, and its count."""
     place, sign = index_vectors(buckets, size, ones)
@@ -52,14 +58,14 @@ def context_sums(texts: list[np.ndarray], buckets: int, size: int, ones: int, wi
         a, b = t[:-d], t[d:]
         both = (a < buckets) & (b < buckets)
         a, b = a[both], b[both]
-        for word, other in ((a, b), (b, a)):
+        for word, other, turn in ((a, b, TURN), (b, a, 0)):
             for k in range(ones):
-                out += np.bincount(word * size + place[other, k], sign[other, k], buckets * size)
+                out += np.bincount(word * size + (place[other, k] + turn) % size, sign[other, k], buckets * size)
     count = np.bincount(t, minlength=buckets + 1)[:buckets]
     return np.concatenate([out.reshape(buckets, size), count[:, None]], axis=1).astype(np.int64)
 
 
-def word_vectors(texts: DataFrame, buckets: int = 8192, size: int = 64, ones: int = 2, window: int = 2, most: int = 1 << 21) -> np.ndarray:
+def word_vectors(texts: DataFrame, buckets: int = 16384, size: int = 64, ones: int = 2, window: int = 2, most: int = 1 << 21) -> np.ndarray:
     """(buckets, size) vectors from all of texts (a column text)."""
 
     def count(batches):
@@ -106,17 +112,21 @@ def word_vectors(texts: DataFrame, buckets: int = 8192, size: int = 64, ones: in
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """One row for each text: the mean vector, then length, share of distinct words, length of the mean
-    vector, share of words that repeat a pair of the text, and letters a word."""
-    out = np.zeros((len(texts), vectors.shape[1] + 5), np.float32)
+def pooled(texts: list[str | None], vectors: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
+    """One row for each text: the mean of its words' vectors, their standard deviation, and the mean
+    product of the vectors of neighbours; zeros for what a text lacks."""
+    size = vectors.shape[1]
+    out = np.zeros((len(texts), 3 * size), np.float32)
     for i, text in enumerate(texts):
         t = tokens(text, len(vectors))
         if n := len(t):
-            mean = vectors[t].mean(axis=0)
-            pairs = t[:-1] * len(vectors) + t[1:]
-            again = 1 - len(np.unique(pairs)) / max(n - 1, 1) if n > 1 else 0.0
-            out[i] = [*mean, np.log1p(n), len(np.unique(t)) / n, np.linalg.norm(mean), again, np.log1p(len(text) / n)]
+            sums = np.zeros((3, size))
+            for at in range(0, n, piece):
+                v = vectors[t[at : at + piece + 1]]  # one more, for the last one's neighbour
+                own = v[:piece]
+                sums += own.sum(axis=0), np.einsum("ij,ij->j", own, own), np.einsum("ij,ij->j", v[:-1], v[1:])
+            mean = sums[0] / n
+            out[i] = np.r_[mean, np.sqrt(np.maximum(sums[1] / n - mean * mean, 0)), sums[2] / max(n - 1, 1)]
     return out
 
 
@@ -187,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Dat
     # The sample is bounded by most_rows, so it can be sent everywhere; repeated texts of an id count once.
     rows = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("pooled").alias("pooled"))
     rows = sorted((r["doc_id"], r["label"], bytes(r["pooled"])) for r in rows.collect())
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, vectors.shape[1] + 5), np.float32)
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 3 * vectors.shape[1]), np.float32)
     network = Network(x.astype(float), np.array([r[1] for r in rows], float))
 
     def apply():
