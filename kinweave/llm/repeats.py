@@ -8,16 +8,21 @@ positions that are still open; a position whose rank is unique leaves, the other
 length, and at `length` they are the answer. `longest_repeat` is the last length at which a text still
 had an open position.
 
-Not all positions are sorted at the first length; two sieves, which lose nothing, come before:
+Not all positions are sorted at the first length; three sieves, which lose nothing, come before:
 
-1. Anchors. Each window of L bytes has as its anchor its gram with the smallest hash, which equal windows
-   share. Anchors are sorted by their gram; where that is unique, none of the anchor's windows repeat. An
-   anchor stands for all windows that have it, so some two positions in a hundred are sorted.
-2. Contexts. All bytes of an anchor's windows are its context. If a context occurs twice, all its windows
-   repeat. Of the contexts whose gram has others, one of each kind lays its windows out, to meet those
-   of other kinds. Copies of whole texts end here, at each length.
+1. Anchors. Each window of the first length has as its anchor its gram with the smallest hash, which equal
+   windows share. The grams are counted; where one is unique, none of its anchor's positions stay open. An
+   anchor stands for all positions that have it, so some two positions in a hundred take part.
+2. Contexts. All bytes of an anchor's windows are its context, for each length. If a context occurs twice,
+   all its positions repeat. Of the contexts whose gram has others, one of each kind goes on, to meet
+   those of other kinds. Copies of whole texts end here.
+3. Sides. A window has, beside the gram, half of its other bytes on the gram's right, or on its left. A
+   context goes on with the side, or sides, that another kind shares.
 
-In both sorts, items that meet in one batch of a task are settled there and go on as one row, so what is
+What is found out about positions is written down by files of the input, and the tasks that read a file
+again read that with it; so texts are never shuffled.
+
+In all sorts, items that meet in one batch of a task are settled there and go on as one row, so what is
 common to a third of all texts gives no more rows than there are batches; the rest meet by Spark's sort.
 In the end a text's open positions become intervals, and what they cover is cut out.
 
@@ -33,16 +38,17 @@ place in the files; it doesn't depend on how a job splits the input.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut_table
+from kinweave.llm.common import cut_table, own_dir
 from kinweave.llm.substrings import Hashed, anchors, mix
 
-#: Windows that a task compares among themselves before it passes them on.
+#: Positions that a task compares among themselves before it passes them on.
 BATCH_WINDOWS = 1 << 20
 
 
@@ -61,9 +67,13 @@ def settle(first_key: np.ndarray, second_key: np.ndarray, n: np.ndarray) -> tupl
     return repeats, first[back], total[back]
 
 
-def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g: np.ndarray, n: np.ndarray, length: int):
-    """Rows (row, lo, hi, key, g, n, length) for ranges of windows: one for each kind of this batch, n at most
-    2, and with n = 0, under a key of their own, the ranges that repeat for sure, adjoining ones as one."""
+NAMES = ["row", "at", "lo", "hi", "key", "g", "n", "length"]
+RANGE = ", ".join(f"{c} bigint" for c in NAMES)
+
+
+def _settled(row, at, lo, hi, key, g, n, length: int):
+    """Rows (row, at, lo, hi, key, g, n, length) for ranges of positions: one for each kind of this batch, n at
+    most 2, and with n = 0, under a key of their own, the ranges that repeat for sure, adjoining ones as one."""
     import pyarrow as pa
 
     repeats, first, total = settle(key, g, n)
@@ -73,34 +83,132 @@ def _settled(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, g
     last = np.r_[new[1:], len(done)] - 1 if len(done) else done
     own = mix((r[new].astype(np.uint64) << np.uint64(24)) + a[new].astype(np.uint64)).view(np.int64)
     none = np.zeros(len(new), np.int64)
-    columns = zip((r[new], a[new], b[last], own, none, none), (row[first], lo[first], hi[first], key[first], g[first], np.minimum(total, 2)), strict=True)
+    columns = zip((r[new], none, a[new], b[last], own, none, none), (row[first], at[first], lo[first], hi[first], key[first], g[first], np.minimum(total, 2)), strict=True)
     arrays = [np.concatenate(c) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in [*arrays, np.full(len(arrays[0]), length)]], names=NAMES_RANGE)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in [*arrays, np.full(len(arrays[0]), length)]], names=NAMES)
+
+
+def _gathered(items: list[tuple], length: int):
+    return _settled(*(np.concatenate(x) for x in zip(*items, strict=True)), length)
+
 
+def _grams(length: int, gram: int):
+    """The hashes of the anchors' grams, and how often each stands in a batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.empty(0, np.int64)]
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode()
+                if len(data) >= length:
+                    found.append(anchors(Hashed(data), length, gram)[3])
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
 
-NAMES_RANGE = ["row", "lo", "hi", "key", "g", "n", "length"]
-RANGE = ", ".join(f"{c} bigint" for c in NAMES_RANGE)
+    return run
 
 
-def _anchors(lengths: list[int], grams: list[int]):
-    """The anchors of each text for each length, keyed by context and gram."""
+def _anchors(lengths: list[int], gram: int):
+    """Each text's anchors: where the gram is, which positions it stands for, and for each length the last
+    of these that has so many bytes before it and the hash of all their bytes."""
+    names = ["row", "g", "at", "lo", *[f"{c}_{n}" for n in lengths for c in ("hi", "key")]]
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            out: dict[int, list] = {length: [] for length in lengths}
             for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
                 data = (text.as_py() or "").encode()
                 if len(data) >= lengths[0]:
-                    hashed = Hashed(data)
-                    for length, gram in zip(lengths, grams, strict=True):
-                        if len(data) >= length:
-                            lo, hi, g, context = anchors(hashed, length, gram)
-                            # Grams of different lengths are different things, also where they hash alike.
-                            g = mix(g.view(np.uint64) ^ np.uint64(length)).view(np.int64)
-                            out[length].append((np.full(len(lo), row.as_py()), lo, hi, context ^ length, g, np.ones(len(lo), np.int64)))
-            for length, found in out.items():
-                if found:
-                    yield _settled(*(np.concatenate(x) for x in zip(*found, strict=True)), length)
+                    h = Hashed(data)
+                    at, lo, hi, g = anchors(h, lengths[0], gram)
+                    columns = [np.full(len(at), row.as_py()), g, at, lo]
+                    for length in lengths:
+                        end = np.minimum(hi, len(data) - length)
+                        some = end >= lo
+                        extent = np.where(some, end + length - lo, 0)
+                        key = mix(h.at(lo, extent) ^ mix((extent.astype(np.uint64) << np.uint64(24)) + (at - lo).astype(np.uint64))).view(np.int64)
+                        columns += [np.where(some, end, -1), key ^ length]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run, ", ".join(f"{c} bigint" for c in names)
+
+
+def _contexts(lengths: list[int]):
+    """Anchors whose gram repeats, as ranges of positions for each length, keyed by context and gram."""
+
+    def run(batches):
+        for batch in batches:
+            column = {c: np.ascontiguousarray(batch.column(c), np.int64) for c in batch.schema.names}
+            for length in lengths:
+                some = column[f"hi_{length}"] >= 0
+                if some.any():
+                    c = {k: v[some] for k, v in column.items()}
+                    # Contexts of different lengths are different things, also where they hash alike.
+                    g = mix(c["g"].view(np.uint64) ^ np.uint64(length)).view(np.int64)
+                    yield _settled(c["row"], c["at"], c["lo"], c[f"hi_{length}"], c[f"key_{length}"], g, np.ones(len(g), np.int64), length)
+
+    return run
+
+
+class Beside:
+    """What was found out about rows, from a folder of `beside`, a part for each file of the input. A part is
+    as large as its file's share of the findings."""
+
+    def __init__(self, uri: str):
+        self.uri, self.part, self.table = uri, None, {}
+
+    def of(self, row: int) -> dict[str, np.ndarray]:
+        """The columns of a row's findings."""
+        if row >> 40 != self.part:
+            from pyarrow import fs, parquet
+
+            self.part = row >> 40
+            system, path = fs.FileSystem.from_uri(f"{self.uri}/part={self.part}")
+            self.table = {}
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                t = parquet.read_table(path, filesystem=system, partitioning=None).sort_by([("row", "ascending"), ("lo", "ascending")])
+                self.table = {c: t.column(c).to_numpy() for c in t.column_names}
+        if not self.table:
+            return {}
+        a, b = np.searchsorted(self.table["row"], [row, row + 1])
+        return {c: x[a:b] for c, x in self.table.items()} if b > a else {}
+
+
+def beside(rows: DataFrame) -> str:
+    """Writes rows (row, lo, …) down for tasks that read the texts again: texts never move to meet them."""
+    uri = f"{own_dir(rows.sparkSession)}/beside/{uuid.uuid4().hex}"
+    rows.withColumn("part", F.shiftright("row", 40)).repartition("part").write.partitionBy("part").parquet(uri)
+    return uri
+
+
+def _texts(batches):
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            yield row, text
+
+
+def _sides(length: int, gram: int, contexts: str):
+    """For open contexts, keyed by gram and name, the gram with what stands on its right and on its left, each
+    for half of what a window has beside the gram. A window that repeats has one of the two repeat."""
+    half = (length - gram) // 2
+
+    def run(batches):
+        known, held, count = Beside(contexts), ([], []), 0
+        for row, text in _texts(batches):
+            if c := known.of(row):
+                h = Hashed(text.as_py().encode())
+                for side, (begins, fits) in enumerate(((c["at"], c["at"] + gram + half <= h.n), (c["at"] - half, c["at"] >= half))):
+                    b, lo, g = begins[fits], c["lo"][fits], c["g"][fits]
+                    held[side].append((np.full(len(b), row), b, lo, lo, h.at(b, gram + half).view(np.int64), g ^ side, np.ones(len(b), np.int64)))
+                count += len(c["lo"])
+                if count >= BATCH_WINDOWS:
+                    yield from (_gathered(x, side) for side, x in enumerate(held))
+                    held, count = ([], []), 0
+        if count:
+            yield from (_gathered(x, side) for side, x in enumerate(held))
 
     return run
 
@@ -113,36 +221,47 @@ def _ranks(h: Hashed, at: np.ndarray, length: int, base: int) -> np.ndarray:
     return mix(_ranks(h, at, half, base) ^ mix(_ranks(h, at + half, half, base)))
 
 
-def _inside(at: np.ndarray, ranges: list) -> np.ndarray:
-    """Which positions lie in one of the ranges lo … hi."""
-    lo, hi = (np.array([r[x] for r in ranges], np.int64) for x in ("lo", "hi"))
-    order = np.argsort(lo)
-    lo, furthest = lo[order], np.maximum.accumulate(hi[order])
-    k = np.searchsorted(lo, at, side="right") - 1
-    return (k >= 0) & (at <= furthest[np.maximum(k, 0)])
+def _inside(at: np.ndarray, ranges: dict[str, np.ndarray]) -> np.ndarray:
+    """Which positions lie in one of the ranges lo … hi, which come by lo."""
+    if not ranges:
+        return np.zeros(len(at), bool)
+    k = np.searchsorted(ranges["lo"], at, side="right") - 1
+    return (k >= 0) & (at <= np.maximum.accumulate(ranges["hi"])[np.maximum(k, 0)])
 
 
-def _windows(length: int, base: int):
-    """The open positions in each text's open contexts, keyed by rank and gram. Above the base length, a
-    position is open if it and the one half the length further on still were at half the length."""
+def _windows(length: int, base: int, gram: int, contexts: str, sides: str, lower: str | None):
+    """The open positions in each text's open contexts, keyed by rank and gram. At the base length those that
+    a side of the gram leaves open; above it a position is open if it and the one half the length further
+    on still were at half the length."""
+    half = (base - gram) // 2
 
     def run(batches):
-        held: list[tuple] = []
-        count = 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                h = Hashed(r["text"].encode())
-                for c in r["contexts"]:
-                    s = np.arange(c["lo"], c["hi"] + 1)
-                    if length > base:
-                        s = s[_inside(s, r["ranges"]) & _inside(s + length // 2, r["ranges"])]
-                    held.append((np.full(len(s), r["row"]), s, s, _ranks(h, s, length, base).view(np.int64), np.full(len(s), c["g"] & 0xFFFFFFFF), np.full(len(s), c["n"])))
-                    count += len(s)
-                if count >= BATCH_WINDOWS:
-                    yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
-                    held, count = [], 0
+        known, of_sides, of_lower = Beside(contexts), Beside(sides), Beside(lower) if lower else None
+        held, count = [], 0
+        for row, text in _texts(batches):
+            if not (c := known.of(row)):
+                continue
+            size = c["hi"] - c["lo"] + 1
+            of = np.repeat(np.arange(len(size)), size)
+            s = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + c["lo"][of]
+            if of_lower:
+                ranges = of_lower.of(row)
+                keep = _inside(s, ranges) & _inside(s + length // 2, ranges)
+            else:
+                found = of_sides.of(row)
+                side = [_inside(c["lo"], {k: v[found["length"] == x] for k, v in found.items()} if found and (found["length"] == x).any() else {}) for x in (0, 1)]
+                split = (c["at"] - half)[of]
+                keep = side[0][of] & (s >= split) | side[1][of] & (s <= split)
+            s, of = s[keep], of[keep]
+            if len(s):
+                h = Hashed(text.as_py().encode())
+                held.append((np.full(len(s), row), s, s, s, _ranks(h, s, length, base).view(np.int64), c["g"][of] & 0xFFFFFFFF, c["n"][of]))
+                count += len(s)
+            if count >= BATCH_WINDOWS:
+                yield _gathered(held, length)
+                held, count = [], 0
         if count:
-            yield _settled(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
+            yield _gathered(held, length)
 
     return run
 
@@ -158,32 +277,34 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(lengths: list[int], with_kept: bool):
+def _cut(lengths: list[int], found: list[str], with_kept: bool):
+    """Each text's results, from where its open positions are written down for each length."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat", "kept", "spans"]
+
     def run(batches):
         import pyarrow as pa
 
+        known = [Beside(uri) for uri in found]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                out = []
-                for r in batch.slice(at, 64).to_pylist():
-                    data = (r["text"] or "").encode()
-                    open_ = r[f"ranges_{lengths[-1]}"]
-                    spans = merged(np.array([m["lo"] for m in open_]), np.array([m["hi"] for m in open_]) + lengths[-1]) if open_ else []
+                piece, out = batch.slice(at, 64), []
+                for row, text in _texts([piece]):
+                    data = (text.as_py() or "").encode()
+                    ranges = [k.of(row) for k in known]
+                    spans = merged(ranges[-1]["lo"], ranges[-1]["hi"] + lengths[-1]) if ranges[-1] else []
                     edges = [0, *[x for span in spans for x in span], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    longest = max((n for n in lengths if r[f"ranges_{n}"]), default=0)
-                    out.append((r["doc_id"], len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), longest, kept if with_kept else None, [{"s": a, "e": b} for a, b in spans]))
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=run.schema)
+                    longest = max((n for n, r in zip(lengths, ranges, strict=True) if r), default=0)
+                    out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), longest, kept if with_kept else None, [{"s": a, "e": b} for a, b in spans]))
+                columns = [pa.array(x, run.schema.field(c).type) for c, x in zip(names, zip(*out, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", *names])
 
     return run
 
 
-NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat", "kept", "spans"]
-
-
 def stored(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text), written down once so that every later job reads the same numbers."""
-    return cut_table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    """(row, doc_id, text), written down once so that every later job reads the same rows in the same places."""
+    return placed(cut_table(docs.select("doc_id", "text")))
 
 
 def placed(files: DataFrame) -> DataFrame:
@@ -193,56 +314,68 @@ def placed(files: DataFrame) -> DataFrame:
     names = sorted(r.path for r in files.select(F.col("_metadata.file_path").alias("path")).distinct().collect())
     numbers = spark.createDataFrame(list(enumerate(names)), "file bigint, path string")
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), "doc_id", "text")
-    row = F.coalesce(F.shiftleft("file", 40) + F.col("at"), F.lit(-1))  # never null, and known to be: or the texts' exchange isn't used twice
-    return rows.join(F.broadcast(numbers), "path").select(row.alias("row"), "doc_id", "text")
-
+    return rows.join(F.broadcast(numbers), "path").select((F.shiftleft("file", 40) + F.col("at")).alias("row"), "doc_id", "text")
+
+
+def open_ranges(numbered: DataFrame, lengths: list[int], gram: int, salts: int = 64) -> list[str]:
+    """For each length where it is written down (see Beside) which ranges lo … hi of each row's positions have
+    a string of that length that also starts elsewhere, for numbered (row, doc_id, text)."""
+    texts = numbered.select("row", "text")
+    grams = texts.mapInArrow(_grams(lengths[0], gram), "g bigint, n bigint")
+    repeated = cut_table(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"))
+    # Grams that many anchors have are few, so they are broadcast, and their anchors dealt to many tasks.
+    often = (repeated.agg(F.sum("n")).first()[0] or 0) // 10_000
+    hot = F.broadcast(repeated.where(F.col("n") > F.lit(max(often, 64))).select("g", F.lit(True).alias("hot")))
+    run, schema = _anchors(lengths, gram)
+    salted = texts.mapInArrow(run, schema).join(hot, "g", "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "lo"), F.lit(salts)).cast("int")).otherwise(0))
+    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    grams = repeated.select("g").join(hot, "g", "left").select("g", F.explode(places).alias("salt"))
+    met = salted.drop("hot").join(grams.hint("merge"), ["g", "salt"], "left_semi")
 
-def open_ranges(numbered: DataFrame, lengths: list[int], grams: list[int]) -> list[DataFrame]:
-    """For each length (row, ranges): the ranges lo … hi of each row's positions whose string of that length
-    also starts elsewhere, for numbered (row, doc_id, text). A row must have the same number in every job."""
     kind = W.partitionBy("key", "g")
-    ranked = numbered.mapInArrow(_anchors(lengths, grams), RANGE).withColumns(
+    done = (F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") > 1))
+    ranked = met.mapInArrow(_contexts(lengths), RANGE).withColumns(
         {"total": F.sum("n").over(kind), "place": F.row_number().over(kind.orderBy(F.desc("n"), "row", "lo"))}
     )
-    done = (F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") > 1))
-    names = ["row", "lo", "hi", "g", "length", F.least("total", F.lit(2)).alias("n"), done.alias("done"), ((F.col("n") > 0) & (F.col("place") == 1)).alias("leads")]
+    names = ["row", "at", "lo", "hi", "g", "length", F.least("total", F.lit(2)).alias("n"), done.alias("done"), ((F.col("n") > 0) & (F.col("place") == 1)).alias("leads")]
     found = cut_table(ranked.select(*names).where("done or leads"))
-    leads = found.where("leads").select("row", "lo", "hi", "g", "n", "length")
+    leads = found.where("leads")
     several = leads.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
-    contexts = cut_table(leads.join(several, "g", "left_semi"))
-    out: list[DataFrame] = []
+    contexts = cut_table(leads.join(several, "g", "left_semi").select("row", "at", "lo", "hi", "g", "n", "length"))
+
+    def settled(laid: DataFrame, *names: str) -> DataFrame:
+        return laid.withColumn("total", F.sum("n").over(kind)).where(done).select("row", "lo", "hi", *names)
+
+    out: list[str] = []
+    sides = ""
     for length in lengths:
-        lists = contexts.where(F.col("length") == length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "g", "n")).alias("contexts"))
-        texts = numbered.join(lists, "row")
-        if out:
-            texts = texts.join(out[-1], "row")
-        laid = texts.mapInArrow(_windows(length, lengths[0]), RANGE).withColumn("total", F.sum("n").over(kind))
-        settled = laid.where(done).select("row", "lo", "hi").union(found.where("done").where(F.col("length") == length).select("row", "lo", "hi"))
-        out.append(settled.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+        of_length = F.col("length") == length
+        lists = beside(contexts.where(of_length).drop("length"))
+        if not out:
+            sides = beside(settled(texts.mapInArrow(_sides(length, gram, lists), RANGE), "length"))
+        laid = texts.mapInArrow(_windows(length, lengths[0], gram, lists, sides, out[-1] if out else None), RANGE)
+        out.append(beside(settled(laid).union(found.where("done").where(of_length).select("row", "lo", "hi"))))
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, gram: int = 160, rounds: int = 2, number=stored, with_kept: bool = True) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, gram: int = 80, rounds: int = 2, number=stored, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, kept, spans) for each row of docs (doc_id, text).
 
     rounds: how many lengths there are, each the double of the one before, `length` the last; longest_repeat
-    is one of these lengths, or 0 where no string of even the first one repeats.
+    is one of these lengths, or 0 where no string of even the first one repeats. gram: the anchors' bytes.
     number: `stored` for any docs, or `placed`, which writes no texts, for Parquet files as they were read.
     with_kept: whether to give what remains of the texts; else kept is null.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    half = 1 << rounds - 1
-    if not half <= gram <= length or length % half:
-        raise ValueError("a gram is part of a window, and lengths double")
-    lengths, grams = ([n >> k for k in range(rounds - 1, -1, -1)] for n in (length, gram))
+    lengths = [length >> k for k in range(rounds - 1, -1, -1)]
+    if length % (1 << rounds - 1) or not 1 <= gram <= lengths[0]:
+        raise ValueError("lengths double, and a gram is part of the first one's windows")
     numbered = number(docs)
     kind = dict(numbered.dtypes)["doc_id"]
     out = T.StructType.fromDDL(f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, longest_repeat bigint, kept binary, spans array<struct<s:int,e:int>>")
-    run = _cut(lengths, with_kept)
+    run = _cut(lengths, open_ranges(numbered, lengths, gram), with_kept)
     run.schema = to_arrow_schema(out)
-    rows = numbered
-    for n, ranges in zip(lengths, open_ranges(numbered, lengths, grams), strict=True):
-        rows = rows.join(ranges.withColumnRenamed("ranges", f"ranges_{n}"), "row", "left")
-    return rows.mapInArrow(run, out)
+    return numbered.mapInArrow(run, out)

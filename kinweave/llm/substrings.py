@@ -65,19 +65,14 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(h: Hashed, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(lo, hi, gram hash, context hash) of each anchor of a text of at least `length` bytes.
+    """(at, lo, hi, gram hash) of each anchor of a text of at least `length` bytes.
 
     A window of `length` bytes has as its anchor the gram in it with the smallest hash, the first of
-    equals; that depends on the window's bytes alone. The windows lo … hi have the anchor in common. Its
-    context is all their bytes and its place in them.
+    equals; that depends on the window's bytes alone. The windows lo … hi have the one at `at` in common.
     """
     order = h.all(gram)
     shift = np.uint64(max(1, len(order).bit_length()))
     keyed = (order >> shift << shift) | np.arange(len(order), dtype=np.uint64)
     where = (sliding_minimum(keyed, length - gram + 1) & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
     lo = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    hi = np.r_[lo[1:], len(where)] - 1
-    at = where[lo]
-    extent = hi + length - lo
-    context = mix(h.at(lo, extent) ^ mix((extent.astype(np.uint64) << np.uint64(24)) + (at - lo).astype(np.uint64)))
-    return lo, hi, order[at].view(np.int64), context.view(np.int64)
+    return where[lo], lo, np.r_[lo[1:], len(where)] - 1, order[where[lo]].view(np.int64)
