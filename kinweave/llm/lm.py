@@ -1,23 +1,30 @@
-"""Language-model scoring with an n-gram trie of two levels in Elias-Fano codes.
-
-Training, over all training texts:
-1. Words are counted under their 64-bit hashes. Each batch's counts go out as sorted, Elias-Fano coded
-   blocks, one for each range of hashes; a range's blocks are merged by one task. A word's number is
-   its rank by hash.
-2. Pairs (previous word, word) are counted in the same way under previous * V + word. Ranges of pairs
-   are laid by the counts of their first words, and a word with very many is cut across ranges, so no
-   task gets much more than `range_tokens` tokens however common a word is.
-3. Each range is written as one file in the shared folder: the first words' pointers and the pairs as
-   monotone Elias-Fano sequences, and the pairs' discounted probabilities as logarithms in 8 bits.
-
-Scoring maps the files into memory, so pages that are used are read, and shared by all tasks of a
-machine. A pair is found by a successor search among its first word's followers. The probability is
-(c(v w) - D) / c(v) + D * followers(v) / c(v) * P(w), with P the base's add-one estimate, and P(w)
-after a word unseen in training. The text begins after an end token.
+"""Language-model scoring with an n-gram trie of `order` levels in Elias-Fano codes.
+
+Level 1 holds the words, by their 64-bit hashes; a word's number is its rank by hash. An n-gram of a higher
+level is a child of its first n - 1 words, which the level before holds, and stands there under a number
+relative to its context: the place of its last n - 1 words among the children of its middle n - 2 (at level
+2, the word's number). So numbers stay small, whatever the vocabulary.
+
+Training, over all training texts, one level after the other:
+1. Each batch looks up what the levels so far say, and counts its n-grams. The counts go out as sorted,
+   Elias-Fano coded blocks, one for each range of contexts; a range's blocks are merged by one task.
+2. Ranges of contexts are laid by their counts at the level before, and a context with very many is cut into
+   several ranges, so no task gets much more than `range_tokens` tokens however common a context is.
+3. Each range is written as one file in the shared folder: the contexts' pointers and the children as
+   monotone Elias-Fano sequences, and in 8 bits each the logarithms of the children's discounted
+   probabilities and of the contexts' weights of the level before.
+
+Scoring maps the files into memory, so pages that are used are read, and shared by all tasks of a machine;
+only the ranges that a batch touches are opened. An n-gram is found by a successor search among its
+context's children. The probability is (c(h w) - D) / c(h) + D * children(h) / c(h) * P(w after one word
+less), and that of the shorter context where h was not seen; with no context it is the base's add-one
+estimate. The text begins after an end token, and contexts don't reach back further than that.
 
 A null text counts as an empty one: a single token, end. A null doc_id is not held out. Repeated rows
-count and are scored as rows of their own. Columns other than doc_id and text are not read. Without
-training texts every token is unseen. The shared folder must be one that pyarrow can open.
+count and are scored as rows of their own. An empty table gives an empty one; without training texts every
+token is unseen. A very long text is looked up as a whole, in memory of some hundred bytes a word. Columns
+other than doc_id and text are not read. The shared folder must be one that pyarrow can open. What the
+driver and each task hold of the model are a few numbers for each range.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import eliasfano
-from kinweave.llm.common import append, by_range, shared_dir
+from kinweave.llm.common import Columns, append, by_range, own_dir
 
 #: The end token's stand-in: no word holds a space.
 END = xxhash.xxh64_intdigest(b" ")
@@ -124,240 +131,332 @@ def _batches(batches, most: int = BATCH):
         yield np.concatenate(held), np.array([len(x) for x in held])
 
 
-def _blocks_by_range(keys: np.ndarray, bounds: np.ndarray):
-    """(range, block) rows; bounds are the ranges' first keys."""
+def _blocks_by_range(keys: np.ndarray, of: np.ndarray):
+    """(range, block) rows for keys in the ranges `of`."""
     import pyarrow as pa
 
-    keys, counts = np.unique(keys, return_counts=True)
-    edges = np.r_[np.searchsorted(keys, bounds), len(keys)]
-    full = np.flatnonzero(edges[1:] > edges[:-1])
-    data = [block(keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]]) for r in full]
-    return pa.RecordBatch.from_arrays([pa.array(full), pa.array(data, pa.binary())], names=["range", "block"])
+    order = np.argsort(of, kind="stable")
+    keys, of = keys[order], of[order]
+    full, starts = np.unique(of, return_index=True)
+    data = []
+    for a, b in zip(starts, np.r_[starts[1:], len(of)], strict=True):
+        data.append(block(*np.unique(keys[a:b], return_counts=True)))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(data, pa.binary())], names=["range", "block"])
 
 
-def _lay_ranges(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where ranges of pairs begin, for first words with these counts: (word, part, parts). A range has
-    about `most` pairs; a word with more is cut into parts by its followers' numbers."""
+def _lay_ranges(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of contexts with these counts begin: (context, parts). A range has about `most` tokens; a
+    context with more has as many ranges of its own as it needs, parts, and stands there as often."""
     parts = np.maximum(1, -(-counts // most))
     whole = np.cumsum(np.where(parts > 1, 0, counts))
     begins = (parts > 1) | np.r_[True, (whole[1:] // most != whole[:-1] // most) | (parts[:-1] > 1)]
-    word = np.repeat(np.flatnonzero(begins), parts[begins])
-    size = np.repeat(parts[begins], parts[begins])
-    part = np.arange(len(word)) - np.repeat(np.cumsum(parts[begins]) - parts[begins], parts[begins])
-    return word, part, size
+    return np.repeat(np.flatnonzero(begins), parts[begins]), np.repeat(parts[begins], parts[begins])
 
 
-class Vocabulary:
-    """Words by hash: numbers and counts, over the files of all ranges."""
+def _padded(x: np.ndarray) -> np.ndarray:
+    return np.pad(x, (0, -len(x) % 8)).view(np.uint64)
 
-    def __init__(self, uri: str, offsets: np.ndarray):
-        self.files, self.offsets = Files(uri), offsets
-        self.ranges = len(offsets) - 1
 
-    @lru_cache(None)  # noqa: B019  one object for each task
-    def _range(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+def _logs(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 as logarithms in 8 bits."""
+    return np.clip(np.rint(-STEPS * np.log2(x)), 0, 255).astype(np.uint8)
+
+
+#: What an 8-bit logarithm stands for.
+_VALUES = np.exp2(-np.arange(256) / STEPS)
+
+
+class Words:
+    """Level 1: words by hash, their numbers and counts, in ranges of hashes."""
+
+    def __init__(self, uri: str, sizes: np.ndarray):
+        self.files, self.offsets = Files(uri), np.r_[0, np.cumsum(sizes)]
+        self.ranges = len(sizes)
+
+    @lru_cache(64)  # noqa: B019  one object for each task
+    def _range(self, r: int):
         data = self.files.read(f"words-{r}")
-        return data[: len(data) // 2], data[len(data) // 2 :]
+        first, n, large = (int(x) for x in data[:3])
+        codes = eliasfano.Codes(data[3:])
+        end = 3 + codes.words + 2 * large
+        return first, codes, data[3 + codes.words : 3 + codes.words + large], data[3 + codes.words + large : end], data[end:].view(np.uint8)[:n]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unseen) and counts of sorted hashes."""
         number, count = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        edges = np.r_[np.searchsorted(hashes, _hash_bounds(self.ranges)), len(hashes)]
-        for r in np.flatnonzero(edges[1:] > edges[:-1]):
+        of = np.searchsorted(_hash_bounds(self.ranges), hashes, side="right") - 1
+        touched, starts = np.unique(of, return_index=True)
+        for r, a, b in zip(touched.tolist(), starts, np.r_[starts[1:], len(of)], strict=True):
             if self.offsets[r + 1] > self.offsets[r]:
-                part = slice(edges[r], edges[r + 1])
-                keys, counts = self._range(int(r))
-                at = np.minimum(np.searchsorted(keys, hashes[part]), len(keys) - 1)
-                known = keys[at] == hashes[part]
-                number[part] = np.where(known, self.offsets[r] + at, -1)
-                count[part] = np.where(known, counts[at].astype(np.int64), 0)
+                first, codes, places, large, small = self._range(r)
+                x = hashes[a:b] - np.uint64(first)
+                inside = np.flatnonzero((hashes[a:b] >= np.uint64(first)) & (x < np.uint64(codes.universe)))
+                at = codes.find(x[inside])
+                inside, at = inside[at >= 0] + a, at[at >= 0]
+                number[inside], count[inside] = self.offsets[r] + at, small[at]
+                many = np.flatnonzero(count[inside] == 255)
+                count[inside[many]] = large[np.searchsorted(places, at[many].astype(np.uint64))].astype(np.int64)
         return number, count
 
-    def numbers(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct, back = np.unique(tokens, return_inverse=True)
-        number, count = self.look_up(distinct)
-        return number[back], count[back]
+    @staticmethod
+    def write(files: Files, r: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        large = np.flatnonzero(counts >= 255)
+        codes = eliasfano.encode(keys - keys[0], int(keys[-1]) - int(keys[0]) + 1)
+        head = np.array([keys[0], len(keys), len(large)], np.uint64)
+        small = _padded(np.minimum(counts, 255).astype(np.uint8))
+        files.write(f"words-{r}", np.concatenate([head, codes, large.astype(np.uint64), counts[large].astype(np.uint64), small]))
 
 
 def _hash_bounds(ranges: int) -> np.ndarray:
     return np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
 
 
-def previous(numbers: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    """Each token's predecessor; the first of a text follows an end token."""
-    before = np.r_[end, numbers[:-1]]
-    before[np.cumsum(lengths)[:-1]] = end
-    return before
-
-
-class Model:
-    """What scoring needs: sizes, where files are and which keys they hold. Small, whatever the corpus."""
+class Level:
+    """A level from the second on. firsts, parts: each range's first context, and how many ranges that has, if
+    it has some of its own; sizes: the n-grams of each range. An n-gram's number is its place in the level."""
 
-    def __init__(self, uri: str, tokens: int, offsets: np.ndarray, bounds: np.ndarray, empty: set[int], discount: float):
-        self.uri, self.tokens, self.offsets, self.bounds, self.empty, self.discount = uri, tokens, offsets, bounds, empty, discount
-        self.size = int(offsets[-1])
+    def __init__(self, uri: str, order: int, span: int, firsts: np.ndarray, parts: np.ndarray):
+        self.files, self.order, self.span, self.firsts, self.parts = Files(uri), order, span, firsts, parts
+        self.cut: dict[int, float] = {}
 
-    def reader(self) -> Reader:
-        return Reader(self)
+    def made(self, sizes: np.ndarray, totals: dict[int, int], discount: float) -> None:
+        """sizes as they came out, and the counts of the contexts that were cut."""
+        self.sizes, self.offsets = sizes, np.r_[0, np.cumsum(sizes)]
+        for context, total in totals.items():
+            a, b = np.searchsorted(self.firsts, [context, context + 1])
+            self.cut[context] = discount * int(sizes[a:b].sum()) / total
 
+    def keys(self, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range that an n-gram belongs to, and its key there."""
+        r = np.searchsorted(self.firsts, context, side="right") - 1
+        n = self.parts[r]
+        r = r - (n - 1) + child % n
+        return r, (context - self.firsts[r]) * self.span + child
 
-class Reader:
-    """Looks pairs up in the memory-mapped levels."""
+    @lru_cache(64)  # noqa: B019  one object for each task
+    def _range(self, r: int):
+        data = self.files.read(f"level{self.order}-{r}")
+        n, contexts = int(data[0]), int(data[1])
+        pointers = eliasfano.Codes(data[2:])
+        at = 2 + pointers.words
+        children = eliasfano.Codes(data[at:])
+        at += children.words
+        weights = data[at:].view(np.uint8)[:contexts]
+        return pointers, children, weights, data[at + -(-contexts // 8) :].view(np.uint8)[:n]
+
+    def write(self, r: int, keys: np.ndarray, counts: np.ndarray, total: int | None, discount: float) -> None:
+        """The file of a range. total: the count of its only context, where that is cut."""
+        context, child = keys // self.span, keys % self.span
+        contexts = int(context[-1]) + 1
+        pointers = np.searchsorted(context, np.arange(contexts + 1))
+        sums = np.r_[0, np.cumsum(counts)]
+        totals = sums[pointers[1:]] - sums[pointers[:-1]] if total is None else np.array([total])
+        n = np.diff(pointers)
+        weights = np.where(n > 0, _logs(np.where(n > 0, discount * n / np.maximum(totals, 1), 1)), 0).astype(np.uint8)
+        # Each context's children go on from the last one of the context before.
+        last = np.where(n > 0, child[np.maximum(pointers[1:] - 1, 0)] + 1, 0)
+        values = np.repeat(np.cumsum(last) - last, n) + child + 1
+        codes = [eliasfano.encode(pointers, len(keys) + 1), eliasfano.encode(values, int(values[-1]) + 1)]
+        self.files.write(f"level{self.order}-{r}", np.concatenate([np.array([len(keys), contexts], np.uint64), *codes, _padded(weights), _padded(_logs((counts - discount) / np.repeat(totals, n)))]))
+
+    def _by_range(self, r: np.ndarray):
+        """Each range that holds something, with where r has it."""
+        order = np.argsort(r, kind="stable")
+        touched, starts = np.unique(r[order], return_index=True)
+        for x, a, b in zip(touched.tolist(), starts, np.r_[starts[1:], len(r)], strict=True):
+            if self.sizes[x]:
+                yield x, order[a:b]
+
+    def find(self, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: unseen) and discounted probabilities (0: unseen) of n-grams."""
+        number, p = np.full(len(context), -1), np.zeros(len(context))
+        ranges, keys = self.keys(context, child)
+        for r, where in self._by_range(ranges):
+            pointers, children, _, logs = self._range(r)
+            distinct, back = np.unique(keys[where], return_inverse=True)
+            c, of = np.unique(distinct // self.span, return_inverse=True)
+            known = c + 1 < pointers.n
+            begin, end = np.zeros((2, len(c)), np.int64)
+            begin[known], end[known] = pointers.get(c[known]).astype(np.int64), pointers.get(c[known] + 1).astype(np.int64)
+            before = np.zeros(len(c), np.int64)
+            some = np.flatnonzero(known & (begin > 0))
+            before[some] = children.get(begin[some] - 1).astype(np.int64)
+            x = before[of] + distinct % self.span + 1
+            inside = np.flatnonzero((end[of] > begin[of]) & (x < children.universe))
+            at = children.find(x[inside])
+            found = (at >= begin[of[inside]]) & (at < end[of[inside]])
+            place, chance = np.full(len(distinct), -1), np.zeros(len(distinct))
+            place[inside[found]], chance[inside[found]] = self.offsets[r] + at[found], _VALUES[logs[at[found]]]
+            number[where], p[where] = place[back], chance[back]
+        return number, p
+
+    def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where contexts' children begin, and the weights that they give the level before; 1 for one without children."""
+        distinct, back = np.unique(context, return_inverse=True)
+        r = np.searchsorted(self.firsts, distinct, side="right") - 1
+        r -= self.parts[r] - 1
+        start, weight = self.offsets[r].copy(), np.ones(len(distinct))
+        for x, where in self._by_range(r):
+            if self.parts[x] == 1:
+                pointers, _, weights, _ = self._range(x)
+                c = distinct[where] - self.firsts[x]
+                inside = np.flatnonzero(c + 1 < pointers.n)
+                start[where[inside]] += pointers.get(c[inside]).astype(np.int64)
+                weight[where[inside]] = _VALUES[weights[c[inside]]]
+        for i in np.flatnonzero(self.parts[r] > 1):
+            weight[i] = self.cut[int(distinct[i])]
+        return start[back], weight[back]
 
-    def __init__(self, model: Model):
-        self.m, self.words = model, Vocabulary(model.uri, model.offsets)
-        self.files = Files(model.uri)
-        self.end = int(self.words.look_up(np.array([END], np.uint64))[0][0]) if model.size else -1
 
-    @lru_cache(None)  # noqa: B019
-    def _range(self, r: int):
-        data = self.files.read(f"pairs-{r}")
-        first, n, pointer_words = (int(x) for x in data[:3])
-        pointers = eliasfano.Codes(data[3 : 3 + pointer_words])
-        pairs = eliasfano.Codes(data[3 + pointer_words :])
-        logs = data[3 + pointer_words + pairs.words :].view(np.uint8)[:n]
-        return first, pointers, pairs, logs
-
-    def _spans(self, low: np.ndarray, high: np.ndarray):
-        """For sorted key intervals, each range with the intervals that touch it."""
-        for r in range(len(self.m.bounds)):
-            begin = self.m.bounds[r]
-            end = self.m.bounds[r + 1] if r + 1 < len(self.m.bounds) else self.m.size**2
-            a, b = np.searchsorted(high, begin, side="right"), np.searchsorted(low, end)
-            if b > a and r not in self.m.empty:
-                yield r, slice(a, b)
-
-    def followers(self, words: np.ndarray) -> np.ndarray:
-        """How many different words follow each of the sorted words: the distance of two pointers."""
-        total = np.zeros(len(words), np.int64)
-        v = self.m.size
-        for r, part in self._spans(words * v, (words + 1) * v):
-            first, pointers, _, _ = self._range(r)
-            at = words[part] - first
-            inside = np.flatnonzero((at >= 0) & (at + 1 < pointers.n))
-            at = at[inside]
-            total[np.arange(part.start, part.stop)[inside]] += (pointers.get(at + 1) - pointers.get(at)).astype(np.int64)
-        return total
-
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted probabilities of sorted pair keys, 0 where a pair wasn't seen."""
-        out = np.zeros(len(keys))
-        for r, part in self._spans(keys, keys + 1):
-            begin = int(self.m.bounds[r])
-            _, _, codes, logs = self._range(r)
-            x = keys[part] - begin
-            inside = np.flatnonzero(x < codes.universe)
-            at = codes.find(x[inside])
-            found = at >= 0
-            out[np.arange(part.start, part.stop)[inside[found]]] = np.exp2(-logs[at[found]].astype(float) / STEPS)
-        return out
+class Model:
+    """What scoring needs: sizes, and where files are and which ranges they hold."""
+
+    def __init__(self, tokens: int, words: Words, levels: list[Level]):
+        self.tokens, self.words, self.levels = tokens, words, levels
+        self.size = int(words.offsets[-1])
+        self.end, self.ends = -1, 0
+        if self.size:
+            number, count = words.look_up(np.array([END], np.uint64))
+            self.end, self.ends = int(number[0]), int(count[0])
+
+    def grams(self, number: np.ndarray, lengths: np.ndarray, order: int):
+        """For texts given as word numbers, level by level up to `order`: which tokens have a context and an n-gram
+        that may be there, the contexts and the children. An n-gram's number at the last level isn't looked up."""
+        first = np.zeros(len(number), bool)
+        first[np.cumsum(lengths) - lengths] = True
+        context = np.r_[self.end, number[:-1]]
+        context[first] = self.end
+        child = number
+        for level in self.levels[: order - 1]:
+            yield level, context, child
+            if level.order == order:
+                return
+            both = np.flatnonzero((context >= 0) & (child >= 0))
+            own = np.full(len(number), -1)
+            start = np.zeros(len(number), np.int64)
+            own[both], _ = level.find(context[both], child[both])
+            start[both], _ = level.contexts(context[both])
+            child = np.where(own >= 0, own - start, -1)
+            context = np.r_[-1, own[:-1]]
+            context[first] = -1
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray):
         """For texts given as token hashes: known tokens, base log10 probabilities and the model's, for each text."""
-        m, v = self.m, self.m.size
         distinct, back = np.unique(tokens, return_inverse=True)
         number, count = self.words.look_up(distinct)
-        base_of = (count + 1) / (m.tokens + v + 1)
-        base, known = base_of[back], (count > 0)[back]
+        base = ((count + 1) / (self.tokens + self.size + 1))[back]
+        known, now = (count > 0)[back], number[back]
         p = base.copy()
-        if v:
-            now = number[back]
-            before = previous(now, lengths, self.end)
-            counts_before = previous(count[back], lengths, int(self.words.look_up(np.array([END], np.uint64))[1][0]))
-            seen = np.flatnonzero(before >= 0)
-            words, of = np.unique(before[seen], return_inverse=True)
-            p[seen] = base[seen] * m.discount * self.followers(words)[of] / counts_before[seen]
-            both = np.flatnonzero((before >= 0) & (now >= 0))
-            keys, of = np.unique(before[both] * v + now[both], return_inverse=True)
-            p[both] += self.pairs(keys)[of]
+        if self.size:
+            first = np.zeros(len(now), bool)
+            first[np.cumsum(lengths) - lengths] = True
+            context = np.r_[self.end, now[:-1]]
+            context[first] = self.end
+            child = now
+            for level in self.levels:
+                some = np.flatnonzero(context >= 0)
+                start, weight = level.contexts(context[some])
+                p[some] *= weight
+                own, begin = np.full(len(now), -1), np.zeros(len(now), np.int64)
+                begin[some] = start
+                both = some[child[some] >= 0]
+                own[both], chance = level.find(context[both], child[both])
+                p[both] += chance
+                child = np.where(own >= 0, own - begin, -1)
+                context = np.r_[-1, own[:-1]]
+                context[first] = -1
         starts = np.cumsum(lengths) - lengths
         add = np.add.reduceat
         return add(known.astype(np.int64), starts), add(np.log10(base), starts), add(np.log10(p), starts)
 
 
-def train(texts: DataFrame, discount: float = 0.75, range_tokens: int = 1 << 22, range_docs: int = 1 << 13) -> Model:
-    """A model of all texts (a column text). What comes to the driver is a few numbers for each range."""
-    uri = f"{shared_dir(texts.sparkSession)}/lm/{uuid.uuid4().hex}"
-    ranges = max(1, -(-texts.count() // range_docs))
+def train(texts: DataFrame, order: int = 3, discount: float = 0.75, range_tokens: int = 1 << 22, range_docs: int = 1 << 13) -> Model:
+    """A model of all texts (a column text)."""
+    uri = f"{own_dir(texts.sparkSession)}/lm/{uuid.uuid4().hex}"
+    ranges = max(2, -(-texts.count() // range_docs))
     bounds = _hash_bounds(ranges)
 
     def count_words(batches):
         for found, _ in _batches(batches):
-            yield _blocks_by_range(found, bounds)
+            yield _blocks_by_range(found, np.searchsorted(bounds, found, side="right") - 1)
+
+    def laid(r, counts):
+        context, parts = _lay_ranges(counts, range_tokens)
+        return {"range": r, "n": len(counts), "tokens": int(counts.sum()), "context": context.tolist(), "parts": parts.tolist(), "total": np.where(parts > 1, counts[context], 0).tolist()}
 
     def finish_words(r, blocks):
         keys, counts = merge(blocks)
-        Files(uri).write(f"words-{r}", np.concatenate([keys, counts.astype(np.uint64)]))
-        word, part, parts = _lay_ranges(counts, range_tokens)
-        return {"range": r, "n": len(keys), "tokens": int(counts.sum()), "word": word.tolist(), "part": part.tolist(), "parts": parts.tolist()}
-
-    schema = "range bigint, n bigint, tokens bigint, word array<bigint>, part array<bigint>, parts array<bigint>"
-    made = by_range(texts.mapInArrow(count_words, "range bigint, block binary"), finish_words, schema).collect()
-    made = sorted(made, key=lambda r: r["range"])
-    sizes = np.zeros(ranges, np.int64)
-    for r in made:
-        sizes[r["range"]] = r["n"]
-    offsets = np.r_[0, np.cumsum(sizes)]
-    size, tokens = int(offsets[-1]), sum(r["tokens"] for r in made)
-    first = [(int(offsets[r["range"]]) + w) * size + size * k // n for r in made for w, k, n in zip(r["word"], r["part"], r["parts"], strict=True)]
-    pair_bounds = np.array(first, np.int64)
-
-    def count_pairs(batches):
-        words, end = Vocabulary(uri, offsets), None
+        Words.write(Files(uri), r, keys, counts)
+        return laid(r, counts)
+
+    schema = "range bigint, n bigint, tokens bigint, context array<bigint>, parts array<bigint>, total array<bigint>"
+
+    def sizes(made, n):
+        out = np.zeros(n, np.int64)
+        for r in made:
+            out[r["range"]] = r["n"]
+        return out
+
+    made = sorted(by_range(texts.mapInArrow(count_words, "range bigint, block binary"), finish_words, schema).collect(), key=lambda r: r["range"])
+    model = Model(sum(r["tokens"] for r in made), Words(uri, sizes(made, ranges)), [])
+    offsets = model.words.offsets
+    for n in range(2, order + 1 if model.size else 2):
+        layout = [(int(offsets[r["range"]]) + c, k, t) for r in made for c, k, t in zip(r["context"], r["parts"], r["total"], strict=True)]
+        level = Level(uri, n, model.size, np.array([x[0] for x in layout]), np.array([x[1] for x in layout]))
+        totals = {c: t for c, k, t in layout if k > 1}
+        grown = Model(model.tokens, model.words, [*model.levels, level])
+        made = sorted(by_range(texts.mapInArrow(_count(grown, n), "range bigint, block binary"), _finish(level, totals, discount, laid), schema).collect(), key=lambda r: r["range"])
+        level.made(sizes(made, len(layout)), totals, discount)
+        model, offsets = grown, level.offsets
+    return model
+
+
+def _count(model: Model, n: int):
+    """Blocks of the counts of the n-grams of a level that isn't made yet."""
+
+    def run(batches):
         for tokens, lengths in _batches(batches):
-            end = int(words.look_up(np.array([END], np.uint64))[0][0]) if end is None else end
-            numbers, _ = words.numbers(tokens)
-            yield _blocks_by_range((previous(numbers, lengths, end) * size + numbers).astype(np.uint64), pair_bounds.astype(np.uint64))
+            distinct, back = np.unique(tokens, return_inverse=True)
+            number = model.words.look_up(distinct)[0][back]
+            for level, context, child in model.grams(number, lengths, n):
+                if level.order == n:
+                    there = np.flatnonzero((context >= 0) & (child >= 0))
+                    of, keys = level.keys(context[there], child[there])
+                    yield _blocks_by_range(keys.astype(np.uint64), of)
+
+    return run
 
-    def finish_pairs(r, blocks):
+
+def _finish(level: Level, totals: dict[int, int], discount: float, laid):
+    def finish(r, blocks):
         keys, counts = merge(blocks)
-        keys = keys.astype(np.int64)
-        word = keys // size
-        low, high = int(word[0]), int(word[-1])
-        pointers = eliasfano.encode(np.searchsorted(word, np.arange(low, high + 2)), len(keys) + 1)
-        distinct = np.unique(word)
-        of_word = _counts_of(Vocabulary(uri, offsets), distinct)[np.searchsorted(distinct, word)]
-        logs = np.clip(np.rint(-STEPS * np.log2((counts - discount) / of_word)), 0, 255).astype(np.uint8)
-        codes = eliasfano.encode(keys - pair_bounds[r], int(keys[-1] - pair_bounds[r]) + 1)
-        tail = np.pad(logs, (0, -len(logs) % 8)).view(np.uint64)
-        Files(uri).write(f"pairs-{r}", np.concatenate([np.array([low, len(keys), len(pointers)], np.uint64), pointers, codes, tail]))
-        return {"range": r, "pairs": len(keys)}
-
-    kept = [] if not size else by_range(texts.mapInArrow(count_pairs, "range bigint, block binary"), finish_pairs, "range bigint, pairs bigint").collect()
-    empty = set(range(len(pair_bounds))) - {r["range"] for r in kept}  # these have no file
-    return Model(uri, tokens, offsets, pair_bounds, empty, discount)
-
-
-def _counts_of(words: Vocabulary, numbers: np.ndarray) -> np.ndarray:
-    """Counts of sorted word numbers."""
-    out = np.empty(len(numbers), np.int64)
-    edges = np.searchsorted(numbers, words.offsets)
-    for r in np.flatnonzero(edges[1:] > edges[:-1]):
-        part = slice(edges[r], edges[r + 1])
-        out[part] = words._range(int(r))[1][numbers[part] - words.offsets[r]]
-    return out
+        level.write(r, keys.astype(np.int64), counts, totals[int(level.firsts[r])] if level.parts[r] > 1 else None, discount)
+        return laid(r, counts)
+
+    return finish
 
 
 def score(docs: DataFrame, model: Model, rows: int = 2048) -> DataFrame:
-    """docs (with a column text) with n_tokens, n_known, train_tokens, base_score and score."""
+    """docs (with a column text) with n_tokens, n_known, train_tokens, base_score and score, and token_score,
+    the score for each token."""
 
     def make():
-        reader = model.reader()
-
         def run(texts):
             tokens = [hashes(t) for t in texts]
             lengths = np.array([len(h) for h in tokens])
-            known, base, own = reader.score(np.concatenate(tokens), lengths)
-            return [lengths.tolist(), known.tolist(), [model.tokens] * len(lengths), base.tolist(), own.tolist()]
+            known, base, own = model.score(np.concatenate(tokens), lengths)
+            return [lengths.tolist(), known.tolist(), [model.tokens] * len(lengths), base.tolist(), own.tolist(), (own / lengths).tolist()]
 
         return run
 
-    return append(docs, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", make, rows=rows)
+    return append(docs, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, token_score double", make, rows=rows)
 
 
 def learn_and_score(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a model of the rows that
-    aren't held out scores all rows."""
-    marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, token_score): a model of the rows
+    that aren't held out scores all rows."""
+    given = Columns(docs)
+    doc_id = F.col(given["doc_id"])
+    marked = given.rows.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(given["text"]).alias("text"))
     model = train(marked.where("not held_out").select("text"), **options)
     return score(marked, model).drop("text")

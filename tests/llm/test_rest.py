@@ -274,30 +274,41 @@ def test_elias_fano():
             assert ((c.find(x) >= 0) == np.isin(x, v)).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"range_tokens": 500, "range_docs": 40}])
+@pytest.mark.parametrize("options", [{}, {"range_tokens": 500, "range_docs": 40}, {"order": 4, "range_tokens": 90}, {"order": 2}])
 def test_language_model(spark, options):
     rows = [(r.doc_id, r.text) for r in cases.small(spark, 120).collect()] + [(r[0], r[1]) for r in cases.rows() if r[0] is not None]
     got = lm.learn_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()
+    order = options.get("order", 3)
 
     def tokens(t):
         return [*lower(t).encode().split(), b" "]
 
-    word, pair = Counter(), Counter()
+    def grams(t, n):
+        """(context, word) for each token that has n - 1 before it, the end that a text begins after among them."""
+        s = [b" ", *tokens(t)]
+        return [(tuple(s[i - n + 1 : i]), s[i]) if i >= n - 1 else None for i in range(1, len(s))]
+
+    word, gram, context = Counter(), Counter(), Counter()
     for d, t in rows:
         if zlib.crc32(str(d).encode()) % 7 != 2:
-            word.update(k := tokens(t))
-            pair.update(zip([b" ", *k[:-1]], k, strict=True))
-    n, v, followers = sum(word.values()), len(word), Counter(a for a, _ in pair)
+            word.update(tokens(t))
+            for m in range(2, order + 1):
+                gram.update(found := [g for g in grams(t, m) if g])
+                context.update(c for c, _ in found)
+    n, v, followers = sum(word.values()), len(word), Counter(c for c, _ in gram)
     want, own = Counter(), {}
     for d, t in rows:
         k = tokens(t)
-        base = sum(math.log10((word[w] + 1) / (n + v + 1)) for w in k)
+        p = [(word[w] + 1) / (n + v + 1) for w in k]
+        base = sum(map(math.log10, p))
         want[(d, zlib.crc32(str(d).encode()) % 7 == 2, len(k), sum(word[w] > 0 for w in k), n, round(base, 4))] += 1
-        p = [(word[w] + 1) / (n + v + 1) * (0.75 * followers[a] / word[a] if word[a] else 1) + (max(pair[a, w] - 0.75, 0) / word[a] if word[a] else 0) for a, w in zip([b" ", *k[:-1]], k, strict=True)]
+        for m in range(2, order + 1):
+            p = [x if g is None or not context[g[0]] else max(gram[g] - 0.75, 0) / context[g[0]] + 0.75 * followers[g[0]] / context[g[0]] * x for g, x in zip(grams(t, m), p, strict=True)]
         own[(d, len(k), round(base, 4))] = sum(map(math.log10, p))
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    # Quantising moves a token's probability by at most half a step.
-    assert all(abs(r.score - own[(r.doc_id, r.n_tokens, round(r.base_score, 4))]) <= r.n_tokens * math.log10(2) / lm.STEPS / 2 + 1e-6 for r in got)
+    # Quantising moves each level's part of a token's probability by at most half a step.
+    assert all(abs(r.score - own[(r.doc_id, r.n_tokens, round(r.base_score, 4))]) <= (order - 1) * r.n_tokens * math.log10(2) / lm.STEPS / 2 + 1e-6 for r in got)
+    assert all(math.isclose(r.token_score, r.score / r.n_tokens) for r in got)
 
 
 def test_language_model_edges(spark):
