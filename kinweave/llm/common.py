@@ -127,25 +127,6 @@ def cut_files(df: DataFrame) -> str:
     return path
 
 
-#: What tells rows apart.
-KEYS = ["key_file", "key_row"]
-
-
-def stored(rows: DataFrame) -> DataFrame:
-    """rows with the columns KEYS, written down once, so that every later job reads the same numbers."""
-    return cut_table(rows.withColumns({KEYS[0]: F.lit(0).cast("bigint"), KEYS[1]: F.monotonically_increasing_id()}))
-
-
-def placed(rows: DataFrame) -> DataFrame:
-    """rows with the columns KEYS: for a table of files as it was read, a hash of the file's path and the
-    row's place in the file, whatever the splits of a job. Rows that don't come from files are `stored`."""
-    try:
-        keyed = rows.withColumns({KEYS[0]: F.xxhash64(F.col("_metadata.file_path")), KEYS[1]: F.col("_metadata.row_index")})
-    except AnalysisException:
-        return stored(rows)
-    return keyed
-
-
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, most: int = 10_000) -> DataFrame:
     """rows with their facts, one row of facts for each key, which says in `count` how many of the `total`
     rows the key has; a key may have any part of them.
@@ -160,6 +141,70 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     return marked.where("is_hot").drop("is_hot").unionByName(rest)
 
 
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame, total: int, spread: list[str], how: str = "inner", salts: int = 64, most: int = 10_000) -> DataFrame:
+    """As `join_hot`, where facts are too large to be broadcast: counts are (key, n), and the rows of keys with
+    over total / most rows are dealt to `salts` places by their columns `spread`, where copies of the facts are."""
+    hot = F.broadcast(counts.where(F.col("n") > max(64, total // most)).select(key, F.lit(True).alias("hot")))
+    salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = facts.join(hot, key, "left").withColumn("salt", F.explode(places)).drop("hot")
+    return salted.join(copied.hint("merge"), [key, "salt"], how).drop("salt")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows with a column row, a number that holds whatever the splits of a job, as they are written down first."""
+    return placed(cut_table(rows))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """As `stored`, but for a table of Parquet files as it was read, or some rows and columns of it, nothing is
+    written: row is the file's number by name and the row's place in the file. Other rows are stored."""
+    try:
+        marked = rows.withColumns({"row_path": F.col("_metadata.file_path"), "row_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return stored(rows)
+    names = sorted(r.row_path for r in marked.select("row_path").distinct().collect())
+    files = rows.sparkSession.createDataFrame(list(enumerate(names)), "row_file bigint, row_path string")
+    # A file's number and path for each file are all that is broadcast.
+    found = marked.join(F.broadcast(files), "row_path").withColumn("row", F.shiftleft("row_file", 40) + F.col("row_at"))
+    return found.select("row", *rows.columns)
+
+
+#: Rows of a file whose findings are kept together.
+TOGETHER = 16  # as a power of two
+
+
+class Beside:
+    """What was found out about rows, from a folder of `beside`, a part at a time; a part is what was found out
+    about 65,536 rows of a file that stand together."""
+
+    def __init__(self, uri: str):
+        self.uri, self.part, self.table = uri, None, {}
+
+    def of(self, row: int) -> dict:
+        """The columns of a row's findings, by lo; nothing if there are none."""
+        if row >> TOGETHER != self.part:
+            from pyarrow import fs, parquet
+
+            self.part = row >> TOGETHER
+            system, path = fs.FileSystem.from_uri(f"{self.uri}/part={self.part}")
+            self.table = {}
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                t = parquet.read_table(path, filesystem=system, partitioning=None).sort_by([("row", "ascending"), ("lo", "ascending")])
+                self.table = {c: t.column(c).to_numpy() for c in t.column_names}
+        if not self.table:
+            return {}
+        a, b = self.table["row"].searchsorted([row, row + 1])
+        return {c: x[a:b] for c, x in self.table.items()} if b > a else {}
+
+
+def beside(rows: DataFrame) -> str:
+    """Writes rows (row, lo, …) down for tasks that read the texts again: texts never move to meet them."""
+    uri = f"{own_dir(rows.sparkSession)}/beside/{uuid.uuid4().hex}"
+    rows.withColumn("part", F.shiftright("row", TOGETHER)).repartition("part").write.partitionBy("part").parquet(uri)
+    return uri
+
+
 def by_range(rows: DataFrame, finish, schema: str) -> DataFrame:
     """One row finish(range, blocks), as a dict, for each range of rows (range, block).
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import KEYS, Columns, cut_table, stored, words
+from kinweave.llm.common import Columns, cut_table, stored, words
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -133,10 +133,10 @@ def resample(docs: DataFrame, number=stored, **options) -> DataFrame:
     given = Columns(docs)
     numbered = number(given.rows)
     asked = [F.col(given[c]).alias(c) for c in ("doc_id", "text", "source")]
-    m = mix(numbered.select(*KEYS, *asked), **options).where("taken > 0")
+    m = mix(numbered.select("row", *asked), **options).where("taken > 0")
     whole, left = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
-    rows = numbered.join(m.select(*KEYS, copies.alias("copies")), KEYS).withColumn("cut", F.explode("copies"))
+    rows = numbered.join(m.select("row", copies.alias("copies")), "row").withColumn("cut", F.explode("copies"))
     text = F.col(given["text"])
     front = F.array_join(F.slice(words(text), F.lit(1), F.col("cut").cast("int")), " ")
     return given.back(rows, replaced={"text": F.when(F.col("cut") > 0, front).otherwise(text)})

@@ -38,14 +38,13 @@ place in the files; it doesn't depend on how a job splits the input.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut_table, own_dir
+from kinweave.llm.common import Beside, Columns, beside, cut_table, join_salted, stored
 from kinweave.llm.substrings import Hashed, anchors, mix
 
 #: Positions that a task compares among themselves before it passes them on.
@@ -119,6 +118,7 @@ def _anchors(lengths: list[int], gram: int):
         import pyarrow as pa
 
         for batch in batches:
+            out = []
             for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
                 data = (text.as_py() or "").encode()
                 if len(data) >= lengths[0]:
@@ -131,7 +131,9 @@ def _anchors(lengths: list[int], gram: int):
                         extent = np.where(some, end + length - lo, 0)
                         key = mix(h.at(lo, extent) ^ mix((extent.astype(np.uint64) << np.uint64(24)) + (at - lo).astype(np.uint64))).view(np.int64)
                         columns += [np.where(some, end, -1), key ^ length]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    out.append(columns)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
     return run, ", ".join(f"{c} bigint" for c in names)
 
@@ -153,37 +155,6 @@ def _contexts(lengths: list[int]):
     return run
 
 
-class Beside:
-    """What was found out about rows, from a folder of `beside`, a part for each file of the input. A part is
-    as large as its file's share of the findings."""
-
-    def __init__(self, uri: str):
-        self.uri, self.part, self.table = uri, None, {}
-
-    def of(self, row: int) -> dict[str, np.ndarray]:
-        """The columns of a row's findings."""
-        if row >> 40 != self.part:
-            from pyarrow import fs, parquet
-
-            self.part = row >> 40
-            system, path = fs.FileSystem.from_uri(f"{self.uri}/part={self.part}")
-            self.table = {}
-            if system.get_file_info(path).type != fs.FileType.NotFound:
-                t = parquet.read_table(path, filesystem=system, partitioning=None).sort_by([("row", "ascending"), ("lo", "ascending")])
-                self.table = {c: t.column(c).to_numpy() for c in t.column_names}
-        if not self.table:
-            return {}
-        a, b = np.searchsorted(self.table["row"], [row, row + 1])
-        return {c: x[a:b] for c, x in self.table.items()} if b > a else {}
-
-
-def beside(rows: DataFrame) -> str:
-    """Writes rows (row, lo, …) down for tasks that read the texts again: texts never move to meet them."""
-    uri = f"{own_dir(rows.sparkSession)}/beside/{uuid.uuid4().hex}"
-    rows.withColumn("part", F.shiftright("row", 40)).repartition("part").write.partitionBy("part").parquet(uri)
-    return uri
-
-
 def _texts(batches):
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
@@ -302,36 +273,14 @@ def _cut(lengths: list[int], found: list[str], with_kept: bool):
     return run
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text), written down once so that every later job reads the same rows in the same places."""
-    return placed(cut_table(docs.select("doc_id", "text")))
-
-
-def placed(files: DataFrame) -> DataFrame:
-    """(row, doc_id, text) of a table of Parquet files that was read as it is; row is the file's number
-    by name and the row's place in the file, whatever the splits."""
-    spark = files.sparkSession
-    names = sorted(r.path for r in files.select(F.col("_metadata.file_path").alias("path")).distinct().collect())
-    numbers = spark.createDataFrame(list(enumerate(names)), "file bigint, path string")
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), "doc_id", "text")
-    return rows.join(F.broadcast(numbers), "path").select((F.shiftleft("file", 40) + F.col("at")).alias("row"), "doc_id", "text")
-
-
-def open_ranges(numbered: DataFrame, lengths: list[int], gram: int, salts: int = 64) -> list[str]:
+def open_ranges(texts: DataFrame, lengths: list[int], gram: int) -> list[str]:
     """For each length where it is written down (see Beside) which ranges lo … hi of each row's positions have
-    a string of that length that also starts elsewhere, for numbered (row, doc_id, text)."""
-    texts = numbered.select("row", "text")
+    a string of that length that also starts elsewhere, for texts (row, text)."""
     grams = texts.mapInArrow(_grams(lengths[0], gram), "g bigint, n bigint")
     repeated = cut_table(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"))
-    # Grams that many anchors have are few, so they are broadcast, and their anchors dealt to many tasks.
-    often = (repeated.agg(F.sum("n")).first()[0] or 0) // 10_000
-    hot = F.broadcast(repeated.where(F.col("n") > F.lit(max(often, 64))).select("g", F.lit(True).alias("hot")))
     run, schema = _anchors(lengths, gram)
-    salted = texts.mapInArrow(run, schema).join(hot, "g", "left")
-    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "lo"), F.lit(salts)).cast("int")).otherwise(0))
-    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    grams = repeated.select("g").join(hot, "g", "left").select("g", F.explode(places).alias("salt"))
-    met = salted.drop("hot").join(grams.hint("merge"), ["g", "salt"], "left_semi")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    met = join_salted(texts.mapInArrow(run, schema), repeated.select("g"), "g", repeated, total, ["row", "lo"], "left_semi")
 
     kind = W.partitionBy("key", "g")
     done = (F.col("n") == 0) | ((F.col("n") == 1) & (F.col("total") > 1))
@@ -364,8 +313,7 @@ def remove(docs: DataFrame, length: int = 400, gram: int = 80, rounds: int = 2,
 
     rounds: how many lengths there are, each the double of the one before, `length` the last; longest_repeat
     is one of these lengths, or 0 where no string of even the first one repeats. gram: the anchors' bytes.
-    number: `stored` for any docs, or `placed`, which writes no texts, for Parquet files as they were read.
-    with_kept: whether to give what remains of the texts; else kept is null.
+    number: how rows are told apart, `common.stored` or, for files as they were read, `common.placed`. with_kept: whether to give what remains of the texts; else kept is null.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -373,9 +321,10 @@ def remove(docs: DataFrame, length: int = 400, gram: int = 80, rounds: int = 2,
     lengths = [length >> k for k in range(rounds - 1, -1, -1)]
     if length % (1 << rounds - 1) or not 1 <= gram <= lengths[0]:
         raise ValueError("lengths double, and a gram is part of the first one's windows")
-    numbered = number(docs)
-    kind = dict(numbered.dtypes)["doc_id"]
+    given = Columns(docs)
+    rows = number(given.rows.select(F.col(given["doc_id"]).alias("doc_id"), F.col(given["text"]).alias("text")))
+    kind = dict(rows.dtypes)["doc_id"]
     out = T.StructType.fromDDL(f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, longest_repeat bigint, kept binary, spans array<struct<s:int,e:int>>")
-    run = _cut(lengths, open_ranges(numbered, lengths, gram), with_kept)
+    run = _cut(lengths, open_ranges(rows.select("row", "text"), lengths, gram), with_kept)
     run.schema = to_arrow_schema(out)
-    return numbered.mapInArrow(run, out)
+    return rows.mapInArrow(run, out)

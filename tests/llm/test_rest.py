@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kinweave.llm import classifier, eliasfano, license, lm, pii, query_topk, repeats, topk
+from kinweave.llm import classifier, common, eliasfano, license, lm, pii, query_topk, repeats, topk
 from tests.llm import cases
 from tests.oracle import compare, connect
 
@@ -234,7 +234,7 @@ def test_repeats_other_splits(spark, tmp_path, way):
     try:
         docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
         assert docs.rdd.getNumPartitions() < 9
-        out = repeats.remove(docs, 24, 8, **({"number": repeats.placed} if way == "placed" else {}))
+        out = repeats.remove(docs, 24, 8, number=getattr(common, way))
         spark.conf.set(name, "1m")
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
     finally:
