@@ -47,3 +47,24 @@ def indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = words.astype(np.uint32)
     s = low[words & 0xFFF] ^ high[words >> 12]
     return (words[:, None] ^ table[s]) >> 11, count[s]
+
+
+@lru_cache(1)
+def _signs() -> np.ndarray:
+    """The codewords in order of their indices, as +1 for a one and -1 for a zero."""
+    low, high, _, _ = _tables()
+    # The upper 12 bits of a codeword are its index; the lower 11 are what makes the remainder zero.
+    index = np.arange(4096, dtype=np.uint32) << np.uint32(11)
+    words = index | syndromes(index)
+    return np.where(words[:, None] >> np.arange(23, dtype=np.uint32) & 1, 1, -1).astype(np.float32)
+
+
+def nearest(margins: np.ndarray, most: int) -> np.ndarray:
+    """Soft decoding: the indices of the `most` codewords that agree best with each row of 23 margins, whose
+    signs are the bits and whose sizes say how sure these are."""
+    agreement = margins.astype(np.float32) @ _signs().T
+    rows, out = np.arange(len(margins)), []
+    for _ in range(most):
+        out.append(agreement.argmax(axis=1))
+        agreement[rows, out[-1]] = -np.inf
+    return np.stack(out, axis=1)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import golay
-from kinweave.llm.common import KEYS, Columns, append, cut, cut_table, join_hot, stored
+from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, join_salted, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -64,43 +64,48 @@ def keys_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def differing(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """How many bits differ between fingerprints, rows of 64-bit words."""
+    return np.bitwise_count(f ^ g).sum(axis=-1)
+
+
+def forest(f: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever links of at most `distance` bits connect in f, at most len(f) - 1 of them."""
-    left, a, b = np.sort(f.view(np.uint64)), [], []
+    order = np.argsort(ids)
+    left, names, a, b = f[order], ids[order], [], []
     frontier: list = []
     while len(left):
         if frontier:
-            node = frontier.pop()
+            node, name = frontier.pop()
         else:
-            node, left = left[0], left[1:]
-        near = np.bitwise_count(left ^ node) <= distance
+            node, name, left, names = left[0], names[0], left[1:], names[1:]
+        near = differing(left, node) <= distance
         if near.any():
-            found = left[near]
-            a.append(np.full(len(found), node))
-            b.append(found)
-            frontier.extend(found)
-            left = left[~near]
+            a.append(np.full(near.sum(), name))
+            b.append(names[near])
+            frontier.extend(zip(left[near], names[near], strict=True))
+            left, names = left[~near], names[~near]
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+    return np.concatenate(a), np.concatenate(b)
 
 
-def links_in(keys: np.ndarray, f: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def links_in(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal keys. Short runs are compared all at once, at growing offsets."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     a, b = [], []
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        x, y = forest(f[s : s + n], distance)
+        x, y = forest(f[s : s + n], ids[s : s + n], distance)
         a.append(x)
         b.append(y)
     after = np.repeat(np.where(sizes > small, 0, starts + sizes), sizes)  # the end of each row's run
     at = np.arange(len(keys))
     offset = 1
     while len(at := at[at + offset < after[at]]):
-        near = at[np.bitwise_count((f[at] ^ f[at + offset]).view(np.uint64)) <= distance]
-        a.append(f[near])
-        b.append(f[near + offset])
+        near = at[differing(f[at], f[at + offset]) <= distance]
+        a.append(ids[near])
+        b.append(ids[near + offset])
         offset += 1
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -108,81 +113,98 @@ def links_in(keys: np.ndarray, f: np.ndarray, distance: int, small: int = 48) ->
     return pairs[:, 0], pairs[:, 1]
 
 
+def _words(batch, words: list[str]) -> np.ndarray:
+    """The fingerprints of a batch of rows, as rows of 64-bit words."""
+    return np.stack([np.ascontiguousarray(batch.column(w), np.int64) for w in words], axis=1).view(np.uint64)
+
+
 def _emit_keys(batches):
     import pyarrow as pa
 
     for batch in batches:
-        f = batch.column("f").to_numpy(zero_copy_only=False)
+        f = np.ascontiguousarray(batch.column("f"), np.int64)
         for at in range(0, len(f), 8192):
-            k, o = keys_of(np.ascontiguousarray(f[at : at + 8192]))
+            k, o = keys_of(f[at : at + 8192])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(o)], names=["k", "f"])
 
 
-def _emit_links(distance: int, most: int, chunk: int = 1 << 19):
+def _emit_links(words: list[str], name: str, distance: int, most: int, chunk: int = 1 << 19):
     """A task's rows come sorted by key. Whole runs are worked off in chunks; a run over `most` passes
     through with its key for the second round."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(a, b, k=None):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k) if k is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "k"])
+        def links(k, f, ids):
+            a, b = links_in(k, f, ids, distance)
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, *[none for _ in words]], names=NAMES_LINK + [f"w{i}" for i in range(len(words))])
+
+        def passed(k, f, ids):
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(k), *[pa.array(x) for x in f.view(np.int64).T.copy()]], names=NAMES_LINK + [f"w{i}" for i in range(len(words))])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         passing = None
         for batch in batches:
-            k = batch.column("k").to_numpy(zero_copy_only=False)
-            f = batch.column("f").to_numpy(zero_copy_only=False)
+            rows = (np.ascontiguousarray(batch.column("k"), np.int64), _words(batch, words), np.ascontiguousarray(batch.column(name), np.int64))
             if passing is not None:
-                n = int(np.searchsorted(k, passing, side="right"))
+                n = int(np.searchsorted(rows[0], passing, side="right"))
                 if n:
-                    yield out(f[:n], f[:n], k[:n])
-                if n == len(k):
+                    yield passed(*(x[:n] for x in rows))
+                if n == len(rows[0]):
                     continue
-                passing, k, f = None, k[n:], f[n:]
-            held.append((k, f))
-            if sum(len(x) for x, _ in held) < chunk:
+                passing, rows = None, tuple(x[n:] for x in rows)
+            held.append(rows)
+            if sum(len(x[0]) for x in held) < chunk:
                 continue
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.searchsorted(k, k[-1]))  # the last run may go on
-            yield out(*links_in(k[:last], f[:last], distance))
-            held = [(k[last:], f[last:])]
-            if len(k) - last > most:
-                yield out(f[last:], f[last:], k[last:])
-                held, passing = [], k[-1]
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+            yield links(*(x[:last] for x in rows))
+            held = [tuple(x[last:] for x in rows)]
+            if len(rows[0]) - last > most:
+                yield passed(*held[0])
+                held, passing = [], rows[0][-1]
         if held:
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield out(*links_in(k, f, distance))
+            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _blockwise(over: DataFrame, distance: int, block: int) -> DataFrame:
+NAMES_LINK = ["a", "b", "k"]
+
+
+def _blockwise(over: DataFrame, words: int, distance: int, block: int) -> DataFrame:
     """Links within keys of too many members: members are dealt to blocks, and every two blocks meet in one task."""
     sizes = over.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
-    rows = over.join(sizes, "k").withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")))
+    rows = over.join(F.broadcast(sizes), "k").withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a")
+    names = [f"w{i}" for i in range(words)]
+    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", *names)
 
     def meet(pdf):
         import pandas as pd
 
-        a, b = forest(np.unique(pdf["a"].to_numpy()), distance)
+        pdf = pdf.drop_duplicates("a")
+        a, b = forest(np.stack([pdf[w].to_numpy() for w in names], axis=1).view(np.uint64), pdf["a"].to_numpy(), distance)
         return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("k", "i", "j").applyInPandas(meet, "a bigint, b bigint")
 
 
+def links_by_key(keys: DataFrame, words: list[str], name: str, distance: int, most: int) -> DataFrame:
+    """(a, b): links among rows of equal k, named by a column, whose fingerprints in `words` differ in at most
+    `distance` bits; enough of them to connect what all such links connect within a k."""
+    schema = ", ".join(f"{c} bigint" for c in [*NAMES_LINK, *[f"w{i}" for i in range(len(words))]])
+    found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_emit_links(words, name, distance, most), schema))
+    links, over = found.where("k is null").select("a", "b"), found.where("k is not null")
+    return links if over.isEmpty() else links.union(_blockwise(over, len(words), distance, most))
+
+
 def link(fingerprints: DataFrame, distance: int = 4, most: int = 1 << 16) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints f just as all pairs within `distance` (at most 4) bits do."""
     if not 0 <= distance <= 4:
         raise ValueError("the keys find all links of up to 4 bits")
-    keys = fingerprints.mapInArrow(_emit_keys, "k bigint, f bigint")
-    found = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_emit_links(distance, most), "a bigint, b bigint, k bigint")
-    found = cut(found)
-    links = found.where("k is null").select("a", "b")
-    over = found.where("k is not null").select("k", "a")
-    return links if over.isEmpty() else links.union(_blockwise(over, distance, most))
+    return links_by_key(fingerprints.mapInArrow(_emit_keys, "k bigint, f bigint"), ["f"], "f", distance, most)
 
 
 def groups(nodes: DataFrame, distance: int = 4) -> DataFrame:
@@ -204,18 +226,121 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     return whole.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, distance: int = 4, number=stored) -> DataFrame:
-    """The rows of docs that come first in their component, one row for each component, with all columns.
+# Near copies by similarity: wider fingerprints, several codewords a segment by soft decoding, and exact
+# similarities of the pairs that they bring together.
+
+#: Segments of 23 bits in a fingerprint of 128, codewords of each, and how many bits of similar texts may
+#: differ: texts with a similarity of 0.8 differ in 19.4 on average, unlike ones in 64.
+PARTS, CODES, REACH = 5, 3, 32
+
+
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """Runs of `width` words of a text, A-Z in lower case, repeats included; of fewer words the whole sequence."""
+    w = (text or "").encode().lower().split()
+    if len(w) < width:
+        return [b" ".join(w)] if w else []
+    return [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
+
+
+def _wide(width: int):
+    """For texts their 128-bit fingerprints and, two bytes each, the codewords of their segments."""
+
+    def run(texts):
+        votes = np.zeros((len(texts), 128), np.int64)
+        for i, t in enumerate(texts):
+            if s := shingles(t, width):
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(len(s), 16)
+                votes[i] = 2 * np.add.reduce(np.unpackbits(h, axis=1, bitorder="little"), axis=0, dtype=np.int64) - len(s)
+        f = np.packbits(votes > 0, axis=1, bitorder="little").view("<i8")
+        # How sure a bit is grows with its margin, up to twice the text's mean.
+        margins = np.clip(votes / np.maximum(np.abs(votes).mean(axis=1, keepdims=True), 1e-9), -2, 2)
+        codes = [golay.nearest(margins[:, 23 * p : 23 * p + 23], CODES) for p in range(PARTS)]
+        return [f[:, 0].tolist(), f[:, 1].tolist(), [x.tobytes() for x in np.concatenate(codes, axis=1).astype("<u2")]]
+
+    return run
+
+
+def _wide_keys(batches):
+    """Rows (k, f0, f1, row): for each pair of segments all pairs of their codewords."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            piece = batch.slice(at, 4096)
+            codes = np.frombuffer(b"".join(piece.column("codes").to_pylist()), "<u2").reshape(-1, PARTS, CODES).astype(np.int64)
+            keys = [(PARTS * i + j) << 24 | codes[:, i, x] << 12 | codes[:, j, y] for i in range(PARTS) for j in range(i) for x in range(CODES) for y in range(CODES)]
+            columns = [np.tile(np.ascontiguousarray(piece.column(c), np.int64), len(keys)) for c in ("f0", "f1", "row")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *columns)], names=["k", "f0", "f1", "row"])
+
+
+def _sets(width: int, wanted: str):
+    """(row, shingles) of the rows that are wanted: the different hashes of their shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = Beside(wanted)
+        for batch in batches:
+            rows, sets = [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                if known.of(row):
+                    rows.append(row)
+                    sets.append(sorted({h - (1 << 63) for h in map(xxhash.xxh3_64_intdigest, shingles(text.as_py(), width))}))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return run
+
+
+def _chosen(uri: str):
+    def run(batches):
+        import pyarrow as pa
+
+        known = Beside(uri)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(known.of(r)) for r in batch.column("row").to_pylist()], pa.bool_()))
+
+    return run
+
 
-    Rows come in the order of their doc_id (null last), a hash of their text, and their place. number: how
-    rows are told apart, `common.stored` or, for files as they were read, `common.placed`. All is decided
-    on narrow rows; texts move once, to meet the chosen places.
+def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int = 1 << 16) -> DataFrame:
+    """(a, b): links between nodes (row, f0, f1, codes), by rows of texts (row, text), that are similar: the
+    different shingles that both have are at least this share of those that either has."""
+    candidates = links_by_key(nodes.mapInArrow(_wide_keys, "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most)
+    pairs = cut_table(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    wanted = beside(either.distinct().withColumn("lo", F.lit(0).cast("bigint")))
+    sets = cut_table(texts.mapInArrow(_sets(width, wanted), "row bigint, shingles array<bigint>"))
+    total, met = pairs.count(), pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        met = join_salted(met, sets.select(F.col("row").alias(end), F.col("shingles").alias(f"of_{end}")), end, counts, total, [other])
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return met.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=stored) -> DataFrame:
+    """The rows of docs (with columns doc_id and text) that come first in their group of near copies, one row
+    for each group, with all columns. Near copies share at least `similarity` of their shingles of `width`
+    words, or are linked by others that do.
+
+    Fingerprints of 128 bits are cut into segments, and each segment is decoded to the codewords nearest
+    to its votes, sure bits counting for more: texts that are similar share a codeword in two segments at
+    least, with few exceptions (README has figures). Pairs that share both and differ in at most REACH bits
+    are compared by all of their shingles. Where more than 48 texts share a pair of codewords, a forest
+    of such pairs is compared, not every pair.
+
+    Rows come in the order of their doc_id (null last), a hash of their text, and their place. Null and empty
+    texts are copies of each other. number: how rows are told apart, `common.stored` or, for files as they
+    were read, `common.placed`. All is decided on narrow rows, and texts don't move.
     """
     given = Columns(docs)
     rows = number(given.rows)
     doc_id, text = F.col(given["doc_id"]), F.col(given["text"])
-    place = F.struct(doc_id.isNull(), doc_id, F.xxhash64(text), *KEYS)
-    narrow = with_fingerprint(rows.select(place.alias("place"), text.alias("text")), "f").select("place", "f")
-    nodes = cut_table(narrow.groupBy("f").agg(F.min("place").alias("place")))
-    first = groups(nodes, distance).groupBy("label").agg(F.min("place").alias("place"))
-    return given.back(rows.join(first.select(*[F.col(f"place.{k}").alias(k) for k in KEYS]), KEYS, "left_semi"))
+    place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.xxhash64(text).alias("hash"), F.col("row").alias("row"))
+    prints = append(rows.select(place.alias("place"), text.alias("text")), "f0 bigint, f1 bigint, codes binary", lambda: _wide(width), rows=256).drop("text")
+    nodes = cut_table(prints.groupBy("f0", "f1").agg(F.min(F.struct("place", "codes")).alias("first")).select("f0", "f1", "first.place", "first.codes", F.col("first.place.row").alias("row")))
+    links = similar(rows.select("row", text.alias("text")), nodes, similarity, width)
+    labels = components(links).withColumnRenamed("node", "row")
+    grouped = nodes.select("row", "place").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    first = grouped.groupBy("label").agg(F.min("place").alias("place")).select("place.row", F.lit(0).cast("bigint").alias("lo"))
+    return given.back(rows.mapInArrow(_chosen(beside(first)), rows.schema))

@@ -1,3 +1,5 @@
+import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -5,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinweave.llm import golay, simhash
+from kinweave.llm import common, golay, simhash
 from kinweave.llm.components import components
 from tests.llm import cases
 
@@ -106,10 +108,75 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def similar_groups(texts, similarity=0.8, width=5):
+    """For each text the first one of its group, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    of = list(range(len(texts)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) and bool(sets[i]) == bool(sets[j]):
+                x, y = sorted((root(i), root(j)))
+                of[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
 def test_keep_first(spark):
+    """Copies with a few words changed, a chain of them, many copies, short, empty and null texts, and ties."""
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(25):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randrange(30, 400))]
+        for _ in range(rnd.randrange(1, 6)):
+            edited = [rnd.choice(vocabulary) if rnd.random() < 0.015 else x for x in base]
+            rows.append(" ".join(edited).upper() if rnd.random() < 0.3 else "  ".join(edited))
+    chain = [rnd.choice(vocabulary) for _ in range(300)]
+    for i in range(20):
+        chain = [*chain[:10 * i], *[rnd.choice(vocabulary) for _ in range(5)], *chain[10 * i + 5 :]]
+        rows.append(" ".join(chain))
+    rows += [rows[3]] * 200 + [None, "", " \t", "one", "one", "two words", "one two three four five"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    first = similar_groups(rows)
+    assert len(set(first)) < 80
+    for number, given in ((common.stored, docs), (common.placed, docs.repartition(7))):
+        assert sorted(r.doc_id for r in simhash.keep_first(given, number=number).collect()) == sorted(set(first))
+    same = [(1, "a b c d e f g", "x"), (1, "a b c d e f g h", "y"), (None, "a b c d e f g", "z"), (None, None, "n"), (2, "", "m")]
+    want = None
+    for order in (same, same[::-1]):
+        kept = sorted(map(tuple, simhash.keep_first(spark.createDataFrame(order, "doc_id bigint, text string, extra string").coalesce(1)).collect()), key=repr)
+        assert want is None or kept == want
+        want = kept
+    assert [r[2] for r in want if r[0] == 2] == ["m"] and all(r[0] is not None for r in want)
     docs = cases.docs(spark)
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).where("doc_id is not null").collect()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of.values()))
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert simhash.keep_first(cases.empty(spark)).count() == 0
+
+
+def test_keep_first_on_documents(spark, sf_dir):
+    """All documents of the smallest scale against all pairs: of the groups, at most one in twenty falls apart."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    first = similar_groups([t for _, t in rows])
+    want = {rows[i][0] for i in set(first)}
+    got = {r.doc_id for r in simhash.keep_first(spark.read.parquet(f"{sf_dir}/documents.parquet"), number=common.placed).collect()}
+    assert want <= got and len(got - want) <= len(want) / 20
+
+
+def test_nearest_codewords():
+    r = np.random.default_rng(6)
+    margins = r.normal(size=(200, 23))
+    words = np.arange(1 << 23, dtype=np.uint32)
+    words = words[golay.syndromes(words) == 0]
+    signs = np.where(words[:, None] >> np.arange(23, dtype=np.uint32) & 1, 1, -1)
+    want = np.argsort(-(margins @ signs.T), axis=1)[:, :3]
+    assert len(words) == 4096 and (words[want] >> 11 == golay.nearest(margins, 3)).all()
