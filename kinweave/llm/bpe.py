@@ -6,7 +6,7 @@ the same chunks in each.
 
 1. Each task lists the hashes of its distinct chunks. A hash that several tasks list is a shared chunk,
    and one of them, picked by a hash so that the work spreads, owns it.
-2. The owner encodes the chunk. Its ids are dealt to the tasks that list it, as a file for each task in
+2. The owner encodes the chunk. Its ids are dealt to the tasks that list it, in a folder for every 64 tasks in
    the shared folder. Only hashes and shared chunks' ids move, never texts.
 3. Each task encodes its texts with the ids it was dealt, and keeps the chunks it used last, up to a
    fixed amount of memory. Dealt ids must decode to the chunk's very bytes; else it is encoded here.
@@ -19,8 +19,9 @@ are missed and encoded on the spot; results stay the same. A task holds the ids
 chunks, which are no more than its part of the input. The shared folder must be one that pyarrow can open.
 
 The special token's string in a text becomes its id, as the tokenizers library does by default. A null
-text counts as an empty one: no ids, empty decoded text. Repeated rows give the same result. Columns
-named like an output are replaced; all others pass through.
+text counts as an empty one: no ids, empty decoded text. Repeated rows give the same result. An empty
+table gives an empty one. A very long text is held whole, with its ids. Columns named like an output are
+replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import append, cut_table, shared_dir
+from kinweave.llm.common import append, cut_table, own_dir
 
 # Fixed value: the pattern that splits a text before byte-pair merges, as the vocabulary's pre-tokenizer has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -243,9 +244,9 @@ def _task() -> int:
 
 
 def _deal(rows: DataFrame) -> str:
-    """The URI of a folder with a part for each task, for rows with a column t, the task's number."""
-    uri = f"{shared_dir(rows.sparkSession)}/chunks/{uuid.uuid4().hex}"
-    rows.repartition("t").write.partitionBy("t").parquet(uri)
+    """The URI of a folder with a part for every 64 tasks, for rows with a column t, the task's number."""
+    uri = f"{own_dir(rows.sparkSession)}/chunks/{uuid.uuid4().hex}"
+    rows.withColumn("part", F.shiftright("t", 6)).repartition("t").sortWithinPartitions("part", "t").write.partitionBy("part").parquet(uri)
     return uri
 
 
@@ -253,10 +254,10 @@ def _dealt(uri: str, columns: list[str]):
     """What this task was dealt, as an Arrow table; None if nothing."""
     from pyarrow import fs, parquet
 
-    system, path = fs.FileSystem.from_uri(f"{uri}/t={_task()}")
+    system, path = fs.FileSystem.from_uri(f"{uri}/part={_task() >> 6}")
     if system.get_file_info(path).type == fs.FileType.NotFound:
         return None
-    return parquet.read_table(path, filesystem=system, columns=columns, partitioning=None).combine_chunks()
+    return parquet.read_table(path, filesystem=system, columns=columns, partitioning=None, filters=[("t", "=", _task())]).combine_chunks()
 
 
 def _hashes(path: str, bits: int):

@@ -226,8 +226,8 @@ def test_repeats_edges(spark):
 def test_repeats_other_splits(spark, tmp_path, way):
     """Files are split anew between the jobs, as when an executor joins or is lost."""
     rnd = random.Random(2)
-    common = "".join(rnd.choice("abcdefgh ") for _ in range(60))
-    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(40, 90))) + (common if i % 3 == 0 else "")) for i in range(70)]
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(40, 90))) + (passage if i % 3 == 0 else "")) for i in range(70)]
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
