@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave import operators, plans
+from kinweave import operators, plans, sinks, sources
 from kinweave.operators.graph import region_edges
 from kinweave.sources import StandIn
 
@@ -40,6 +40,25 @@ def _graph_queries() -> dict[str, Query]:
         "g_outdated_orders": lambda s, d: plans.outdated(StandIn(s, d).pages(), StandIn(s, d).activity_orders()),
         "g_outdated_events_24h": lambda s, d: plans.outdated(StandIn(s, d).pages(), StandIn(s, d).activity_events(), 24),
     }
+    q |= {
+        "a_hobby_frequency_strict": lambda s, d: plans.hobby_frequency(sources.page_rows(StandIn(s, d).page_lines(), True), True),
+        "a_hobby_frequency_lines": lambda s, d: plans.hobby_frequency(sources.page_rows(StandIn(s, d).page_lines())),
+        "c_users_by_hobby_padded": lambda s, d: plans.users_by_hobby(sources.page_rows(StandIn(s, d).page_lines()), " Machinery\t"),
+        "text_pages": lambda s, d: sources.pages(StandIn(s, d).page_lines()),
+        "text_follows": lambda s, d: sources.follows(StandIn(s, d).follow_lines()),
+        "text_activity": lambda s, d: sources.activity(StandIn(s, d).activity_lines()),
+    }
+    for letter, result in (
+        ("a", lambda t: plans.hobby_frequency(t.pages())),
+        ("b", lambda t: plans.top_pages(t.pages(), t.activity_orders())),
+        ("c", lambda t: plans.users_by_hobby(t.pages(), "building")),
+        ("d", lambda t: plans.follower_totals(t.pages(), t.follows_supp())),
+        ("e", lambda t: plans.activity_totals(t.pages(), t.activity_orders())),
+        ("f", lambda t: plans.above_average(t.pages(), t.follows_supp())),
+        ("g", lambda t: plans.outdated(t.pages(), t.activity_orders())),
+        ("h", lambda t: plans.one_way_in_region(t.pages(), t.follows_supp())),
+    ):
+        q[f"sink_lines_{letter}"] = lambda s, d, letter=letter, result=result: sinks.lines(result(StandIn(s, d)), letter)
     for kind in ("events", "orders"):
         visits = lambda s, d, kind=kind: getattr(StandIn(s, d), f"activity_{kind}")()
         q[f"b_top_pages_{kind}"] = lambda s, d, v=visits: plans.top_pages(StandIn(s, d).pages(), v(s, d))
@@ -63,6 +82,36 @@ activity_orders AS (SELECT cust AS by_who, part AS what_page, t AS action_time F
 activity_events AS (SELECT CAST(user_id AS BIGINT) AS by_who, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS what_page, CAST(floor(epoch(ts) / 3600) AS INTEGER) AS action_time FROM events)"""
 
 
+_LINES = r"""WITH lines AS (SELECT CASE WHEN c_custkey % 8 = 7 THEN c_custkey || ',short' ELSE CASE WHEN c_custkey % 8 = 6 THEN 'id' ELSE CAST(c_custkey AS VARCHAR) END
+  || ', ' || c_name || ',Job ' || c_custkey || ',' || CASE c_custkey % 8 WHEN 4 THEN 'x' WHEN 5 THEN ' +' || c_nationkey ELSE CAST(c_nationkey AS VARCHAR) END || ','
+  || CASE c_custkey % 8 WHEN 1 THEN ' ' || c_mktsegment || chr(9) WHEN 2 THEN c_mktsegment || ',more' WHEN 3 THEN ',,' ELSE c_mktsegment END END AS value FROM customer),
+parts AS (SELECT value, string_split(value, ',') AS p FROM lines),
+rows_ AS (SELECT CASE WHEN regexp_matches(trim(p[1], ' ' || chr(9)), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(p[1], ' ' || chr(9)) AS BIGINT) END AS id, trim(p[2], ' ' || chr(9)) AS nick_name, trim(p[3], ' ' || chr(9)) AS job_title,
+  CASE WHEN len(p) >= 4 THEN coalesce(CASE WHEN regexp_matches(trim(p[4], ' ' || chr(9)), '^[+-]?[0-9]+$') THEN TRY_CAST(ltrim(trim(p[4], ' ' || chr(9)), '+') AS INTEGER) END, -1) END AS region_code,
+  trim(p[5], ' ' || chr(9)) AS favorite_hobby FROM parts)"""
+_ORDERED = """SELECT o_orderkey AS k, o_custkey AS cust, l_partkey AS part, l_suppkey AS supp, CAST(floor(epoch(o_orderdate) / 3600) AS INTEGER) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def _text_sql() -> dict[str, str]:
+    return {
+        "a_hobby_frequency_strict": rf"{_LINES}, s AS (SELECT string_split(regexp_replace(value, ',+$', ''), ',') AS p FROM lines) SELECT p[5] AS hobby, count(*) AS n FROM s WHERE len(p) = 5 GROUP BY 1",
+        "a_hobby_frequency_lines": f"{_LINES} SELECT favorite_hobby AS hobby, count(*) AS n FROM rows_ WHERE favorite_hobby <> '' GROUP BY 1",
+        "c_users_by_hobby_padded": f"{_LINES} SELECT nick_name AS nick, job_title AS job FROM rows_ WHERE lower(favorite_hobby) = 'machinery'",
+        "text_pages": f"{_LINES} SELECT id, nick_name, job_title, region_code, favorite_hobby FROM rows_ WHERE id IS NOT NULL",
+        "text_follows": f"""WITH o AS ({_ORDERED}) SELECT CAST(k AS BIGINT) AS col_rel, CAST(cust AS BIGINT) AS id1, CASE WHEN k % 5 <> 1 THEN CAST(supp AS BIGINT) END AS id2,
+  CAST(CASE WHEN k % 5 IN (3, 4) THEN NULL ELSE 7 END AS INTEGER) AS date_of_relation, CASE k % 5 WHEN 3 THEN NULL WHEN 4 THEN 'late' ELSE 'a friend' END AS description FROM o""",
+        "text_activity": f"""WITH o AS ({_ORDERED}) SELECT CAST(k AS BIGINT) AS action_id, CASE WHEN k % 4 <> 1 THEN CAST(cust AS BIGINT) END AS by_who, CAST(part AS BIGINT) AS what_page,
+  'viewed' AS action_type, CASE WHEN k % 4 <> 2 THEN t END AS action_time FROM o""",
+    }
+
+
+def _sink_sql(sql: dict[str, str]) -> dict[str, str]:
+    sides = {"a": ("hobby", "n"), "b": ("id, nick, job, n", ""), "c": ("nick", "job"), "d": ("id, nick, n", ""), "e": ("id", "total_actions, distinct_pages"), "f": ("id, nick, n", ""), "g": ("id, nick", ""), "h": ("id, nick", "")}
+    of = {"a": "a_hobby_frequency", "b": "b_top_pages_orders", "c": "c_users_by_hobby", "d": "d_followers_supp", "e": "e_activity_orders", "f": "f_above_average_supp", "g": "g_outdated_orders", "h": "h_one_way_supp"}
+    join = lambda names: " || ',' || ".join(f"coalesce(CAST({n} AS VARCHAR), '')" for n in names.split(", "))
+    return {f"sink_lines_{x}": f"SELECT {join(a)}{f' || chr(9) || {join(b)}' if b else ''} AS value FROM ({sql[of[x]]})" for x, (a, b) in sides.items()}
+
+
 def _graph_sql() -> dict[str, str]:
     sql = {
         "a_hobby_frequency": f"{_WITH} SELECT trim(hobby) AS hobby, count(*) AS n FROM people WHERE trim(hobby) <> '' GROUP BY 1",
@@ -91,7 +140,7 @@ def _graph_sql() -> dict[str, str]:
         sql[f"h_same_region_edges_{kind}"] = f"{edges} SELECT id1, id2 FROM e"
         sql[f"h_one_way_ids_anti_{kind}"] = sql[f"h_one_way_ids_pair_{kind}"] = f"{one_way} SELECT id FROM w"
         sql[f"h_one_way_{kind}"] = f"{one_way} SELECT p.id, nick FROM people p JOIN w ON w.id = p.id"
-    return sql
+    return sql | _text_sql() | _sink_sql(sql)
 
 
 def _llm():

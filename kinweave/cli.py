@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from typing import NoReturn
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +13,16 @@ from kinweave import plans, sinks, sources, timing
 NEEDS = {"a": "", "b": "activity", "c": "", "d": "follows", "e": "activity", "f": "follows", "g": "activity", "h": "follows"}
 
 
+class Parser(argparse.ArgumentParser):
+    """Wrong arguments end the command with status 1."""
+
+    def error(self, message: str) -> NoReturn:
+        self.print_usage(sys.stderr)
+        self.exit(1, f"{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="kinweave", description="Answer one of the questions a to h over text files.")
+    p = Parser(prog="kinweave", description="Answer one of the questions a to h over text files.")
     p.add_argument("question", choices=sorted(NEEDS))
     p.add_argument("--pages", required=True)
     p.add_argument("--follows")
@@ -55,9 +64,12 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if NEEDS[a.question] and not getattr(a, NEEDS[a.question]):
         p.error(f"question {a.question} needs --{NEEDS[a.question]}")
-    spark = SparkSession.builder.appName(f"kinweave-{a.question}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    with timing.timed(f"question_{a.question}"):
-        sinks.write_text(answer(spark, a), a.question, a.out)
+    label = f"question_{a.question}"
+    with timing.timed(label):
+        spark = SparkSession.builder.appName(f"kinweave-{a.question}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        result = answer(spark, a)
+        with timing.timed(label, "job"):
+            sinks.write_text(result, a.question, a.out)
     return 0
 
 

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.joining import hinted
+from kinweave.operators.joining import BROADCAST_LIMIT, estimated_bytes, hinted
 
 
 def region_edges(pages: DataFrame, follows: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Edges (id1, id2), repeats included, whose two ends are known, differ, and share a region."""
+    """Edges (id1, id2) whose two ends are known, differ, and share a region. Repeats may be left in.
+
+    By default (id, region) is broadcast where its checked size allows, so edges don't move at all. Beyond
+    it, edges move without repeats, and adaptive execution splits hot ids.
+    """
     known = pages.where("region_code is not null").select("id", "region_code")
     first = known.select(F.col("id").alias("id1"), F.col("region_code").alias("region1"))
     second = known.select(F.col("id").alias("id2"), F.col("region_code").alias("region2"))
     edges = follows.select("id1", "id2").where("id1 <> id2")
+    if strategy is None and estimated_bytes(known) <= BROADCAST_LIMIT:
+        strategy = "broadcast"
+    elif strategy is None:
+        edges = edges.distinct()
     return (
         edges.join(hinted(first, strategy), "id1")
         .join(hinted(second, strategy), "id2")

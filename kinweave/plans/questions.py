@@ -53,8 +53,8 @@ def access_counts_with_people(pages: DataFrame, activity: DataFrame) -> DataFram
 
 
 def users_by_hobby(page_rows: DataFrame, hobby: str = "") -> DataFrame:
-    """(nick, job) of everyone with the hobby, case ignored; '' finds blank hobbies. No shuffle."""
-    named = page_rows.where(equals_ignoring_case(trim_controls(F.col("favorite_hobby")), F.lit(hobby)))
+    """(nick, job) of everyone with the hobby, case and spaces around it ignored; '' finds blank hobbies. No shuffle."""
+    named = page_rows.where(equals_ignoring_case(trim_controls(F.col("favorite_hobby")), trim_controls(F.lit(hobby))))
     return named.select(F.col("nick_name").alias("nick"), F.col("job_title").alias("job"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from kinweave.functions import fields, part, to_int, trim_controls
 
 
-def _parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(fields("value").alias("parts"))
+def _parts(lines: DataFrame) -> DataFrame:
+    return lines.select(fields("value").alias("parts"))
 
 
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,14 +19,18 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_rows(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Every line of a people file. `strict` keeps only rows of exactly five fields, trailing empty
+    return page_rows(spark.read.text(path), strict)
+
+
+def page_rows(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Every line (a column value) of a people file. `strict` keeps only rows of exactly five fields, trailing empty
     fields not counted, and leaves the hobby untrimmed."""
     if strict:
-        lines = spark.read.text(path).select(fields(F.regexp_replace("value", ",+$", "")).alias("parts"))
-        rows = lines.where(F.size("parts") == 5)
+        split = lines.select(fields(F.regexp_replace("value", ",+$", "")).alias("parts"))
+        rows = split.where(F.size("parts") == 5)
         hobby = part(F.col("parts"), 4)
     else:
-        rows = _parts(spark, path)
+        rows = _parts(lines)
         hobby = trim_controls(part(F.col("parts"), 4))
     region = part(F.col("parts"), 3)
     return rows.select(
@@ -40,15 +44,23 @@ def read_page_rows(spark: SparkSession, path: str, strict: bool = False) -> Data
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return pages(spark.read.text(path))
+
+
+def pages(lines: DataFrame) -> DataFrame:
     """People, one row per readable id. A repeated id keeps the row with the largest nickname."""
     rest = ["nick_name", "job_title", "region_code", "favorite_hobby"]
-    rows = read_page_rows(spark, path).where("id is not null")
+    rows = page_rows(lines).where("id is not null")
     return rows.groupBy("id").agg(F.max(F.struct(*rest)).alias("r")).select("id", *[F.col(f"r.{c}") for c in rest])
 
 
 def read_follows(spark: SparkSession, path: str) -> DataFrame:
+    return follows(spark.read.text(path))
+
+
+def follows(lines: DataFrame) -> DataFrame:
     parts = F.col("parts")
-    return _parts(spark, path).select(
+    return _parts(lines).select(
         to_int(part(parts, 0)).alias("col_rel"),
         to_int(part(parts, 1)).alias("id1"),
         to_int(part(parts, 2)).alias("id2"),
@@ -58,8 +70,12 @@ def read_follows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    return activity(spark.read.text(path))
+
+
+def activity(lines: DataFrame) -> DataFrame:
     parts = F.col("parts")
-    return _parts(spark, path).select(
+    return _parts(lines).select(
         to_int(part(parts, 0)).alias("action_id"),
         to_int(part(parts, 1)).alias("by_who"),
         to_int(part(parts, 2)).alias("what_page"),

@@ -1,4 +1,5 @@
-"""Wall-clock log of runs: timestamp,label,phase,time_ms,time_s,success."""
+"""Wall-clock log of runs: timestamp,label,phase,time_ms,time_s,success. The phase is `job` for what Spark
+runs and `total` for all of a command."""
 
 from __future__ import annotations
 
@@ -15,7 +16,8 @@ ENVIRONMENT = "KINWEAVE_TIMING_FILE"
 
 def append(label: str, phase: str, seconds: float, success: bool, path: str | None = None) -> None:
     """Add a row, with a header in a new file. A log that can't be written never stops a run."""
-    target = path or os.environ.get(ENVIRONMENT) or "task_times.csv"
+    named = os.environ.get(ENVIRONMENT, "")
+    target = path or (named if named.strip() else "task_times.csv")
     row = [datetime.now().isoformat(timespec="seconds"), label, phase, round(seconds * 1000), f"{seconds:.3f}", int(success)]
     try:
         fresh = not os.path.exists(target) or os.path.getsize(target) == 0
@@ -34,5 +36,6 @@ def timed(label: str, phase: str = "total", path: str | None = None) -> Iterator
         success = True
     finally:
         seconds = time.monotonic() - start
-        print(f"{label} time_ms={round(seconds * 1000)} time_s={seconds:.3f}")
+        kind = "total_" if phase == "total" else ""
+        print(f"{label} {kind}time_ms={round(seconds * 1000)} {kind}time_s={seconds:.3f}")
         append(label, phase, seconds, success, path)

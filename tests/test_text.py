@@ -57,6 +57,8 @@ def test_b_ties(spark, tables):
 def test_c(tables):
     assert bag(plans.users_by_hobby(tables["rows"], "CHESS")) == [("Ana", "Engineer"), ("Ben", "Teacher"), ("Dee", "Pilot")]
     assert bag(plans.users_by_hobby(tables["rows"], "")) == [("Eli", "Nurse")]
+    assert bag(plans.users_by_hobby(tables["rows"], " Chess\t")) == bag(plans.users_by_hobby(tables["rows"], "chess"))
+    assert bag(plans.users_by_hobby(tables["rows"], "  ")) == [("Eli", "Nurse")]
 
 
 @pytest.mark.parametrize("strategy", [None, "broadcast", "merge", "shuffle_hash"])
@@ -130,5 +132,23 @@ def test_cli_and_sink(spark, files, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError), timing.timed("broken"):
         raise RuntimeError
     assert (tmp_path / "times.csv").read_text().splitlines()[-1].endswith(",0")
-    with pytest.raises(SystemExit):
-        cli.main(["d", "--pages", files["pages"], "--out", "x"])
+    for wrong in (["d", "--pages", files["pages"], "--out", "x"], ["z"], []):
+        with pytest.raises(SystemExit) as end:
+            cli.main(wrong)
+        assert end.value.code == 1
+
+
+def test_main_logs_job_and_total(spark, files, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv(timing.ENVIRONMENT, "  ")  # a blank name stands for the default
+    assert cli.main(["c", "--pages", files["pages"], "--hobby", " Chess ", "--out", str(tmp_path / "c")]) == 0
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "c")).collect()) == ["Ana\tEngineer", "Ben\tTeacher", "Dee\tPilot"]
+    rows = [x.split(",") for x in (tmp_path / "task_times.csv").read_text().splitlines()]
+    assert rows[0] == timing.HEADER and [r[1:3] for r in rows[1:]] == [["question_c", "job"], ["question_c", "total"]]
+    assert all(int(r[3]) >= 0 and float(r[4]) >= 0 and r[5] == "1" for r in rows[1:]) and int(rows[1][3]) <= int(rows[2][3])
+    said = capsys.readouterr().out
+    assert "question_c time_ms=" in said and "question_c total_time_ms=" in said
+
+
+def test_split_on_tabs(spark):
+    assert spark.createDataFrame([("a\tb,c\t\t",)], "x string").select(fields("x", "\t")).first()[0] == ["a", "b,c", "", ""]
