@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import SPACE, Columns, words
 
-# Shares of character classes in prose of each language, by class: lower-case ASCII,
+# Fixed values, set by hand as round numbers and not fitted to any corpus: shares of character classes in
+# prose of each language, by class: lower-case ASCII,
 # white space, upper-case ASCII, digits, symbols, non-ASCII, other ASCII.
 CLASSES = ("lower", "space", "upper", "digit", "symbol", "wide", "other")
 CHARACTERS = {
@@ -38,7 +39,7 @@ CHARACTERS = {
     "fr": (0.745, 0.165, 0.022, 0.003, 0.0005, 0.0395, 0.025),
     "es": (0.765, 0.165, 0.022, 0.003, 0.0005, 0.0245, 0.020),
 }
-# Common words of each language with their shares of running words, in percent.
+# Fixed values, set by hand likewise: common words of each language with their shares of running words, in percent.
 COMMON = {
     "en": {"the": 6.0, "of": 3.2, "and": 2.8, "to": 2.5, "a": 2.2, "in": 2.0, "that": 1.1, "is": 1.1, "was": 0.9, "for": 0.9, "it": 0.9, "with": 0.7, "on": 0.7, "as": 0.7},
     "de": {"der": 3.2, "die": 3.1, "und": 2.8, "in": 1.8, "den": 1.3, "von": 1.1, "zu": 1.1, "das": 1.1, "mit": 0.9, "ist": 0.9, "des": 0.8, "auf": 0.8, "im": 0.8, "ein": 0.7},
