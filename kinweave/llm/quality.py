@@ -80,9 +80,9 @@ def assess(
     docs: DataFrame,
     min_words: int = 10,
     max_repeat_percent: int = 20,
-    min_chars: int = 60,
+    min_chars: int = 150,
     max_char_distance: float = 0.30,
-    min_common_words: int = 20,
+    min_common_words: int = 30,
     max_word_distance: float = 0.70,
     joint_char_distance: float = 0.17,
     joint_word_distance: float = 0.25,

@@ -59,8 +59,8 @@ m AS (SELECT doc_id, n_words, CAST(k0 + k2 + k3 + k4 + k5 + k6 AS BIGINT) AS wor
   {chars} AS char_distance, {of_words} AS word_distance FROM f LEFT JOIN x ON x.r = f.r),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce((chars >= 60 AND char_distance > 0.30) OR (n_words >= 20 AND word_distance > 0.70)
-    OR (chars >= 60 AND n_words >= 20 AND char_distance > 0.17 AND word_distance > 0.25), FALSE) AS kept FROM b"""
+  NOT base_failed AND NOT coalesce((chars >= 150 AND char_distance > 0.30) OR (n_words >= 30 AND word_distance > 0.70)
+    OR (chars >= 150 AND n_words >= 30 AND char_distance > 0.17 AND word_distance > 0.25), FALSE) AS kept FROM b"""
 
 
 _OP9_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -34,7 +34,7 @@ def test_quality_edges(spark):
 
 def test_quality_verdicts(spark):
     clean = "The house of the old man was in a valley that is far from the sea, and for many years it stood there with the doors open. " * 1
-    texts = [clean, "erh*** reed*** ndsh*** ing&&& erhe*** of%%% to%%% inrent$$$ antion&&& ou%%% ab*** cd***", " | ".join(f"keyword{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))]
+    texts = [clean, "erh*** reed*** ndsh*** ing&&& erhe*** of%%% to%%% inrent$$$ antion&&& ou%%% ab*** cd*** reth*** iser$$$ ther&&& oned%%% eas*** tion$$$ here*** ates&&& ingl%%%", " | ".join(f"keyword{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))]
     kept = [r.kept for r in quality.assess(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
     assert kept == [True, False, False]
 

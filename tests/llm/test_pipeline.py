@@ -35,7 +35,7 @@ def passes(text):
     for common in quality.COMMON.values():
         shares = [common.get(w, 0) / 100 for w in quality.VOCABULARY]
         far.append(js(counts, [*shares, 1 - sum(shares)]))
-    long, wordy = len(text) >= 60, n >= 20
+    long, wordy = len(text) >= 150, n >= 30
     return not ((long and chars > 0.3) or (wordy and min(far) > 0.7) or (long and wordy and chars > 0.17 and min(far) > 0.25))
 
 
