@@ -69,9 +69,10 @@ def differing(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ g).sum(axis=-1)
 
 
-def forest(f: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever links of at most `distance` bits connect in f, at most len(f) - 1 of them."""
-    order = np.argsort(ids)
+def forest(f: np.ndarray, ids: np.ndarray, distance: int, descending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever links of at most `distance` bits connect in f, at most len(f) - 1 of them.
+    Most are links to the smallest ids, or to the largest."""
+    order = np.argsort(ids)[:: -1 if descending else 1]
     left, names, a, b = f[order], ids[order], [], []
     frontier: list = []
     while len(left):
@@ -90,15 +91,17 @@ def forest(f: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, n
     return np.concatenate(a), np.concatenate(b)
 
 
-def links_in(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal keys. Short runs are compared all at once, at growing offsets."""
+def links_in(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, distance: int, small: int = 48, both_ways: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the runs of equal keys. Short runs are compared all at once, at growing offsets; of the
+    others a forest is given, or two."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     a, b = [], []
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        x, y = forest(f[s : s + n], ids[s : s + n], distance)
-        a.append(x)
-        b.append(y)
+        for descending in (False, True) if both_ways else (False,):
+            x, y = forest(f[s : s + n], ids[s : s + n], distance, descending)
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
     after = np.repeat(np.where(sizes > small, 0, starts + sizes), sizes)  # the end of each row's run
     at = np.arange(len(keys))
     offset = 1
@@ -128,7 +131,7 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(o)], names=["k", "f"])
 
 
-def _emit_links(words: list[str], name: str, distance: int, most: int, chunk: int = 1 << 19):
+def _emit_links(words: list[str], name: str, distance: int, most: int, small: int, both_ways: bool, chunk: int = 1 << 19):
     """A task's rows come sorted by key. Whole runs are worked off in chunks; a run over `most` passes
     through with its key for the second round."""
 
@@ -136,7 +139,7 @@ def _emit_links(words: list[str], name: str, distance: int, most: int, chunk: in
         import pyarrow as pa
 
         def links(k, f, ids):
-            a, b = links_in(k, f, ids, distance)
+            a, b = links_in(k, f, ids, distance, small, both_ways)
             none = pa.nulls(len(a), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, *[none for _ in words]], names=NAMES_LINK + [f"w{i}" for i in range(len(words))])
 
@@ -191,11 +194,11 @@ def _blockwise(over: DataFrame, words: int, distance: int, block: int) -> DataFr
     return rows.groupBy("k", "i", "j").applyInPandas(meet, "a bigint, b bigint")
 
 
-def links_by_key(keys: DataFrame, words: list[str], name: str, distance: int, most: int) -> DataFrame:
+def links_by_key(keys: DataFrame, words: list[str], name: str, distance: int, most: int, small: int = 48, both_ways: bool = False) -> DataFrame:
     """(a, b): links among rows of equal k, named by a column, whose fingerprints in `words` differ in at most
-    `distance` bits; enough of them to connect what all such links connect within a k."""
+    `distance` bits; enough of them to connect what all such links connect within a k (see links_in)."""
     schema = ", ".join(f"{c} bigint" for c in [*NAMES_LINK, *[f"w{i}" for i in range(len(words))]])
-    found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_emit_links(words, name, distance, most), schema))
+    found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_emit_links(words, name, distance, most, small, both_ways), schema))
     links, over = found.where("k is null").select("a", "b"), found.where("k is not null")
     return links if over.isEmpty() else links.union(_blockwise(over, len(words), distance, most))
 
@@ -243,12 +246,13 @@ def shingles(text: str | None, width: int) -> list[bytes]:
 
 
 def _wide(width: int):
-    """For texts their 128-bit fingerprints and, two bytes each, the codewords of their segments."""
+    """For texts the 128-bit fingerprints of their different shingles and, two bytes each, the codewords of
+    the segments."""
 
     def run(texts):
         votes = np.zeros((len(texts), 128), np.int64)
         for i, t in enumerate(texts):
-            if s := shingles(t, width):
+            if s := sorted(set(shingles(t, width))):
                 h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(len(s), 16)
                 votes[i] = 2 * np.add.reduce(np.unpackbits(h, axis=1, bitorder="little"), axis=0, dtype=np.int64) - len(s)
         f = np.packbits(votes > 0, axis=1, bitorder="little").view("<i8")
@@ -305,7 +309,7 @@ def _chosen(uri: str):
 def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int = 1 << 16) -> DataFrame:
     """(a, b): links between nodes (row, f0, f1, codes), by rows of texts (row, text), that are similar: the
     different shingles that both have are at least this share of those that either has."""
-    candidates = links_by_key(nodes.mapInArrow(_wide_keys, "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most)
+    candidates = links_by_key(nodes.mapInArrow(_wide_keys, "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most, small=8, both_ways=True)
     pairs = cut_table(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
     wanted = beside(either.distinct().withColumn("lo", F.lit(0).cast("bigint")))
@@ -326,8 +330,9 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=
     Fingerprints of 128 bits are cut into segments, and each segment is decoded to the codewords nearest
     to its votes, sure bits counting for more: texts that are similar share a codeword in two segments at
     least, with few exceptions (README has figures). Pairs that share both and differ in at most REACH bits
-    are compared by all of their shingles. Where more than 48 texts share a pair of codewords, a forest
-    of such pairs is compared, not every pair.
+    are compared by all of their shingles. Where more than eight texts share a pair of codewords, two forests
+    of such pairs are compared, not every pair, so that the work grows with the texts; there a group holds
+    together by a pair of each text that a forest has, for any of the codewords.
 
     Rows come in the order of their doc_id (null last), a hash of their text, and their place. Null and empty
     texts are copies of each other. number: how rows are told apart, `common.stored` or, for files as they
