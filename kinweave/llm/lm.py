@@ -78,7 +78,7 @@ class Files:
                         out.write(piece)
                 os.replace(own, copy)
             path = copy
-        return np.memmap(path, np.uint64, "r")
+        return np.memmap(path, np.uint64, "r").view(np.ndarray)
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -131,16 +131,14 @@ def _batches(batches, most: int = BATCH):
         yield np.concatenate(held), np.array([len(x) for x in held])
 
 
-def _blocks_by_range(keys: np.ndarray, of: np.ndarray):
+def _blocks_by_range(keys: np.ndarray, of: np.ndarray, ranges: int):
     """(range, block) rows for keys in the ranges `of`."""
     import pyarrow as pa
 
-    order = np.argsort(of, kind="stable")
-    keys, of = keys[order], of[order]
-    full, starts = np.unique(of, return_index=True)
-    data = []
-    for a, b in zip(starts, np.r_[starts[1:], len(of)], strict=True):
-        data.append(block(*np.unique(keys[a:b], return_counts=True)))
+    full, data = [], []
+    for r, where in _grouped(of, ranges):
+        full.append(r)
+        data.append(block(*np.unique(keys[where], return_counts=True)))
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(data, pa.binary())], names=["range", "block"])
 
 
@@ -259,22 +257,24 @@ class Level:
         codes = [eliasfano.encode(pointers, len(keys) + 1), eliasfano.encode(values, int(values[-1]) + 1)]
         self.files.write(f"level{self.order}-{r}", np.concatenate([np.array([len(keys), contexts], np.uint64), *codes, _padded(weights), _padded(_logs((counts - discount) / np.repeat(totals, n)))]))
 
-    def _by_range(self, r: np.ndarray):
-        """Each range that holds something, with where r has it."""
-        order = np.argsort(r, kind="stable")
-        touched, starts = np.unique(r[order], return_index=True)
-        for x, a, b in zip(touched.tolist(), starts, np.r_[starts[1:], len(r)], strict=True):
-            if self.sizes[x]:
-                yield x, order[a:b]
-
-    def find(self, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: unseen) and discounted probabilities (0: unseen) of n-grams."""
+    def look_up(self, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Numbers (-1: unseen) and discounted probabilities (0: unseen) of n-grams with known contexts; where
+        the contexts' children begin, and the weights that they give the level before, 1 without children."""
         number, p = np.full(len(context), -1), np.zeros(len(context))
-        ranges, keys = self.keys(context, child)
-        for r, where in self._by_range(ranges):
-            pointers, children, _, logs = self._range(r)
+        start, weight = np.zeros(len(context), np.int64), np.ones(len(context))
+        ranges, keys = self.keys(context, np.maximum(child, 0))
+        for r, where in _grouped(ranges, len(self.firsts)):
+            cut = self.parts[r] > 1
+            start[where] = self.offsets[np.searchsorted(self.firsts, self.firsts[r])]
+            if cut:
+                weight[where] = self.cut[int(self.firsts[r])]
+            if not self.sizes[r]:
+                continue
+            pointers, children, weights, logs = self._range(r)
             distinct, back = np.unique(keys[where], return_inverse=True)
-            c, of = np.unique(distinct // self.span, return_inverse=True)
+            of = distinct // self.span
+            new = np.r_[True, of[1:] != of[:-1]]
+            c, of = of[new], np.cumsum(new) - 1
             known = c + 1 < pointers.n
             begin, end = np.zeros((2, len(c)), np.int64)
             begin[known], end[known] = pointers.get(c[known]).astype(np.int64), pointers.get(c[known] + 1).astype(np.int64)
@@ -288,24 +288,23 @@ class Level:
             place, chance = np.full(len(distinct), -1), np.zeros(len(distinct))
             place[inside[found]], chance[inside[found]] = self.offsets[r] + at[found], _VALUES[logs[at[found]]]
             number[where], p[where] = place[back], chance[back]
-        return number, p
-
-    def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where contexts' children begin, and the weights that they give the level before; 1 for one without children."""
-        distinct, back = np.unique(context, return_inverse=True)
-        r = np.searchsorted(self.firsts, distinct, side="right") - 1
-        r -= self.parts[r] - 1
-        start, weight = self.offsets[r].copy(), np.ones(len(distinct))
-        for x, where in self._by_range(r):
-            if self.parts[x] == 1:
-                pointers, _, weights, _ = self._range(x)
-                c = distinct[where] - self.firsts[x]
-                inside = np.flatnonzero(c + 1 < pointers.n)
-                start[where[inside]] += pointers.get(c[inside]).astype(np.int64)
-                weight[where[inside]] = _VALUES[weights[c[inside]]]
-        for i in np.flatnonzero(self.parts[r] > 1):
-            weight[i] = self.cut[int(distinct[i])]
-        return start[back], weight[back]
+            if not cut:
+                own = np.ones(len(c))
+                own[known] = _VALUES[weights[c[known]]]
+                start[where] += begin[of][back]
+                weight[where] = own[of][back]
+        unknown = child < 0
+        number[unknown], p[unknown] = -1, 0
+        return number, p, start, weight
+
+
+def _grouped(of: np.ndarray, groups: int):
+    """Each group that has members, with where they are, for numbers of groups."""
+    # Short integers are sorted by radix.
+    order = np.argsort(of.astype(np.int16) if groups < 1 << 15 else of, kind="stable")
+    touched, starts = np.unique(of[order], return_index=True)
+    for x, a, b in zip(touched.tolist(), starts, np.r_[starts[1:], len(of)], strict=True):
+        yield x, order[a:b]
 
 
 class Model:
@@ -334,8 +333,7 @@ class Model:
             both = np.flatnonzero((context >= 0) & (child >= 0))
             own = np.full(len(number), -1)
             start = np.zeros(len(number), np.int64)
-            own[both], _ = level.find(context[both], child[both])
-            start[both], _ = level.contexts(context[both])
+            own[both], _, start[both], _ = level.look_up(context[both], child[both])
             child = np.where(own >= 0, own - start, -1)
             context = np.r_[-1, own[:-1]]
             context[first] = -1
@@ -355,14 +353,10 @@ class Model:
             child = now
             for level in self.levels:
                 some = np.flatnonzero(context >= 0)
-                start, weight = level.contexts(context[some])
-                p[some] *= weight
-                own, begin = np.full(len(now), -1), np.zeros(len(now), np.int64)
-                begin[some] = start
-                both = some[child[some] >= 0]
-                own[both], chance = level.find(context[both], child[both])
-                p[both] += chance
-                child = np.where(own >= 0, own - begin, -1)
+                own, start = np.full(len(now), -1), np.zeros(len(now), np.int64)
+                own[some], chance, start[some], weight = level.look_up(context[some], child[some])
+                p[some] = p[some] * weight + chance
+                child = np.where(own >= 0, own - start, -1)
                 context = np.r_[-1, own[:-1]]
                 context[first] = -1
         starts = np.cumsum(lengths) - lengths
@@ -378,7 +372,7 @@ def train(texts: DataFrame, order: int = 3, discount: float = 0.75, range_tokens
 
     def count_words(batches):
         for found, _ in _batches(batches):
-            yield _blocks_by_range(found, np.searchsorted(bounds, found, side="right") - 1)
+            yield _blocks_by_range(found, np.searchsorted(bounds, found, side="right") - 1, ranges)
 
     def laid(r, counts):
         context, parts = _lay_ranges(counts, range_tokens)
@@ -422,7 +416,7 @@ def _count(model: Model, n: int):
                 if level.order == n:
                     there = np.flatnonzero((context >= 0) & (child >= 0))
                     of, keys = level.keys(context[there], child[there])
-                    yield _blocks_by_range(keys.astype(np.uint64), of)
+                    yield _blocks_by_range(keys.astype(np.uint64), of, len(level.firsts))
 
     return run
 
