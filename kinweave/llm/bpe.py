@@ -26,7 +26,6 @@ replaced; all others pass through, whatever their names.
 
 from __future__ import annotations
 
-import base64
 import json
 import uuid
 from collections import OrderedDict

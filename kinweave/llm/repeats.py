@@ -55,6 +55,8 @@ def settle(first_key: np.ndarray, second_key: np.ndarray, n: np.ndarray) -> tupl
     """For items with two hashes and a number of occurrences: which repeat for sure, the first item of
     each kind, in order, and the occurrences of each first's kind."""
     order = np.lexsort((second_key, first_key))
+    if not len(order):
+        return np.empty(0, bool), order, order
     a, b = first_key[order], second_key[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
     kind = np.cumsum(new) - 1

@@ -222,6 +222,17 @@ def test_repeats_edges(spark):
     assert got == Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows], 40), strict=True))
 
 
+def test_repeats_at_ends(spark):
+    """Grams with nothing on one side, alone in their batch."""
+    rnd = random.Random(12)
+    piece = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    shared = piece(12)
+    for rows in ([piece(30) + shared, piece(31) + shared], [shared + piece(30), shared + piece(31)], [shared, shared], [piece(24)], [piece(60), shared * 3]):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(1)
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(docs, 24, 8).collect())
+        assert got == sorted(brute_repeats(rows, 24))
+
+
 def test_repeats_documents(spark, sf_dir):
     """Production lengths on all documents of the smallest scale, longest_repeat too, with some long texts added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
