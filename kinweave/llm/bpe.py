@@ -20,13 +20,15 @@ chunks, which are no more than its part of the input. The shared folder must be
 
 The special token's string in a text becomes its id, as the tokenizers library does by default. A null
 text counts as an empty one: no ids, empty decoded text. Repeated rows give the same result. An empty
-table gives an empty one. A very long text is held whole, with its ids. Columns named like an output are
+table gives an empty one. A very long text is held whole, with its ids; white space
+of any length is encoded, runs of over 65,536 characters apart from the rest. Columns named like an output are
 replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections import OrderedDict
 from functools import lru_cache
@@ -42,6 +44,12 @@ from kinweave.llm.common import append, cut_table, own_dir
 # Fixed value: the pattern that splits a text before byte-pair merges, as the vocabulary's pre-tokenizer has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: the characters that \s stands for in it.
+WHITE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of this many characters is cut out by hand: the engine's pattern matcher breaks down at a million.
+LONG = 1 << 16
+_LONG_WHITE = re.compile(f"[{WHITE}]{{{LONG},}}")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -63,6 +71,7 @@ class Codec:
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -77,12 +86,29 @@ class Codec:
         self.bytes = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
 
     def encode(self, data: bytes) -> list[int]:
-        return self.engine.encode_ordinary(data.decode())
+        text = data.decode()
+        if len(data) < LONG:
+            return self.engine.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG_WHITE.finditer(text):
+            # The pattern takes all of a run, but the last of it goes with what follows.
+            end = run.end() - (run.end() < len(text))
+            ids += self.engine.encode_ordinary(text[at : run.start()])
+            ids += _plain_engine(self.path).encode(text[run.start() : end], add_special_tokens=False).ids
+            at = end
+        return ids + self.engine.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+@lru_cache(2)
+def _plain_engine(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)

@@ -6,6 +6,7 @@ relative to its context: the place of its last n - 1 words among the children of
 2, the word's number). So numbers stay small, whatever the vocabulary.
 
 Training, over all training texts, one level after the other:
+0. A pass estimates how many words differ, so that words are cut into ranges of hashes of even size.
 1. Each batch looks up what the levels so far say, and counts its n-grams. The counts go out as sorted,
    Elias-Fano coded blocks, one for each range of contexts; a range's blocks are merged by one task.
 2. Ranges of contexts are laid by their counts at the level before, and a context with very many is cut into
@@ -29,7 +30,6 @@ driver and each task hold of the model are a few numbers for each range.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -70,14 +70,12 @@ class Files:
     def read(self, name: str) -> np.ndarray:
         path = f"{self.path}/{name}"
         if not self.local:
-            copy = f"{tempfile.gettempdir()}/{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
-            if not os.path.exists(copy):
-                own = f"{copy}.{uuid.uuid4().hex}"
-                with self.fs.open_input_stream(path) as source, open(own, "wb") as out:
-                    while piece := source.read(1 << 22):
-                        out.write(piece)
-                os.replace(own, copy)
-            path = copy
+            # A copy without a name: its space is free again when the map is given up or the task's process ends.
+            with tempfile.TemporaryFile() as copy, self.fs.open_input_stream(path) as source:
+                while piece := source.read(1 << 22):
+                    copy.write(piece)
+                copy.flush()
+                return np.memmap(copy, np.uint64, "r").view(np.ndarray)
         return np.memmap(path, np.uint64, "r").view(np.ndarray)
 
 
@@ -109,14 +107,57 @@ def unblock(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return codes.all() + np.uint64(first), counts
 
 
-def merge(blocks: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*map(unblock, blocks), strict=True))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[start], np.add.reduceat(counts, start)
 
 
+def merge(blocks: Iterable[bytes], most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all blocks with their counts; folds blocks as they come, so that never more is held than
+    `most` keys, or twice the different ones."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held, limit = 0, most
+    for data in blocks:
+        parts.append(unblock(data))
+        held += len(parts[-1][0])
+        if held >= limit:
+            parts = [_summed(parts)]
+            held = len(parts[0][0])
+            limit = max(most, 2 * held)
+    return _summed(parts)
+
+
+#: Registers of the estimate of how many words differ, as a power of two.
+REGISTERS = 11
+
+
+def _registers(batches):
+    """(register, rank): what a task's words set in a HyperLogLog estimate."""
+    import pyarrow as pa
+
+    most, low = np.zeros(1 << REGISTERS, np.int64), np.uint64((1 << 52) - 1)
+    for found, _ in _batches(batches):
+        ranks = 53 - np.frexp((found & low).astype(np.float64))[1].astype(np.int64)
+        np.maximum.at(most, (found >> np.uint64(64 - REGISTERS)).astype(np.int64), ranks)
+    full = np.flatnonzero(most)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(most[full])], names=["register", "rank"])
+
+
+def different_words(texts: DataFrame) -> int:
+    """About how many words differ, within a few hundredths; it lays out the ranges and enters no result."""
+    rows = texts.mapInArrow(_registers, "register bigint, rank bigint").groupBy("register").agg(F.max("rank").alias("rank")).collect()
+    m = 1 << REGISTERS
+    ranks = np.zeros(m)
+    for r in rows:  # 2,048 at most
+        ranks[r["register"]] = r["rank"]
+    empty = m - len(rows)
+    found = 0.7213 / (1 + 1.079 / m) * m * m / np.exp2(-ranks).sum()
+    return int(m * np.log(m / empty) if empty and found < 2.5 * m else found)
+
+
 def _batches(batches, most: int = BATCH):
     """Token hashes of many texts at once, with the texts' lengths."""
     held, size = [], 0
@@ -169,7 +210,7 @@ class Words:
 
     def __init__(self, uri: str, sizes: np.ndarray):
         self.files, self.offsets = Files(uri), np.r_[0, np.cumsum(sizes)]
-        self.ranges = len(sizes)
+        self.bounds = _hash_bounds(len(sizes))
 
     @lru_cache(64)  # noqa: B019  one object for each task
     def _range(self, r: int):
@@ -182,7 +223,7 @@ class Words:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unseen) and counts of sorted hashes."""
         number, count = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        of = np.searchsorted(_hash_bounds(self.ranges), hashes, side="right") - 1
+        of = np.searchsorted(self.bounds, hashes, side="right") - 1
         touched, starts = np.unique(of, return_index=True)
         for r, a, b in zip(touched.tolist(), starts, np.r_[starts[1:], len(of)], strict=True):
             if self.offsets[r + 1] > self.offsets[r]:
@@ -300,6 +341,8 @@ class Level:
 
 def _grouped(of: np.ndarray, groups: int):
     """Each group that has members, with where they are, for numbers of groups."""
+    if not len(of):
+        return
     # Short integers are sorted by radix.
     order = np.argsort(of.astype(np.int16) if groups < 1 << 15 else of, kind="stable")
     touched, starts = np.unique(of[order], return_index=True)
@@ -360,14 +403,15 @@ class Model:
                 context = np.r_[-1, own[:-1]]
                 context[first] = -1
         starts = np.cumsum(lengths) - lengths
-        add = np.add.reduceat
+        add = np.add.reduceat  # each text has a token, end
         return add(known.astype(np.int64), starts), add(np.log10(base), starts), add(np.log10(p), starts)
 
 
-def train(texts: DataFrame, order: int = 3, discount: float = 0.75, range_tokens: int = 1 << 22, range_docs: int = 1 << 13) -> Model:
-    """A model of all texts (a column text)."""
+def train(texts: DataFrame, order: int = 3, discount: float = 0.75, range_tokens: int = 1 << 22, range_words: int = 1 << 18) -> Model:
+    """A model of all texts (a column text). Ranges of words hold about `range_words` different words each, so a
+    batch sends as many blocks as its own different words need, however many texts there are."""
     uri = f"{own_dir(texts.sparkSession)}/lm/{uuid.uuid4().hex}"
-    ranges = max(2, -(-texts.count() // range_docs))
+    ranges = max(2, -(-different_words(texts) // range_words))
     bounds = _hash_bounds(ranges)
 
     def count_words(batches):
@@ -395,6 +439,8 @@ def train(texts: DataFrame, order: int = 3, discount: float = 0.75, range_tokens
     model = Model(sum(r["tokens"] for r in made), Words(uri, sizes(made, ranges)), [])
     offsets = model.words.offsets
     for n in range(2, order + 1 if model.size else 2):
+        if not made:  # no n-gram of the level before, as of empty texts only
+            break
         layout = [(int(offsets[r["range"]]) + c, k, t) for r in made for c, k, t in zip(r["context"], r["parts"], r["total"], strict=True)]
         level = Level(uri, n, model.size, np.array([x[0] for x in layout]), np.array([x[1] for x in layout]))
         totals = {c: t for c, k, t in layout if k > 1}

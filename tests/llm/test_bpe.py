@@ -25,6 +25,22 @@ def test_any_text(text):
     assert CODEC.decode(ids).decode("utf-8", "replace") == TOKENIZER.decode(plain(text), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \n", "\n ", "\t\x85\xa0"])
+@pytest.mark.parametrize("ends", [("", ""), ("x", "y"), ("1.", "'s"), ("word ", " \u00e9")])
+def test_long_white_space(monkeypatch, run, ends):
+    """Long runs of each kind; those handled by hand are shorter here, but for one of each kind."""
+    monkeypatch.setattr(bpe, "LONG", 64)
+    monkeypatch.setattr(bpe, "_LONG_WHITE", bpe.re.compile(f"[{bpe.WHITE}]{{64,}}"))
+    for n in (30, 63, 64, 65, 700):
+        text = ends[0] + (run * n)[:n] + ends[1]
+        assert bpe.Encoder(CODEC).encode(text + text).tolist() == plain(text + text), n
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x" + " \n\t" * 700_000 + "y", "x" + " " * 1_200_000 + "y"], ids=["spaces", "lines", "mixed", "between"])
+def test_two_million_white_characters(text):
+    assert bpe.Encoder(CODEC).encode(text).tolist() == plain(text)
+
+
 @pytest.mark.parametrize("step", [3, 7, 50])
 def test_bad_cuts_are_repaired(monkeypatch, step):
     text = "The quick brown foxes, they've jumped over 12345 lazy dogs -- and   then some more words followed. " * 5

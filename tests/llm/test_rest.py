@@ -303,7 +303,7 @@ def test_elias_fano():
             assert ((c.find(x) >= 0) == np.isin(x, v)).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"range_tokens": 500, "range_docs": 40}, {"order": 4, "range_tokens": 90}, {"order": 2}])
+@pytest.mark.parametrize("options", [{}, {"range_tokens": 500, "range_words": 40}, {"order": 4, "range_tokens": 90}, {"order": 2}])
 def test_language_model(spark, options):
     rows = [(r.doc_id, r.text) for r in cases.small(spark, 120).collect()] + [(r[0], r[1]) for r in cases.rows() if r[0] is not None]
     got = lm.learn_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()
@@ -340,6 +340,37 @@ def test_language_model(spark, options):
     assert all(math.isclose(r.token_score, r.score / r.n_tokens) for r in got)
 
 
+def test_word_ranges(spark):
+    """Ranges of words follow the different words, not the texts; many small ones; blocks fold in bounded memory."""
+    for n, copies in ((3, 1), (500, 1), (500, 9), (60_000, 1)):
+        text = " ".join(f"w{i}" for i in range(n))
+        texts = spark.createDataFrame([(text,)] * copies, "text string").repartition(4)
+        found = lm.different_words(texts)
+        assert abs(found - (n + 1)) <= max(2, 0.12 * n), (n, found)
+    assert lm.different_words(cases.empty(spark).select("text")) == 0
+    docs = cases.small(spark, 60).select("text")
+    one, many = lm.train(docs), lm.train(docs, range_words=50, range_tokens=200)
+    assert len(many.words.bounds) == -(-lm.different_words(docs) // 50) > 20 and len(one.words.bounds) == 2
+    assert (one.tokens, one.size, one.ends) == (many.tokens, many.size, many.ends)
+    r = np.random.default_rng(2)
+    parts = [np.unique(r.integers(0, 5000, 400).astype(np.uint64), return_counts=True) for _ in range(60)]
+    keys, counts = lm.merge((lm.block(*x) for x in parts), most=700)
+    want = Counter()
+    for k, c in parts:
+        want.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and (np.diff(keys.astype(np.int64)) > 0).all()
+
+
+def test_models_leave_no_copies(spark, tmp_path, monkeypatch):
+    files = lm.Files(f"file://{tmp_path}/model")
+    files.write("a", np.arange(9, dtype=np.uint64))
+    files.local = False
+    (tmp_path / "own").mkdir()
+    monkeypatch.setattr(lm.tempfile, "tempdir", str(tmp_path / "own"))
+    x = files.read("a")
+    assert x.tolist() == list(range(9)) and not list((tmp_path / "own").iterdir())
+
+
 def test_language_model_edges(spark):
     assert lm.learn_and_score(cases.empty(spark)).count() == 0
     assert lm.learn_and_score(cases.docs(spark)).count() == len(cases.rows())
