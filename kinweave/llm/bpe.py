@@ -98,6 +98,9 @@ class Codec:
             at = end
         return ids + self.engine.encode_ordinary(text[at:])
 
+    def numbers(self, data: bytes) -> np.ndarray:
+        return self.engine.encode_to_numpy(data.decode()) if len(data) < LONG else np.array(self.encode(data), np.uint32)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -233,6 +236,13 @@ class Encoder:
 _NONE = np.empty(0, np.int32)
 
 
+class Whole(Encoder):
+    """Encodes texts whole, without chunks."""
+
+    def plain(self, data: bytes) -> np.ndarray:
+        return self.codec.numbers(data)
+
+
 class Lister(Encoder):
     """Goes over texts as an Encoder does, but only gathers the chunks not seen before, by hash."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinweave.llm import query_bpe, query_classifier, query_license, query_lm, query_native, query_pii, query_repeats, query_simhash, query_topk
+from kinweave.llm import query_bpe, query_classifier, query_conversations, query_divergence, query_license, query_lm, query_native, query_packing, query_pii, query_repeats, query_simhash, query_topk
 
-MODULES = [query_native, query_simhash, query_license, query_bpe, query_classifier, query_repeats, query_topk, query_lm, query_pii]
+MODULES = [query_native, query_simhash, query_license, query_bpe, query_classifier, query_repeats, query_topk, query_lm, query_pii, query_divergence, query_packing, query_conversations]
 
 
 def queries():
