@@ -7,11 +7,12 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave import operators, plans, sinks, sources
+from kinweave import operators, plans, session, sinks, sources
 from kinweave.operators.graph import region_edges
 from kinweave.sources import StandIn
 
@@ -26,6 +27,37 @@ def _ids(kind: str, plan: str) -> Query:
     return lambda s, d: operators.one_way_followers(region_edges(StandIn(s, d).pages(), getattr(StandIn(s, d), f"follows_{kind}")()), plan)
 
 
+def _written(lines: DataFrame) -> str:
+    """A folder of text files with these lines."""
+    path = session.scratch(lines.sparkSession)
+    lines.write.text(path)
+    return path
+
+
+def _file_queries() -> dict[str, Query]:
+    """The text readers and the text sink with real files: lines are written, then read back."""
+
+    def question(letter: str, visits: str, lines: str, result: Query) -> Query:
+        def run(s: SparkSession, d: str) -> DataFrame:
+            t = StandIn(s, d)
+            people = sources.read_pages(s, _written(t.page_lines()))
+            out = session.scratch(s)
+            sinks.write_text(result(people, getattr(sources, f"read_{visits}")(s, _written(getattr(t, lines)()))), letter, out)
+            return s.read.text(out)
+
+        return run
+
+    return {
+        "files_pages": lambda s, d: sources.read_pages(s, _written(StandIn(s, d).page_lines())),
+        "files_page_count": lambda s, d: sources.count_lines(s, _written(StandIn(s, d).page_lines())),
+        "files_follows": lambda s, d: sources.read_follows(s, _written(StandIn(s, d).follow_lines())),
+        "files_activity": lambda s, d: sources.read_activity(s, _written(StandIn(s, d).activity_lines())),
+        "files_d": question("d", "follows", "follow_lines", plans.follower_totals),
+        "files_e": question("e", "activity", "activity_lines", plans.activity_totals),
+        "files_h": question("h", "follows", "follow_lines", plans.one_way_in_region),
+    }
+
+
 def _graph_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "a_hobby_frequency": lambda s, d: plans.hobby_frequency(StandIn(s, d).pages()),
@@ -48,6 +80,7 @@ def _graph_queries() -> dict[str, Query]:
         "text_follows": lambda s, d: sources.follows(StandIn(s, d).follow_lines()),
         "text_activity": lambda s, d: sources.activity(StandIn(s, d).activity_lines()),
     }
+    q |= _file_queries()
     for letter, result in (
         ("a", lambda t: plans.hobby_frequency(t.pages())),
         ("b", lambda t: plans.top_pages(t.pages(), t.activity_orders())),
@@ -105,6 +138,20 @@ def _text_sql() -> dict[str, str]:
     }
 
 
+def _file_sql(text: dict[str, str]) -> dict[str, str]:
+    people, edges, visits = (f"({text[x]})" for x in ("text_pages", "text_follows", "text_activity"))
+    return {
+        "files_pages": text["text_pages"],
+        "files_page_count": "SELECT count(*) AS n FROM customer",
+        "files_follows": text["text_follows"],
+        "files_activity": text["text_activity"],
+        "files_d": f"""SELECT p.id || ',' || nick_name || ',' || coalesce(n, 0) AS value FROM {people} p LEFT JOIN (SELECT id2, count(*) AS n FROM {edges} GROUP BY 1) c ON c.id2 = p.id WHERE nick_name IS NOT NULL""",
+        "files_e": f"""SELECT p.id || chr(9) || coalesce(a, 0) || ',' || coalesce(b, 0) AS value FROM {people} p LEFT JOIN (SELECT by_who, count(*) AS a, count(DISTINCT what_page) AS b FROM {visits} WHERE by_who > 0 AND what_page > 0 GROUP BY 1) c ON c.by_who = p.id WHERE p.id > 0""",
+        "files_h": f"""WITH q AS (SELECT * FROM {people}), e AS (SELECT DISTINCT id1, id2 FROM {edges} f JOIN q a ON a.id = f.id1 JOIN q b ON b.id = f.id2 WHERE a.region_code = b.region_code AND id1 <> id2)
+SELECT q.id || ',' || nick_name AS value FROM q WHERE nick_name IS NOT NULL AND q.id IN (SELECT e.id1 FROM e LEFT JOIN e r ON r.id1 = e.id2 AND r.id2 = e.id1 WHERE r.id1 IS NULL)""",
+    }
+
+
 def _sink_sql(sql: dict[str, str]) -> dict[str, str]:
     sides = {"a": ("hobby", "n"), "b": ("id, nick, job, n", ""), "c": ("nick", "job"), "d": ("id, nick, n", ""), "e": ("id", "total_actions, distinct_pages"), "f": ("id, nick, n", ""), "g": ("id, nick", ""), "h": ("id, nick", "")}
     of = {"a": "a_hobby_frequency", "b": "b_top_pages_orders", "c": "c_users_by_hobby", "d": "d_followers_supp", "e": "e_activity_orders", "f": "f_above_average_supp", "g": "g_outdated_orders", "h": "h_one_way_supp"}
@@ -140,7 +187,8 @@ def _graph_sql() -> dict[str, str]:
         sql[f"h_same_region_edges_{kind}"] = f"{edges} SELECT id1, id2 FROM e"
         sql[f"h_one_way_ids_anti_{kind}"] = sql[f"h_one_way_ids_pair_{kind}"] = f"{one_way} SELECT id FROM w"
         sql[f"h_one_way_{kind}"] = f"{one_way} SELECT p.id, nick FROM people p JOIN w ON w.id = p.id"
-    return sql | _text_sql() | _sink_sql(sql)
+    text = _text_sql()
+    return sql | text | _file_sql(text) | _sink_sql(sql)
 
 
 def _llm():
@@ -162,7 +210,7 @@ def _pipeline():
 
 def entry(spark: SparkSession) -> DataFrame:
     """The people who follow someone of their region without being followed back, at the smallest scale."""
-    tables = StandIn(spark, "/root/testdata/sf0.001")
+    tables = StandIn(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001"))
     return plans.one_way_in_region(tables.pages(), tables.follows_part())
 
 

@@ -11,16 +11,20 @@ def fields(line: Column | str, separator: str = ",") -> Column:
     return F.split(F.col(line) if isinstance(line, str) else line, separator, -1)
 
 
+#: Every character up to U+0020.
+CONTROLS = "".join(map(chr, range(0x21)))
+
+
 def trim_controls(column: Column) -> Column:
     """Strip every character up to U+0020 from both ends, not only the space."""
-    return F.regexp_replace(column, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(column, F.lit(CONTROLS))
 
 
 def to_int(column: Column, default: int | None = None, kind: str = "bigint") -> Column:
     """Parse a decimal integer; anything else is the default. Never raises under ANSI mode."""
-    text = trim_controls(column)
-    # A bare cast also takes forms such as '1.0'; only signed digits count as an integer.
-    parsed = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(kind))
+    # The cast itself strips blanks and controls. It takes two forms that are no integers here: '1.0', and a DEL
+    # at an end.
+    parsed = F.when(~(F.contains(column, F.lit(".")) | F.contains(column, F.lit("\x7f"))), column.try_cast(kind))
     return parsed if default is None else F.coalesce(parsed, F.lit(default))
 
 

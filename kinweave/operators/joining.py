@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is replicated only below this estimate of its size. The estimate starts from files as they are
-#: compressed; in memory a side may take some ten times that.
+#: A side is replicated only below this estimate of its size, in bytes as its files hold them, which is compressed: for
+#: two number columns some tenth of what the side takes in memory, so about 160 MB there.
 BROADCAST_LIMIT = 16 << 20
 STRATEGIES = (None, "broadcast", "merge", "shuffle_hash")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import equals_ignoring_case, trim_controls
-from kinweave.operators import checked_join, count_by, global_average, left_with_zero, max_by_user, one_way_followers, rank_top
+from kinweave.operators import checked_join, count_by, global_average, latest_by_actor, left_with_zero, one_way_followers, rank_top
 from kinweave.operators.graph import region_edges
 from kinweave.operators.joining import hinted
 
@@ -100,9 +100,11 @@ def above_average(
 def outdated(pages: DataFrame, activity: DataFrame, window_hours: int = WINDOW_HOURS, strategy: str | None = None) -> DataFrame:
     """(id, nick) of people without an action in the window that ends at the latest action in the data.
     Someone who never acted is outdated; an action exactly at the window's start is recent enough."""
-    latest = activity.where("action_time >= 0").agg((F.coalesce(F.max("action_time"), F.lit(0)) - window_hours).alias("t0"))
-    joined = checked_join(_people(pages), max_by_user(activity), "id", "left", strategy)
-    return joined.where(F.col("t").isNull() | (F.col("t") < latest.scalar())).select("id", "nick")
+    by_actor = latest_by_actor(activity)
+    # Both columns are read on either way, or the two ways would not share the shuffle.
+    start = by_actor.agg((F.coalesce(F.max(F.struct("t", "id"))["t"], F.lit(0)) - window_hours).alias("t0"))
+    joined = checked_join(_people(pages), by_actor.where("id > 0"), "id", "left", strategy)
+    return joined.where(F.col("t").isNull() | (F.col("t") < start.scalar())).select("id", "nick")
 
 
 def one_way_in_region(pages: DataFrame, follows: DataFrame, plan: str = "pair", strategy: str | None = None) -> DataFrame:

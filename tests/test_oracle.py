@@ -11,6 +11,7 @@ ROWS = {
     "b_access_counts": 200, "b_counts_full_pages": 200, "d_follower_counts": 200, "f_avg_followers": 1,
     "g_global_max": 1, "g_user_max": 149, "h_same_region_edges_part": 156, "h_same_region_edges_supp": 66,
     "a_hobby_frequency_strict": 10, "a_hobby_frequency_lines": 5, "c_users_by_hobby_padded": 26, "text_pages": 132, "text_follows": 6000, "text_activity": 6000,
+    "files_pages": 132, "files_page_count": 1, "files_follows": 6000, "files_activity": 6000, "files_d": 132, "files_e": 131, "files_h": 38,
     "h_one_way_ids_anti_part": 81, "h_one_way_ids_pair_part": 81, "h_one_way_ids_anti_supp": 45, "h_one_way_ids_pair_supp": 45,
 }
 SINK = {"a": 5, "b": 10, "c": 34, "d": 150, "e": 149, "f": 10, "g": 98, "h": 45}

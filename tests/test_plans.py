@@ -34,3 +34,16 @@ def test_hints(spark, sf_dir):
     for strategy, node in want.items():
         assert node in plan(plans.follower_totals(t.pages(), t.follows_supp(), strategy))
     assert "SortMergeJoin" in plan(joining.checked_join(t.pages(), spark.range(1 << 24), "id", "left", "broadcast"))
+
+
+def test_parsing_and_one_scan(spark, sf_dir):
+    q = entry._graph_queries()
+    for name in ("text_follows", "text_activity", "text_pages"):
+        text = plan(q[name](spark, sf_dir))
+        assert not any(x in text for x in ("regexp_replace", "RLIKE")), name
+    # Final plans: both ways to the latest times read one shuffle, so the log is scanned once.
+    df = q["g_outdated_orders"](spark, sf_dir)
+    df.collect()
+    final = plan(df)
+    final = final[: final.index("Initial Plan")] if "Initial Plan" in final else final
+    assert "ReusedExchange" in final, final

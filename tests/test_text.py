@@ -152,3 +152,19 @@ def test_main_logs_job_and_total(spark, files, tmp_path, monkeypatch, capsys):
 
 def test_split_on_tabs(spark):
     assert spark.createDataFrame([("a\tb,c\t\t",)], "x string").select(fields("x", "\t")).first()[0] == ["a", "b,c", "", ""]
+
+
+def test_numbers_without_regular_expressions(spark):
+    """What counts as an integer: signed ASCII digits, with any characters up to U+0020 around them."""
+    texts = ["7", " 7\t", "\x00\x1f7 \n", "+5", "-5", "--5", "+", "-", "", " ", None, "1.0", "1.", ".5", "1e3", "0x1", "7\x7f", "\x7f7", "7\xa0", "٣", "1 2", "1_0", "007", "99999999999", "9223372036854775807", "9223372036854775808"]
+
+    def plain(t, bits):
+        t = (t or "").strip("".join(map(chr, range(33))))
+        digits = t[1:] if t[:1] in ("+", "-") else t
+        return int(t) if digits and set(digits) <= set("0123456789") and -(1 << bits - 1) <= int(t) < 1 << bits - 1 else None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(to_int(F.col("t")).alias("a"), to_int(F.col("t"), -1, "int").alias("b"), trim_controls(F.col("t")).alias("c")).collect()
+    assert [r.a for r in got] == [plain(t, 64) for t in texts]
+    assert [r.b for r in got] == [-1 if plain(t, 32) is None else plain(t, 32) for t in texts]
+    assert [r.c for r in got] == [None if t is None else t.strip("".join(map(chr, range(33)))) for t in texts]
