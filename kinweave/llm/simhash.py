@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm import golay
-from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, join_salted, stored
+from kinweave.llm import golay, setjoin
+from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -245,21 +245,41 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
 
 
-def _wide(width: int):
-    """For texts the 128-bit fingerprints of their different shingles and, two bytes each, the codewords of
-    the segments."""
+def _digests(text: str | None, width: int) -> np.ndarray:
+    """128-bit hashes of the different shingles of a text, 16 bytes a row."""
+    s = set(shingles(text, width))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(len(s), 16)
+
+
+def _elements(width: int):
+    """The different shingles of a text as sorted numbers, a half of their hashes."""
+    return lambda text: np.unique(_digests(text, width)[:, :8].copy().view("<i8").ravel())
+
+
+def _wide(width: int, similarity: float):
+    """For texts: what their set of shingles is known by, their 128-bit fingerprints and, two bytes each, the codewords of
+    the segments; how many different shingles they have, and the first of these by hash."""
 
     def run(texts):
-        votes = np.zeros((len(texts), 128), np.int64)
+        import pyarrow as pa
+
+        votes, known, sizes, prefixes = np.zeros((len(texts), 128), np.int64), np.zeros((len(texts), 2), "<i8"), [], []
         for i, t in enumerate(texts):
-            if s := sorted(set(shingles(t, width))):
-                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s)), np.uint8).reshape(len(s), 16)
-                votes[i] = 2 * np.add.reduce(np.unpackbits(h, axis=1, bitorder="little"), axis=0, dtype=np.int64) - len(s)
+            h = _digests(t, width)
+            if len(h):
+                votes[i] = 2 * np.add.reduce(np.unpackbits(h, axis=1, bitorder="little"), axis=0, dtype=np.int64) - len(h)
+            e = np.unique(h[:, :8].copy().view("<i8").ravel())
+            known[i] = np.frombuffer(xxhash.xxh3_128_digest(e.tobytes()), "<i8")
+            sizes.append(len(e))
+            prefixes.append(e[: setjoin.prefix_length(len(e), similarity)])
         f = np.packbits(votes > 0, axis=1, bitorder="little").view("<i8")
         # How sure a bit is grows with its margin, up to twice the text's mean.
         margins = np.clip(votes / np.maximum(np.abs(votes).mean(axis=1, keepdims=True), 1e-9), -2, 2)
         codes = [golay.nearest(margins[:, 23 * p : 23 * p + 23], CODES) for p in range(PARTS)]
-        return [f[:, 0].tolist(), f[:, 1].tolist(), [x.tobytes() for x in np.concatenate(codes, axis=1).astype("<u2")]]
+        codes = [x.tobytes() for x in np.concatenate(codes, axis=1).astype("<u2")]
+        offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+        return [known[:, 0].tolist(), known[:, 1].tolist(), f[:, 0].tolist(), f[:, 1].tolist(), codes, sizes, prefix]
 
     return run
 
@@ -277,24 +297,6 @@ def _wide_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *columns)], names=["k", "f0", "f1", "row"])
 
 
-def _sets(width: int, wanted: str):
-    """(row, shingles) of the rows that are wanted: the different hashes of their shingles."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        known = Beside(wanted)
-        for batch in batches:
-            rows, sets = [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                if known.of(row):
-                    rows.append(row)
-                    sets.append(sorted({h - (1 << 63) for h in map(xxhash.xxh3_64_intdigest, shingles(text.as_py(), width))}))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
-
-    return run
-
-
 def _chosen(uri: str):
     def run(batches):
         import pyarrow as pa
@@ -311,28 +313,34 @@ def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, m
     different shingles that both have are at least this share of those that either has."""
     candidates = links_by_key(nodes.mapInArrow(_wide_keys, "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most, small=8, both_ways=True)
     pairs = cut_table(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
-    wanted = beside(either.distinct().withColumn("lo", F.lit(0).cast("bigint")))
-    sets = cut_table(texts.mapInArrow(_sets(width, wanted), "row bigint, shingles array<bigint>"))
-    total, met = pairs.count(), pairs
-    for end, other in (("a", "b"), ("b", "a")):
-        counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        met = join_salted(met, sets.select(F.col("row").alias(end), F.col("shingles").alias(f"of_{end}")), end, counts, total, [other])
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return met.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
-
-
-def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=stored) -> DataFrame:
+    return setjoin.verified(texts, pairs, similarity, _elements(width))
+
+
+def similar_groups(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, few: int = 64) -> DataFrame:
+    """(row, label) of every node (row, f0, f1, codes, size, prefix): those with a label are linked by similar ones.
+    Fingerprints find nearly all links; a prefix-filtered join of what they leave apart finds the rest."""
+    labels = cut_table(components(similar(texts, nodes, similarity, width)).select(F.col("node").alias("row"), "label"))
+    labelled = cut_table(nodes.select("row", "size", "prefix").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    rest = setjoin.missing_pairs(texts, labelled, similarity, _elements(width), few)
+    found = cut_table(setjoin.verified(texts, rest, similarity, _elements(width)))
+    if found.isEmpty():
+        return labelled.select("row", "label")
+    all_links = found.union(labels.select("row", "label"))
+    joined = components(all_links).select(F.col("node").alias("row"), F.col("label").alias("joined"))
+    return labelled.join(joined, "row", "left").select("row", F.coalesce("joined", "label").alias("label"))
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=stored, few: int = 64) -> DataFrame:
     """The rows of docs (with columns doc_id and text) that come first in their group of near copies, one row
-    for each group, with all columns. Near copies share at least `similarity` of their shingles of `width`
-    words, or are linked by others that do.
+    for each group, with all columns. Near copies share at least `similarity` of their different shingles of `width`
+    words, or are linked by others that do. No link is lost.
 
     Fingerprints of 128 bits are cut into segments, and each segment is decoded to the codewords nearest
     to its votes, sure bits counting for more: texts that are similar share a codeword in two segments at
-    least, with few exceptions (README has figures). Pairs that share both and differ in at most REACH bits
-    are compared by all of their shingles. Where more than eight texts share a pair of codewords, two forests
-    of such pairs are compared, not every pair, so that the work grows with the texts; there a group holds
-    together by a pair of each text that a forest has, for any of the codewords.
+    least, with few exceptions. Pairs that share both and differ in at most REACH bits are compared by all of
+    their shingles; where more than eight texts share a pair of codewords, two forests of such pairs, so that
+    the work grows with the texts. What similar texts that leaves apart, an exact join of the different groups'
+    prefixes brings together (see setjoin); few: how many texts may share a shingle before that goes another way.
 
     Rows come in the order of their doc_id (null last), a hash of their text, and their place. Null and empty
     texts are copies of each other. number: how rows are told apart, `common.stored` or, for files as they
@@ -342,10 +350,11 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=
     rows = number(given.rows)
     doc_id, text = F.col(given["doc_id"]), F.col(given["text"])
     place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.xxhash64(text).alias("hash"), F.col("row").alias("row"))
-    prints = append(rows.select(place.alias("place"), text.alias("text")), "f0 bigint, f1 bigint, codes binary", lambda: _wide(width), rows=256).drop("text")
-    nodes = cut_table(prints.groupBy("f0", "f1").agg(F.min(F.struct("place", "codes")).alias("first")).select("f0", "f1", "first.place", "first.codes", F.col("first.place.row").alias("row")))
-    links = similar(rows.select("row", text.alias("text")), nodes, similarity, width)
-    labels = components(links).withColumnRenamed("node", "row")
-    grouped = nodes.select("row", "place").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    first = grouped.groupBy("label").agg(F.min("place").alias("place")).select("place.row", F.lit(0).cast("bigint").alias("lo"))
-    return given.back(rows.mapInArrow(_chosen(beside(first)), rows.schema))
+    schema = "k0 bigint, k1 bigint, f0 bigint, f1 bigint, codes binary, size int, prefix array<bigint>"
+    prints = append(rows.select(place.alias("place"), text.alias("text")), schema, lambda: _wide(width, similarity), rows=256).drop("text")
+    first = prints.groupBy("k0", "k1").agg(F.min(F.struct("place", "f0", "f1", "codes", "size", "prefix")).alias("first"))
+    nodes = cut_table(first.select("first.*", F.col("first.place.row").alias("row")))
+    labels = similar_groups(rows.select("row", text.alias("text")), nodes, similarity, width, few)
+    grouped = nodes.select("row", "place").join(labels, "row")
+    kept = grouped.groupBy("label").agg(F.min("place").alias("place")).select("place.row", F.lit(0).cast("bigint").alias("lo"))
+    return given.back(rows.mapInArrow(_chosen(beside(kept)), rows.schema))

@@ -1,0 +1,76 @@
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from kinweave.llm import divergence, query_divergence
+from tests.llm import cases
+from tests.oracle import compare, connect
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute(rows, min_docs=3, top=200, scale=10**9):
+    """The audit of (text, lang, source), written out."""
+    n, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        terms = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in TERM.findall(text or "")]
+        groups[lang].add(source)
+        n[lang, source].update(terms)
+        docs[lang].update(set(terms))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, d in docs[lang].items() if d >= min_docs]
+
+        def shares(counts):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + scale * (counts[t] + 1) // (total + len(kept)) for t in kept}
+
+        of = {s: shares(n[lang, s]) for s in sources}
+        whole = shares(sum((n[lang, s] for s in sources), Counter()))
+        for s in sources:
+            value = lambda q, t: (of[s][t] - q[t]) ** 2 // q[t]
+            pairs = [(-sum(value(of[o], t) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(-value(whole, t), t.encode(), t) for t in kept if n[lang, s][t] and of[s][t] > whole[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item, -v, i + 1) for i, (v, _, item) in enumerate(found)]
+    return sorted(out)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert compare(query_divergence.op11(spark, sf_dir), query_divergence.SQL["op11_source_divergence"], connect(sf_dir)) > 1000
+    few = docs.where("doc_id < 60")
+    assert rows_of(divergence.audit(few, salts=3)) == brute([(r.text, r.lang, r.source) for r in few.collect()])
+
+
+def test_options_and_ties(spark):
+    rows = [("Aa bb CC aa", "x", "s"), ("aa bb", "x", "t"), ("AA cc É é ß", "x", None), ("aa é dd", "x", "\U0001f600"), ("aa zz", "x", "～"), ("aa ž z", "y", "s"), (None, "y", "t"), ("123 !", None, "s"), ("q", None, None), ("", None, "u")]
+    df = spark.createDataFrame(rows * 2, "text string, lang string, source string").repartition(5)
+    for options in ({}, {"min_docs": 1}, {"min_docs": 4, "top_terms": 2}, {"scale": 7}):
+        want = brute(rows * 2, options.get("min_docs", 3), options.get("top_terms", 200), options.get("scale", 10**9))
+        assert rows_of(divergence.audit(df, **{"top" if k == "top" else k: v for k, v in options.items()})) == want
+
+
+def test_large_counts(spark):
+    """Beyond 64 bits the share is worked out in decimals."""
+    df = spark.createDataFrame([(5 * 10**12, 9 * 10**12, 3), (4, 11, 3), (4_611_686_017, 5 * 10**9, 7), (4_611_686_019, 5 * 10**9, 7)], "n bigint, total bigint, kept bigint")
+    got = df.select("n", "total", "kept", divergence._share("n", "total", 10**9).alias("p")).collect()
+    assert all(r.p == 1 + 10**9 * (r.n + 1) // (r.total + r.kept) for r in got)
+
+
+def test_edges(spark):
+    assert divergence.audit(cases.empty(spark)).count() == 0
+    docs = cases.docs(spark)
+    assert rows_of(divergence.audit(docs)) == brute([(r.text, r.lang, r.source) for r in docs.collect()])
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(cases.rows(), len(cases.rows())), cases.SCHEMA)
+    assert rows_of(divergence.audit(apart)) == rows_of(divergence.audit(docs))
+    nulls = docs.withColumn("text", F.lit(None).cast("string"))
+    assert rows_of(divergence.audit(nulls)) == brute([(None, r.lang, r.source) for r in docs.collect()]) != []
+    clash = docs.select("text", "lang", "source", *[F.lit(1).alias(c) for c in ("term", "N", "docs", "kept", "p", "q", "item", "salt", "total", "is_first", "given0")])
+    assert rows_of(divergence.audit(clash)) == rows_of(divergence.audit(docs))
