@@ -151,6 +151,10 @@ def join_salted(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame,
     return salted.join(copied.hint("merge"), [key, "salt"], how).drop("salt")
 
 
+#: Files whose names `placed` sends to all executors, some hundred bytes each.
+MOST_FILES = 1 << 20
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """rows with a column row, a number that holds whatever the splits of a job, as they are written down first."""
     return placed(cut_table(rows))
@@ -163,7 +167,10 @@ def placed(rows: DataFrame) -> DataFrame:
         marked = rows.withColumns({"row_path": F.col("_metadata.file_path"), "row_at": F.col("_metadata.row_index")})
     except AnalysisException:
         return stored(rows)
-    names = sorted(r.row_path for r in marked.select("row_path").distinct().collect())
+    # This job reads no column of the files. inputFiles() wouldn't do: it writes some paths in another way.
+    names = sorted(r.row_path for r in marked.select("row_path").distinct().limit(MOST_FILES + 1).collect())
+    if len(names) > MOST_FILES:
+        raise ValueError(f"rows of more than {MOST_FILES} files can't be told apart by place; compact them, or use stored")
     files = rows.sparkSession.createDataFrame(list(enumerate(names)), "row_file bigint, row_path string")
     # A file's number and path for each file are all that is broadcast.
     found = marked.join(F.broadcast(files), "row_path").withColumn("row", F.shiftleft("row_file", 40) + F.col("row_at"))

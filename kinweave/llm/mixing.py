@@ -29,7 +29,7 @@ from kinweave.llm.common import Columns, cut_table, stored, words
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Finest parts of a source that are counted; shards are made of whole ones.
+#: Finest parts of a source that are counted, at least; shards are made of whole ones.
 PARTS = 4096
 OUTPUTS = ["size", "source_size", "target", "taken"]
 
@@ -38,8 +38,14 @@ def seeded(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _part(doc_id: Column, seed: int) -> Column:
-    return F.pmod(F.conv(F.substring(seeded(doc_id, seed), 1, 8), 16, 10).cast("bigint"), F.lit(PARTS))
+def _spread(doc_id: Column, seed: int) -> Column:
+    """A number below 2^32 that doc_ids are dealt to parts by."""
+    return F.conv(F.substring(seeded(doc_id, seed), 1, 8), 16, 10).cast("bigint")
+
+
+def parts_for(documents: int, shard_docs: int) -> int:
+    """So many parts, a power of two, that a source with all of the documents still has a part for each shard."""
+    return max(PARTS, 1 << max(0, -(-documents // shard_docs) - 1).bit_length())
 
 
 def targets(sources: DataFrame, share: float, most: int, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -96,10 +102,12 @@ def mix(
     given = Columns(docs, [*OUTPUTS, "text"])
     text = F.col(given["text"])
     facts = {"doc_id": F.col(given["doc_id"]), "source": F.col(given["source"]), "size": F.size(words(text)).cast("bigint"), "tie": F.xxhash64(text)}
-    sized = cut_table(given.rows.withColumns(facts | {"part": _part(F.col(given["doc_id"]), seed)}).drop(given["text"]))
+    sized = cut_table(given.rows.withColumns(facts | {"spread": _spread(F.col(given["doc_id"]), seed)}).drop(given["text"]))
+    finest = parts_for(sized.count(), shard_docs)
+    sized = sized.withColumn("part", F.pmod("spread", F.lit(finest)))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = parts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
-    shards = F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col("n") / shard_docs)))
+    shards = F.least(F.lit(finest), F.greatest(F.lit(1), F.ceil(F.col("n") / shard_docs)))
     sources = targets(sources.select("source", "source_size", shards.alias("shards")), share, most, weights)
     blocks = F.round(F.sum("target").over(W.partitionBy()) / block_words)
     sources = apportion(sources, [], [F.col("source").isNull(), F.col("source")], "target", blocks, "blocks")

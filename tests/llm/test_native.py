@@ -89,3 +89,21 @@ def test_resample(spark):
         words[r.doc_id] += len(WORD.findall(r.text))
     assert all(words[k] == n for k, n in taken.items())
     assert mixing.resample(cases.empty(spark)).count() == 0
+
+
+def test_parts_grow_with_the_documents():
+    """A source with all documents has a part for each of its shards, however many."""
+    assert mixing.parts_for(0, 4096) == mixing.parts_for(4096 * 4096, 4096) == 4096
+    assert mixing.parts_for(4096 * 4096 + 1, 4096) == 8192 and mixing.parts_for(10**9, 4096) == 1 << 18
+    for n in (1, 10**5, 10**8, 10**10):
+        assert mixing.parts_for(n, 4096) >= n / 4096
+
+
+def test_more_parts_take_the_same_words(spark, monkeypatch):
+    """With few parts to begin with they grow, and each source still comes to its target."""
+    monkeypatch.setattr(mixing, "PARTS", 4)
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), shard_docs=20).collect()
+    for s in "abc":
+        of = [r for r in got if r.source == s]
+        assert len(of) == 300 and abs(sum(r.taken for r in of) - of[0].target) <= 16 * 16 and all(r.taken <= 2 * r.size for r in of)
