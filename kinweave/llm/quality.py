@@ -53,20 +53,19 @@ VOCABULARY = list(dict.fromkeys(w for shares in COMMON.values() for w in shares)
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
 
 
-def js_distance(counts: list[Column], total: Column, shares: list[float]) -> Column:
-    """The root of the Jensen-Shannon divergence (base 2, so 0 to 1) of counts/total from fixed shares."""
+def js_distance(counts: Column, total: Column, shares: list[float]) -> Column:
+    """The root of the Jensen-Shannon divergence (base 2, so 0 to 1) of counts/total, an array, from fixed shares."""
 
-    def term(count: Column, q: float) -> Column:
+    def term(count: Column, q: Column) -> Column:
         p = count / total
-        m = (p + F.lit(q)) / 2
-        left = F.when(count > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
-        return left + (F.lit(q) * F.log2(F.lit(q) / m) if q > 0 else F.lit(0.0))
+        m = (p + q) / 2
+        return F.when(count > 0, p * F.log2(p / m)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / m)).otherwise(F.lit(0.0))
 
-    divergence = reduce(lambda a, b: a + b, [term(c, q) for c, q in zip(counts, shares, strict=True)]) / 2
-    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+    terms = F.zip_with(counts, F.array(*[F.lit(float(q)) for q in shares]), term)
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def nearest(counts: list[Column], total: Column, references: list[list[float]]) -> Column:
+def nearest(counts: Column, total: Column, references: list[list[float]]) -> Column:
     distances = [js_distance(counts, total, r) for r in references]
     return F.when(total > 0, F.least(*distances))
 
@@ -105,13 +104,10 @@ def assess(
             "n_words": F.col("_n").cast("bigint"),
             "word_chars": (total - F.col("_space")).cast("bigint"),
             "n_symbols": F.col("_symbol"),
-            "char_distance": nearest([F.col(f"_{c}") for c in CLASSES], total, [list(x) for x in CHARACTERS.values()]),
-            "word_distance": nearest(
-                [*[F.col(f"_c{i}") for i in range(len(VOCABULARY))], F.col("_n") - F.size("_codes")],
-                F.col("_n"), [_word_reference(x) for x in COMMON],
-            ),
+            "char_distance": nearest(F.array(*[f"_{c}" for c in CLASSES]), total, [list(x) for x in CHARACTERS.values()]),
+            "word_distance": nearest(F.col("_common"), F.col("_n"), [_word_reference(x) for x in COMMON]),
         }
-    )
+    )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     long, wordy = total >= min_chars, F.col("n_words") >= min_common_words
     far = long & (F.col("char_distance") > max_char_distance)
@@ -126,12 +122,16 @@ def assess(
 
 
 def _common(d: DataFrame) -> DataFrame:
-    """_c0, _c1, …: how often each common word stands in the text, in lower case or capitalised."""
+    """_common: how often each common word stands in the text, in lower case or capitalised, and how many other words."""
     spelled = [*VOCABULARY, *[w.capitalize() for w in VOCABULARY]]
-    order = F.array(*[F.lit(w) for w in spelled])
-    d = d.withColumn("_hits", F.filter("_w", lambda w: w.isin(spelled)))
-    d = d.withColumn("_codes", F.transform("_hits", lambda w: F.pmod(F.array_position(order, w) - 1, F.lit(len(VOCABULARY))).cast("int")))
-    return d.withColumns({f"_c{i}": F.size("_codes") - F.size(F.array_remove("_codes", F.lit(i))) for i in range(len(VOCABULARY))})
+    order, n = F.array(*[F.lit(w) for w in spelled]), len(VOCABULARY)
+    hits = F.filter("_w", lambda w: w.isin(spelled))
+    codes = F.transform(hits, lambda w: F.pmod(F.array_position(order, w) - 1, F.lit(n)).cast("int"))
+    # With one of each code added and all sorted, a code's count is how far the next one's place is from its own.
+    d = d.withColumn("_codes", F.sort_array(F.concat(codes, F.array(*[F.lit(i) for i in range(n + 1)]))))
+    d = d.withColumn("_places", F.transform(F.array(*[F.lit(i) for i in range(n + 1)]), lambda i: F.array_position("_codes", i)))
+    counts = F.transform(F.slice("_places", 1, n), lambda at, i: F.get("_places", i + 1) - at - 1)
+    return d.withColumn("_common", F.concat(counts, F.array(F.col("_n") - F.size("_codes") + n + 1)))
 
 
 def _lines(d: DataFrame) -> DataFrame:
