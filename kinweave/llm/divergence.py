@@ -33,19 +33,18 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 GROUP = ["lang", "source"]
 
 
-def _lowered(term: Column) -> Column:
-    """A-Z in lower case and nothing else. Most terms are so already, which a plain comparison tells faster."""
-    return F.when(F.lower(term) == term, term).otherwise(F.translate(term, string.ascii_uppercase, string.ascii_lowercase))
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case and nothing else; for ASCII only, lower is the same and quicker."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of rows (lang, source, text): occurrences, and documents that have the term."""
-    terms = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    every = rows.select(*GROUP, F.explode(terms).alias("term")).select(*GROUP, _lowered(F.col("term")).alias("term"), one.alias("n"), zero.alias("docs"))
-    of_doc = F.array_distinct(F.transform(F.array_distinct(terms), _lowered))
-    once = rows.select(*GROUP, F.explode(of_doc).alias("term")).select(*GROUP, "term", zero.alias("n"), one.alias("docs"))
-    return every.union(once).groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs) of rows (lang, source, text): occurrences, and documents that have the term. A
+    document's terms are sorted, so the first of equal ones stands for the document."""
+    found = rows.select(*GROUP, F.sort_array(F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
+    each = found.select(*GROUP, "terms", F.posexplode("terms").alias("at", "term"))
+    new = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
+    return each.groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(new, F.lit(1)).otherwise(0).cast("bigint")).alias("docs"))
 
 
 def _share(n: str, total: str, scale: int) -> Column:
