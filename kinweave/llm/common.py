@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -78,6 +79,13 @@ def clear(spark: SparkSession) -> None:
     delete(spark, own_dir(spark))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now: it does so when the driver collects garbage, which a
+    driver that does little else may put off for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute the rows once and keep them in the shared folder, so that a lost executor loses nothing."""
     spark = df.sparkSession

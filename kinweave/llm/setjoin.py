@@ -3,13 +3,15 @@
 Sets are sorted by one order of all elements. Two sets whose Jaccard similarity is s or more share an element
 within the first n - ceil(s n) + 1 elements of each, whatever the order. So rows meet by the elements of their
 prefixes, and of the rows that share one, those pairs go on to be verified that have different labels (others are
-linked already) and whose sizes and places in the order leave room for enough common elements.
+linked already) and sizes that are near enough.
 
-The order is that of the hashes, but for hot elements, which come last. They are found so: where a prefix element
-has so many rows that their pairs would grow with the square of them, the whole sets of these rows are counted, and
-the elements that over `few` of them have are hot. Every prefix with a hot element in it is drawn anew. An element
-that still has too many rows, since nearly all of their sets is hot, is worked block against block. No pair is lost
-on the way: any order that is the same for all sets will do.
+The order is that of the hashes, but for hot elements, which come last. An element is hot if so many rows have it in
+their prefixes that their pairs would grow with the square of them. Prefixes with a hot element are drawn anew: the
+elements that come next are looked up among the hot ones too, and where too few others are left, all of the set that
+may belong to its prefix is taken. An element that still has too many rows is worked block against block. No pair is
+lost on the way: any order that is the same for all sets will do, and so will more elements than a prefix needs.
+
+Sets are made from the texts again whenever they are needed, so that only prefixes and pairs move.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Beside, beside, cut_table, join_salted
+from kinweave.llm.common import Beside, beside, cut_table, join_salted, release
 
-COLUMNS = ["k", "row", "label", "size", "at"]
-SCHEMA = "a bigint, b bigint, k bigint, label bigint, size bigint, at bigint"
+COLUMNS = ["k", "row", "label", "size"]
+SCHEMA = "a bigint, b bigint, k bigint, label bigint, size bigint"
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -32,11 +33,9 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def _room(x: dict, y: dict, similarity: float) -> np.ndarray:
-    """Which pairs may still be similar: their labels differ, and enough elements from the shared one on are left."""
-    common = np.minimum(x["size"] - x["at"], y["size"] - y["at"])
-    enough = np.ceil(similarity / (1 + similarity) * (x["size"] + y["size"]) - 1e-9)
+    """Which pairs may still be similar: their labels differ, their sizes hardly do."""
     alike = np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"]) - 1e-9
-    return (x["label"] != y["label"]) & alike & (common >= enough)
+    return (x["label"] != y["label"]) & alike
 
 
 def _some(x: dict, at) -> dict:
@@ -63,10 +62,10 @@ def _meet(similarity: float, few: int, most: int, chunk: int = 1 << 18):
 
         def pairs(a, b):
             none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names=names)
 
         def passed(x):
-            return pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.nulls(len(x["row"]), pa.int64()), *[pa.array(x[c]) for c in ("k", "label", "size", "at")]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.nulls(len(x["row"]), pa.int64()), *[pa.array(x[c]) for c in ("k", "label", "size")]], names=names)
 
         def one(x):
             """The pairs of one element with many rows, or its rows."""
@@ -130,7 +129,7 @@ def _blockwise(over: DataFrame, similarity: float, block: int) -> DataFrame:
     sizes = cut_table(over.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n")))
     rows = over.join(sizes, "k").withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), F.col("a").alias("row"), "label", "size", "at")
+    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), F.col("a").alias("row"), "label", "size")
 
     def meet(table):
         import pyarrow as pa
@@ -144,23 +143,37 @@ def _blockwise(over: DataFrame, similarity: float, block: int) -> DataFrame:
     return rows.groupBy("k", "i", "j").applyInArrow(meet, "a bigint, b bigint")
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, hashes) -> DataFrame:
-    """(row, elements) of the rows of texts (row, text) that are wanted; hashes: gives a text's different ones."""
-    uri = beside(wanted.select("row").distinct().withColumn("lo", F.lit(0).cast("bigint")))
+def _over(texts: DataFrame, uri: str, rows, schema: str, whole: bool = False) -> DataFrame:
+    """What rows(row, text, findings) gives for those rows of texts that have findings in the folder of `beside`: an array
+    for each column, whose members are rows, or the values of one row if that is `whole`."""
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches):
         import pyarrow as pa
 
         known = Beside(uri)
         for batch in batches:
-            rows, sets = [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                if known.of(row):
-                    rows.append(row)
-                    sets.append(hashes(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "elements"])
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                found = [rows(row, text.as_py(), facts) for row, text in zip(piece.column("row").to_pylist(), piece.column("text"), strict=True) if (facts := known.of(row))]
+                if found:
+                    columns = [pa.array(c if whole else np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return texts.mapInArrow(run, schema)
 
-    return texts.mapInArrow(run, "row bigint, elements array<bigint>")
+
+def _beside(rows: DataFrame) -> str:
+    return beside(rows.withColumn("lo", F.lit(0).cast("bigint")) if "lo" not in rows.columns else rows)
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, hashes) -> DataFrame:
+    """(row, elements) of the rows of texts (row, text) that are wanted; hashes: gives a text's different ones."""
+    return _over(texts, _beside(wanted.select("row").distinct()), lambda row, text, _: (row, hashes(text)), "row bigint, elements array<bigint>", True)
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
@@ -175,31 +188,64 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> D
     return met.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _redrawn(texts: DataFrame, nodes: DataFrame, keys: DataFrame, crowded: DataFrame, similarity: float, few: int, hashes) -> DataFrame:
-    """keys with the prefixes drawn anew in which there is a hot element."""
-    whole = sets_of(texts, crowded, hashes).select(F.explode("elements").alias("k"))
-    hot = cut_table(whole.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("k"))
-    again = cut_table(keys.join(hot, "k", "left_semi").select("row").distinct())
-    elements = sets_of(texts, again, hashes).select("row", F.explode("elements").alias("k"))
-    marked = elements.join(hot.withColumn("hot", F.lit(True)), "k", "left").withColumn("hot", F.col("hot").isNotNull())
-    place = F.row_number().over(W.partitionBy("row").orderBy("hot", "k")) - 1
-    sized = marked.withColumn("at", place.cast("bigint")).join(nodes.select("row", "label", "size", "prefix_size"), "row")
-    return keys.join(again, "row", "left_anti").select(*COLUMNS).union(sized.where("at < prefix_size").select(*COLUMNS))
+def _drawn(e: np.ndarray, hot: np.ndarray, need: int, seen: int) -> np.ndarray:
+    """What a prefix of `need` elements has at most, if `hot` are the hot ones of the first `seen` elements."""
+    cold = e[:seen][~np.isin(e[:seen], hot)]
+    return cold[:need] if len(cold) >= need or seen >= len(e) and not len(hot) else np.concatenate([cold, e[seen:], hot])
+
+
+def _seen(need: int, hot: int, size: int) -> int:
+    """How many elements are looked up among the hot ones, where so many of the first `need` are hot."""
+    return size if 3 * hot > need else min(size, 2 * need + 8)
+
+
+def _keys(texts: DataFrame, nodes: DataFrame, hot: DataFrame | None, similarity: float, hashes) -> DataFrame:
+    """(k, row, label, size): the elements of each node's prefix, drawn without the hot ones (row, k) that are known of it."""
+    facts = nodes.select("row", "label", F.lit(None).cast("bigint").alias("k"))
+    if hot is not None:
+        facts = facts.union(hot.select("row", F.lit(None).cast("bigint"), "k"))
+    folder = _beside(facts.select("row", F.coalesce("k", F.lit(0)).alias("lo"), "label", F.col("k").isNotNull().alias("hot")))
+
+    def rows(row, text, found):
+        e, of = hashes(text), found["hot"].astype(bool)
+        need = prefix_length(len(e), similarity)
+        own = found["lo"][of]
+        k = _drawn(e, own, need, _seen(need, int(np.isin(own, e[:need]).sum()), len(e))) if len(own) else e[:need]
+        label = int(found["label"][~of][0])
+        return k, np.full(len(k), row), np.full(len(k), label), np.full(len(k), len(e))
+
+    return _over(texts, folder, rows, "k bigint, row bigint, label bigint, size bigint")
+
+
+def _next(texts: DataFrame, crowded: DataFrame, similarity: float, hashes) -> DataFrame:
+    """(row, k): of the rows with crowded elements (row, k), the elements that come next in order."""
+
+    def rows(row, text, found):
+        e = hashes(text)
+        need = prefix_length(len(e), similarity)
+        k = e[need : _seen(need, len(found["lo"]), len(e))]
+        return np.full(len(k), row), k
+
+    return _over(texts, _beside(crowded.select("row", F.col("k").alias("lo"))), rows, "row bigint, k bigint")
 
 
 def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes, few: int = 64, most: int = 1 << 16, block: int = 4096) -> DataFrame:
-    """(a, b): every pair of nodes (row, label, size, prefix) with different labels that may be similar, each pair
-    once. texts (row, text) has the rows' texts; a prefix has the first elements by hash."""
-    nodes = nodes.select("row", "label", F.col("size").cast("bigint").alias("size"), "prefix", F.size("prefix").cast("bigint").alias("prefix_size"))
-    keys = nodes.select("row", "label", "size", F.posexplode("prefix").alias("at", "k")).select("k", "row", "label", "size", F.col("at").cast("bigint").alias("at"))
+    """(a, b): every pair of nodes (row, label) with different labels that may be similar, each pair once. texts (row,
+    text) has the rows' texts; hashes: gives the different elements of a text, sorted."""
 
     def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_meet(similarity, few, most), SCHEMA))
+        release(found.sparkSession)
         return found.where("b is not null").select("a", "b"), found.where("b is null")
 
-    pairs, crowded = met(keys)
+    pairs, crowded = met(_keys(texts, nodes, None, similarity, hashes))
     if not crowded.isEmpty():
-        pairs, crowded = met(_redrawn(texts, nodes, keys, crowded.select(F.col("a").alias("row")), similarity, few, hashes))
+        first = crowded.select(F.col("a").alias("row"), "k")
+        hot = cut_table(first.select("k").distinct())
+        more = _next(texts, first, similarity, hashes).join(hot, "k", "left_semi").select("row", "k")
+        pairs, crowded = met(_keys(texts, nodes, cut_table(first.union(more)), similarity, hashes))
         if not crowded.isEmpty():
             pairs = pairs.union(_blockwise(crowded, similarity, block))
-    return cut_table(pairs.distinct())
+    pairs = cut_table(pairs.distinct())
+    release(pairs.sparkSession)
+    return pairs

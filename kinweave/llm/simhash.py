@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import golay, setjoin
-from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, stored
+from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, release, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -256,30 +256,23 @@ def _elements(width: int):
     return lambda text: np.unique(_digests(text, width)[:, :8].copy().view("<i8").ravel())
 
 
-def _wide(width: int, similarity: float):
+def _wide(width: int):
     """For texts: what their set of shingles is known by, their 128-bit fingerprints and, two bytes each, the codewords of
-    the segments; how many different shingles they have, and the first of these by hash."""
+    the segments."""
 
     def run(texts):
-        import pyarrow as pa
-
-        votes, known, sizes, prefixes = np.zeros((len(texts), 128), np.int64), np.zeros((len(texts), 2), "<i8"), [], []
+        votes, known = np.zeros((len(texts), 128), np.int64), np.zeros((len(texts), 2), "<i8")
         for i, t in enumerate(texts):
             h = _digests(t, width)
             if len(h):
                 votes[i] = 2 * np.add.reduce(np.unpackbits(h, axis=1, bitorder="little"), axis=0, dtype=np.int64) - len(h)
             e = np.unique(h[:, :8].copy().view("<i8").ravel())
             known[i] = np.frombuffer(xxhash.xxh3_128_digest(e.tobytes()), "<i8")
-            sizes.append(len(e))
-            prefixes.append(e[: setjoin.prefix_length(len(e), similarity)])
         f = np.packbits(votes > 0, axis=1, bitorder="little").view("<i8")
         # How sure a bit is grows with its margin, up to twice the text's mean.
         margins = np.clip(votes / np.maximum(np.abs(votes).mean(axis=1, keepdims=True), 1e-9), -2, 2)
         codes = [golay.nearest(margins[:, 23 * p : 23 * p + 23], CODES) for p in range(PARTS)]
-        codes = [x.tobytes() for x in np.concatenate(codes, axis=1).astype("<u2")]
-        offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-        return [known[:, 0].tolist(), known[:, 1].tolist(), f[:, 0].tolist(), f[:, 1].tolist(), codes, sizes, prefix]
+        return [known[:, 0].tolist(), known[:, 1].tolist(), f[:, 0].tolist(), f[:, 1].tolist(), [x.tobytes() for x in np.concatenate(codes, axis=1).astype("<u2")]]
 
     return run
 
@@ -317,16 +310,18 @@ def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, m
 
 
 def similar_groups(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, few: int = 64) -> DataFrame:
-    """(row, label) of every node (row, f0, f1, codes, size, prefix): those with a label are linked by similar ones.
+    """(row, label) of every node (row, f0, f1, codes): those with the same label are linked by similar ones.
     Fingerprints find nearly all links; a prefix-filtered join of what they leave apart finds the rest."""
-    labels = cut_table(components(similar(texts, nodes, similarity, width)).select(F.col("node").alias("row"), "label"))
-    labelled = cut_table(nodes.select("row", "size", "prefix").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    links = cut_table(similar(texts, nodes, similarity, width))
+    release(nodes.sparkSession)
+    labels = cut_table(components(links).select(F.col("node").alias("row"), "label"))
+    labelled = cut_table(nodes.select("row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
     rest = setjoin.missing_pairs(texts, labelled, similarity, _elements(width), few)
     found = cut_table(setjoin.verified(texts, rest, similarity, _elements(width)))
+    release(nodes.sparkSession)
     if found.isEmpty():
-        return labelled.select("row", "label")
-    all_links = found.union(labels.select("row", "label"))
-    joined = components(all_links).select(F.col("node").alias("row"), F.col("label").alias("joined"))
+        return labelled
+    joined = components(found.union(labels.select("row", "label"))).select(F.col("node").alias("row"), F.col("label").alias("joined"))
     return labelled.join(joined, "row", "left").select("row", F.coalesce("joined", "label").alias("label"))
 
 
@@ -350,9 +345,9 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=
     rows = number(given.rows)
     doc_id, text = F.col(given["doc_id"]), F.col(given["text"])
     place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.xxhash64(text).alias("hash"), F.col("row").alias("row"))
-    schema = "k0 bigint, k1 bigint, f0 bigint, f1 bigint, codes binary, size int, prefix array<bigint>"
-    prints = append(rows.select(place.alias("place"), text.alias("text")), schema, lambda: _wide(width, similarity), rows=256).drop("text")
-    first = prints.groupBy("k0", "k1").agg(F.min(F.struct("place", "f0", "f1", "codes", "size", "prefix")).alias("first"))
+    schema = "k0 bigint, k1 bigint, f0 bigint, f1 bigint, codes binary"
+    prints = append(rows.select(place.alias("place"), text.alias("text")), schema, lambda: _wide(width), rows=256).drop("text")
+    first = prints.groupBy("k0", "k1").agg(F.min(F.struct("place", "f0", "f1", "codes")).alias("first"))
     nodes = cut_table(first.select("first.*", F.col("first.place.row").alias("row")))
     labels = similar_groups(rows.select("row", text.alias("text")), nodes, similarity, width, few)
     grouped = nodes.select("row", "place").join(labels, "row")

@@ -46,8 +46,7 @@ def test_pairs(spark, few, most, block):
     similar = {(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i]) and (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)}
     assert len(similar) > 40
     for label in (list(range(len(texts))), [i // 9 if i < 20 else i for i in range(len(texts))]):
-        nodes = [(i, label[i], len(s), s[: setjoin.prefix_length(len(s), 0.8)].tolist()) for i, s in enumerate(sets)]
-        nodes = spark.createDataFrame(nodes, "row bigint, label bigint, size int, prefix array<bigint>")
+        nodes = spark.createDataFrame([(i, label[i]) for i in range(len(sets))], "row bigint, label bigint")
         pairs = setjoin.missing_pairs(rows, nodes, 0.8, hashes, few, most, block)
         got = {tuple(r) for r in pairs.collect()}
         want = {p for p in similar if label[p[0]] != label[p[1]]}
