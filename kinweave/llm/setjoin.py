@@ -3,7 +3,7 @@
 Sets are sorted by one order of all elements. Two sets whose Jaccard similarity is s or more share an element
 within the first n - ceil(s n) + 1 elements of each, whatever the order. So rows meet by the elements of their
 prefixes, and of the rows that share one, those pairs go on to be verified that have different labels (others are
-linked already) and sizes that are near enough.
+linked already), sizes that are near enough, and as many elements in the same buckets of hashes.
 
 The order is that of the hashes, but for hot elements, which come last. An element is hot if so many rows have it in
 their prefixes that their pairs would grow with the square of them. Prefixes with a hot element are drawn anew: the
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Beside, beside, cut_table, join_salted, release
+from kinweave.llm.common import Beside, beside, cut_files, cut_table, delete, join_salted, release
 
 COLUMNS = ["k", "row", "label", "size"]
 SCHEMA = "a bigint, b bigint, k bigint, label bigint, size bigint"
@@ -176,16 +176,60 @@ def sets_of(texts: DataFrame, wanted: DataFrame, hashes) -> DataFrame:
     return _over(texts, _beside(wanted.select("row").distinct()), lambda row, text, _: (row, hashes(text)), "row bigint, elements array<bigint>", True)
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
-    """Those of the pairs (a, b), each given once and written down, whose sets are similar."""
-    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
-    sets = cut_table(sets_of(texts, either, hashes))
+def _ends(pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b) with a fact (row, name) of each end. A row may have a great part of the pairs."""
     total, met = pairs.count(), pairs
     for end, other in (("a", "b"), ("b", "a")):
         counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        met = join_salted(met, sets.select(F.col("row").alias(end), F.col("elements").alias(f"of_{end}")), end, counts, total, [other])
+        met = join_salted(met, facts.select(F.col("row").alias(end), F.col(name).alias(f"of_{end}")), end, counts, total, [other])
+    return met
+
+
+def _kept(rows: DataFrame, folder: str) -> DataFrame:
+    """rows written down, and the folder that they came from deleted."""
+    out = cut_table(rows)
+    delete(out.sparkSession, folder)
+    release(out.sparkSession)
+    return out
+
+
+#: Parts of the hashes in which elements are counted, to bound how many two sets have in common.
+BUCKETS = 256
+
+
+def sketch(e: np.ndarray) -> bytes:
+    """How many elements fall into each bucket; empty where a count leaves 16 bits."""
+    counts = np.bincount(e & (BUCKETS - 1), minlength=BUCKETS)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
+
+
+def possible(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
+    """Those of the pairs (a, b) that may be similar: two sets have no more in common in a bucket than either has there."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            of = [batch.column(c).to_pylist() for c in ("of_a", "of_b")]
+            keep = np.array([not x or not y for x, y in zip(*of, strict=True)], bool)
+            if some := np.flatnonzero(~keep).tolist():
+                x, y = (np.frombuffer(b"".join(c[i] for i in some), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in of)
+                keep[some] = np.minimum(x, y).sum(axis=1) >= similarity / (1 + similarity) * (x.sum(axis=1) + y.sum(axis=1)) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    folder = cut_files(_over(texts, _beside(either.distinct()), lambda row, text, _: (row, sketch(hashes(text))), "row bigint, sketch binary", True))
+    sketches = pairs.sparkSession.read.schema("row bigint, sketch binary").parquet(folder)
+    return _kept(_ends(pairs, sketches, "sketch").select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint"), folder)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
+    """Those of the pairs (a, b), each given once and written down, whose sets are similar."""
+    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    folder = cut_files(sets_of(texts, either, hashes))
+    sets = pairs.sparkSession.read.schema("row bigint, elements array<bigint>").parquet(folder)
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return met.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    return _kept(_ends(pairs, sets, "elements").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"), folder)
 
 
 def _drawn(e: np.ndarray, hot: np.ndarray, need: int, seen: int) -> np.ndarray:
@@ -248,4 +292,4 @@ def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes,
             pairs = pairs.union(_blockwise(crowded, similarity, block))
     pairs = cut_table(pairs.distinct())
     release(pairs.sparkSession)
-    return pairs
+    return possible(texts, pairs, similarity, hashes)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import golay, setjoin
-from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, release, stored
+from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -312,13 +312,10 @@ def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, m
 def similar_groups(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, few: int = 64) -> DataFrame:
     """(row, label) of every node (row, f0, f1, codes): those with the same label are linked by similar ones.
     Fingerprints find nearly all links; a prefix-filtered join of what they leave apart finds the rest."""
-    links = cut_table(similar(texts, nodes, similarity, width))
-    release(nodes.sparkSession)
-    labels = cut_table(components(links).select(F.col("node").alias("row"), "label"))
+    labels = cut_table(components(similar(texts, nodes, similarity, width)).select(F.col("node").alias("row"), "label"))
     labelled = cut_table(nodes.select("row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
     rest = setjoin.missing_pairs(texts, labelled, similarity, _elements(width), few)
-    found = cut_table(setjoin.verified(texts, rest, similarity, _elements(width)))
-    release(nodes.sparkSession)
+    found = setjoin.verified(texts, rest, similarity, _elements(width))
     if found.isEmpty():
         return labelled
     joined = components(found.union(labels.select("row", "label"))).select(F.col("node").alias("row"), F.col("label").alias("joined"))

@@ -71,5 +71,15 @@ def test_completion_finds_what_fingerprints_miss(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(similar_groups(texts)))
 
 
+def test_sketches_bound_what_sets_share():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        pool = r.integers(-(1 << 62), 1 << 62, 400)
+        a, b = (np.unique(r.choice(pool, r.integers(1, 300))) for _ in range(2))
+        x, y = (np.frombuffer(setjoin.sketch(e), "<u2").astype(int) for e in (a, b))
+        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+    assert setjoin.sketch(np.arange(1 << 16) << 8) == b"" and len(setjoin.sketch(np.empty(0, np.int64))) == 2 * setjoin.BUCKETS
+
+
 def test_brute_components_agree():
     assert brute_components([(0, 1), (1, 2)], range(4)) == {0: 0, 1: 0, 2: 0, 3: 3}
