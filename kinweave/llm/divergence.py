@@ -42,7 +42,8 @@ def counted(rows: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of rows (lang, source, text): occurrences, and documents that have the term. A
     document's terms are sorted, so the first of equal ones stands for the document."""
     found = rows.select(*GROUP, F.sort_array(F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
-    each = found.select(*GROUP, "terms", F.posexplode("terms").alias("at", "term"))
+    # Before an inner explode the optimizer would filter by the array's size, and work out every array twice.
+    each = found.select(*GROUP, "terms", F.posexplode_outer("terms").alias("at", "term")).where("term is not null")
     new = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
     return each.groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(new, F.lit(1)).otherwise(0).cast("bigint")).alias("docs"))
 
