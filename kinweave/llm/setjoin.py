@@ -124,20 +124,35 @@ def _meet(similarity: float, few: int, most: int, chunk: int = 1 << 18):
     return run
 
 
-def _blockwise(over: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b) of elements with too many rows: rows are dealt to blocks, and every two blocks meet in one task."""
+def _sketched(column) -> np.ndarray:
+    """Sketches as rows of counts. One that is empty, as a count left 16 bits, bounds nothing."""
+    full = np.full(BUCKETS, (1 << 16) - 1, "<u2").tobytes()
+    return np.frombuffer(b"".join(x or full for x in column.to_pylist()), "<u2").reshape(-1, BUCKETS)
+
+
+def _blockwise(over: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b) of elements with too many rows: rows are dealt to blocks, and every two blocks meet in one task, which
+    hands on only the pairs whose sketches leave room."""
     sizes = cut_table(over.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n")))
-    rows = over.join(sizes, "k").withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")))
+    rows = over.withColumnRenamed("a", "row").join(sketches, "row").join(sizes, "k").withColumn("x", F.pmod(F.xxhash64("row"), F.col("n")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), F.col("a").alias("row"), "label", "size")
+    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), "row", "label", "size", "sketch")
 
     def meet(table):
         import pyarrow as pa
 
-        x = {c: table.column(c).to_numpy() for c in COLUMNS}
-        left, right = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "right"))
-        found = [(np.minimum(a, b), np.maximum(a, b)) for a, b in _between(_some(x, left), _some(x, right), similarity)]
-        pairs = np.unique(np.stack([np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1)], axis=1), axis=0)
+        x, counts = {c: table.column(c).to_numpy() for c in COLUMNS}, _sketched(table.column("sketch"))
+        left, right = (np.flatnonzero(np.array(table.column(c).to_pylist(), bool)) for c in ("left", "right"))
+        found, step = [np.empty((0, 2), np.int64)], max(1, (1 << 20) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.nonzero(_room({c: v[left[at : at + step], None] for c, v in x.items()}, {c: v[None, right] for c, v in x.items()}, similarity))
+            i, j = left[i + at], right[j]
+            for part in range(0, len(i), 1 << 14):
+                a, b = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
+                enough = similarity / (1 + similarity) * (x["size"][a] + x["size"][b]) - 1e-9
+                keep = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64) >= enough
+                found.append(np.stack([x["row"][a[keep]], x["row"][b[keep]]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return rows.groupBy("k", "i", "j").applyInArrow(meet, "a bigint, b bigint")
@@ -289,7 +304,8 @@ def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes,
         more = _next(texts, first, similarity, hashes).join(hot, "k", "left_semi").select("row", "k")
         pairs, crowded = met(_keys(texts, nodes, cut_table(first.union(more)), similarity, hashes))
         if not crowded.isEmpty():
-            pairs = pairs.union(_blockwise(crowded, similarity, block))
+            sketches = _over(texts, _beside(crowded.select(F.col("a").alias("row")).distinct()), lambda row, text, _: (row, sketch(hashes(text))), "row bigint, sketch binary", True)
+            pairs = pairs.union(_blockwise(crowded, sketches, similarity, block))
     pairs = cut_table(pairs.distinct())
     release(pairs.sparkSession)
     return possible(texts, pairs, similarity, hashes)
