@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import Beside, beside, cut_files, cut_table, delete, join_salted, release
@@ -218,6 +218,38 @@ def sketch(e: np.ndarray) -> bytes:
     return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
 
 
+def fine_sketch(e: np.ndarray, load: int = 8) -> np.ndarray:
+    """The same of a large set, in so many buckets, a power of two, that no more than `load` elements fall into one on
+    average. Of a set for which BUCKETS are enough: empty."""
+    if len(e) <= load * BUCKETS:
+        return np.empty(0, np.int32)
+    buckets = 1 << math.ceil(math.log2(len(e) / load))
+    return np.bincount(e & (buckets - 1), minlength=buckets).astype(np.int32)
+
+
+def _halved(x: Column) -> Column:
+    """A fine sketch in half as many buckets."""
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a + b)
+
+
+def finely_possible(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
+    """`possible` for the pairs of large sets, whose buckets there all fill alike; other pairs stay. Sketches are a
+    sixteenth of the sets or less, so few of these sets move that don't have to."""
+    either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
+    folder = cut_files(_over(texts, _beside(either.distinct()), lambda row, text, _: (row, fine_sketch(hashes(text))), "row bigint, fine array<int>", True))
+    fine = pairs.sparkSession.read.schema("row bigint, fine array<int>").parquet(folder)
+    a, b = F.col("of_a"), F.col("of_b")
+    n, m = F.size(a), F.size(b)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda sum, c: sum + c)
+    x, y = F.when(n > m, _halved(a)).otherwise(a), F.when(m > n, _halved(b)).otherwise(b)
+    # Sizes of similar sets are so near that one has twice the other's buckets at most.
+    comparable = (n > 0) & (m > 0) & (n <= 2 * m) & (m <= 2 * n)
+    shared = total(F.zip_with(x, y, lambda c, d: F.least(c, d)))
+    keep = F.when(comparable, shared >= similarity / (1 + similarity) * (total(a) + total(b)) - 1e-9).otherwise(True)
+    return _kept(_ends(pairs, fine, "fine").where(keep).select("a", "b"), folder)
+
+
 def possible(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
     """Those of the pairs (a, b) that may be similar: two sets have no more in common in a bucket than either has there."""
 
@@ -308,4 +340,4 @@ def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes,
             pairs = pairs.union(_blockwise(crowded, sketches, similarity, block))
     pairs = cut_table(pairs.distinct())
     release(pairs.sparkSession)
-    return possible(texts, pairs, similarity, hashes)
+    return finely_possible(texts, possible(texts, pairs, similarity, hashes), similarity, hashes)

@@ -81,5 +81,24 @@ def test_sketches_bound_what_sets_share():
     assert setjoin.sketch(np.arange(1 << 16) << 8) == b"" and len(setjoin.sketch(np.empty(0, np.int64))) == 2 * setjoin.BUCKETS
 
 
+def test_fine_sketches_keep_what_is_similar(spark):
+    """Large sets on both sides of a number of buckets, beside small ones: similar pairs stay, unlike ones of large sets go."""
+    rnd = np.random.default_rng(4)
+    draw = lambda n: rnd.integers(-(1 << 62), 1 << 62, n)
+    sets = []
+    for n in (1500, 2040, 2300, 4000, 4500, 9000):
+        base = draw(n)
+        sets += [np.unique(x) for x in (base, base[: int(0.81 * n)], np.r_[base, draw(n // 5)], np.r_[base[n // 10 :], draw(n // 10)], draw(n), draw(int(1.2 * n)))]
+    texts = spark.createDataFrame([(i, str(i)) for i in range(len(sets))], "row bigint, text string").repartition(3)
+    near = [p for p in combinations(range(len(sets)), 2) if 0.8 * max(len(sets[p[0]]), len(sets[p[1]])) <= min(len(sets[p[0]]), len(sets[p[1]]))]
+    similar = {(i, j) for i, j in near if (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)}
+    got = {tuple(r) for r in setjoin.finely_possible(texts, spark.createDataFrame(near, "a bigint, b bigint"), 0.8, lambda text: sets[int(text)]).collect()}
+    large = {(i, j) for i, j in near if min(len(sets[i]), len(sets[j])) > 8 * setjoin.BUCKETS}
+    assert len(similar & large) > 10 and len(large - similar) > 40 and any(len(setjoin.fine_sketch(sets[i])) != len(setjoin.fine_sketch(sets[j])) for i, j in similar & large)
+    assert similar <= got and set(near) - large <= got
+    unlike = {(i, j) for i, j in large if not len(np.intersect1d(sets[i], sets[j]))}
+    assert unlike and not unlike & got
+
+
 def test_brute_components_agree():
     assert brute_components([(0, 1), (1, 2)], range(4)) == {0: 0, 1: 0, 2: 0, 3: 3}
