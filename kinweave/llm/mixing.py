@@ -80,7 +80,9 @@ def apportion(rows: DataFrame, group: list[str], key: list[Column], votes: str,
     r = r.withColumn("_missing", F.col("_seats") - F.sum("_first").over(whole)).withColumn("_rows", F.count(F.lit(1)).over(whole))
     reach = F.ceil(F.col("_share") * (F.abs("_missing") + F.col("_rows"))) + 1
     r = r.withColumn("_low", F.greatest(F.lit(0), F.col("_first") - reach)).withColumn("_high", F.col("_first") + reach)
-    r = r.withColumn("_open", F.col("_seats") - F.sum("_low").over(whole)).withColumn("_id", F.struct(*key))
+    r = r.withColumn("_open", F.col("_seats") - F.sum("_low").over(whole))
+    # Written down, as it is used twice, and plans would double with each apportionment.
+    r = cut_table(r.withColumn("_id", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])))
     # Quotients _low … _high - 1 compete for the seats that are still open.
     quotients = r.where(F.col(votes) > 0).withColumn("_k", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)))
     rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc(F.col(votes) / (2 * F.col("_k") + 1)), *key, "_k"))
@@ -105,12 +107,12 @@ def mix(
     sized = cut_table(given.rows.withColumns(facts | {"spread": _spread(F.col(given["doc_id"]), seed)}).drop(given["text"]))
     finest = parts_for(sized.count(), shard_docs)
     sized = sized.withColumn("part", F.pmod("spread", F.lit(finest)))
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    parts = cut_table(sized.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
     sources = parts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
     shards = F.least(F.lit(finest), F.greatest(F.lit(1), F.ceil(F.col("n") / shard_docs)))
     sources = targets(sources.select("source", "source_size", shards.alias("shards")), share, most, weights)
     blocks = F.round(F.sum("target").over(W.partitionBy()) / block_words)
-    sources = apportion(sources, [], [F.col("source").isNull(), F.col("source")], "target", blocks, "blocks")
+    sources = cut_table(apportion(sources, [], [F.col("source").isNull(), F.col("source")], "target", blocks, "blocks"))
 
     def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
         right = table.withColumnsRenamed({"source": "_source", "shards": "_shards"})

@@ -130,18 +130,31 @@ def _sketched(column) -> np.ndarray:
     return np.frombuffer(b"".join(x or full for x in column.to_pylist()), "<u2").reshape(-1, BUCKETS)
 
 
+#: Of a row's crowded elements so many, the smallest, go with it to tell which element a pair comes from.
+FIRSTS = 16
+
+
+def _firsts(k: np.ndarray) -> bytes:
+    return np.r_[k[:FIRSTS], np.full(max(0, FIRSTS - len(k)), np.iinfo(np.int64).max)].astype("<i8").tobytes()
+
+
 def _blockwise(over: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b) of elements with too many rows: rows are dealt to blocks, and every two blocks meet in one task, which
-    hands on only the pairs whose sketches leave room."""
+    hands on only the pairs whose sketches leave room.
+
+    A pair meets at each element that both have, but is handed on only where none smaller is known to be common. At the
+    smallest one none is, whatever is known, so no pair is lost; similar rows nearly always know it of each other."""
     sizes = cut_table(over.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("n")))
     rows = over.withColumnRenamed("a", "row").join(sketches, "row").join(sizes, "k").withColumn("x", F.pmod(F.xxhash64("row"), F.col("n")))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), "row", "label", "size", "sketch")
+    rows = rows.select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), (F.col("x") >= F.col("y")).alias("right"), "row", "label", "size", "sketch", "firsts")
 
     def meet(table):
         import pyarrow as pa
 
         x, counts = {c: table.column(c).to_numpy() for c in COLUMNS}, _sketched(table.column("sketch"))
+        k, firsts = x["k"][0], np.frombuffer(b"".join(table.column("firsts").to_pylist()), "<i8").reshape(-1, FIRSTS)
+        firsts = np.where(firsts < k, firsts, np.iinfo(np.int64).max)
         left, right = (np.flatnonzero(np.array(table.column(c).to_pylist(), bool)) for c in ("left", "right"))
         found, step = [np.empty((0, 2), np.int64)], max(1, (1 << 20) // max(1, len(right)))
         for at in range(0, len(left), step):
@@ -151,7 +164,9 @@ def _blockwise(over: DataFrame, sketches: DataFrame, similarity: float, block: i
                 a, b = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
                 enough = similarity / (1 + similarity) * (x["size"][a] + x["size"][b]) - 1e-9
                 keep = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64) >= enough
-                found.append(np.stack([x["row"][a[keep]], x["row"][b[keep]]], axis=1))
+                a, b = a[keep], b[keep]
+                earlier = ((firsts[a][:, :, None] == firsts[b][:, None]) & (firsts[a] < k)[:, :, None]).any(axis=(1, 2))
+                found.append(np.stack([x["row"][a[~earlier]], x["row"][b[~earlier]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -294,7 +309,7 @@ def _keys(texts: DataFrame, nodes: DataFrame, hot: DataFrame | None, similarity:
     """(k, row, label, size): the elements of each node's prefix, drawn without the hot ones (row, k) that are known of it."""
     facts = nodes.select("row", "label", F.lit(None).cast("bigint").alias("k"))
     if hot is not None:
-        facts = facts.union(hot.select("row", F.lit(None).cast("bigint"), "k"))
+        facts = facts.union(hot.select("row", F.lit(0).cast("bigint"), "k"))  # with nulls labels would be read as floats
     folder = _beside(facts.select("row", F.coalesce("k", F.lit(0)).alias("lo"), "label", F.col("k").isNotNull().alias("hot")))
 
     def rows(row, text, found):
@@ -336,7 +351,8 @@ def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes,
         more = _next(texts, first, similarity, hashes).join(hot, "k", "left_semi").select("row", "k")
         pairs, crowded = met(_keys(texts, nodes, cut_table(first.union(more)), similarity, hashes))
         if not crowded.isEmpty():
-            sketches = _over(texts, _beside(crowded.select(F.col("a").alias("row")).distinct()), lambda row, text, _: (row, sketch(hashes(text))), "row bigint, sketch binary", True)
+            own = _beside(crowded.select(F.col("a").alias("row"), F.col("k").alias("lo")))
+            sketches = _over(texts, own, lambda row, text, found: (row, sketch(hashes(text)), _firsts(found["lo"])), "row bigint, sketch binary, firsts binary", True)
             pairs = pairs.union(_blockwise(crowded, sketches, similarity, block))
     pairs = cut_table(pairs.distinct())
     release(pairs.sparkSession)

@@ -79,6 +79,12 @@ def test_apportion_is_highest_quotients(spark):
         assert got == {k: won[k] for k in range(len(votes))}
 
 
+def test_mixing_plan_stays_small(spark):
+    """The apportionments are read back, not worked out again wherever they are used."""
+    plan = mixing.mix(cases.docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12
+
+
 def test_resample(spark):
     docs = cases.docs(spark)
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).where("doc_id is not null and doc_id <> 4 and doc_id <> 5").collect()}

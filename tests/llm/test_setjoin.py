@@ -81,6 +81,18 @@ def test_sketches_bound_what_sets_share():
     assert setjoin.sketch(np.arange(1 << 16) << 8) == b"" and len(setjoin.sketch(np.empty(0, np.int64))) == 2 * setjoin.BUCKETS
 
 
+def test_crowded_elements_hand_a_pair_on_once(spark):
+    """Rows meet at each of their 50 common elements; the pair comes from one of them."""
+    rnd = random.Random(6)
+    common = [rnd.randrange(-(1 << 62), 1 << 62) for _ in range(50)]
+    sets = {r: np.array(sorted(common + [rnd.randrange(-(1 << 62), 1 << 62) for _ in range(rnd.randrange(3))])) for r in range(20)}
+    over = spark.createDataFrame([(r, None, int(k), r, len(e)) for r, e in sets.items() for k in e], setjoin.SCHEMA)
+    rows = [(r, setjoin.sketch(e), *([setjoin._firsts(e)] if hasattr(setjoin, "_firsts") else [])) for r, e in sets.items()]
+    sketches = spark.createDataFrame(rows, "row bigint, sketch binary" + ", firsts binary" * (len(rows[0]) - 2))
+    got = sorted(tuple(r) for r in setjoin._blockwise(over, sketches, 0.8, 6).collect())
+    assert got == list(combinations(range(20), 2))
+
+
 def test_fine_sketches_keep_what_is_similar(spark):
     """Large sets on both sides of a number of buckets, beside small ones: similar pairs stay, unlike ones of large sets go."""
     rnd = np.random.default_rng(4)
