@@ -39,13 +39,15 @@ def _lowered(text: Column) -> Column:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of rows (lang, source, text): occurrences, and documents that have the term. A
-    document's terms are sorted, so the first of equal ones stands for the document."""
-    found = rows.select(*GROUP, F.sort_array(F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
+    """(l, g, term, n, docs) of rows (l, g, text): occurrences, and documents that have the term. A document's terms are
+    sorted, so of a run of equal ones only its two ends are counted: where it ends, less where it starts."""
+    found = rows.select("l", "g", F.sort_array(F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
     # Before an inner explode the optimizer would filter by the array's size, and work out every array twice.
-    each = found.select(*GROUP, "terms", F.posexplode_outer("terms").alias("at", "term")).where("term is not null")
-    new = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    return each.groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(new, F.lit(1)).otherwise(0).cast("bigint")).alias("docs"))
+    each = found.select("l", "g", "terms", F.posexplode_outer("terms").alias("at", "term")).where("term is not null")
+    other = lambda step: F.coalesce(F.get("terms", F.col("at") + step) != F.col("term"), F.lit(True))
+    ends = each.select("l", "g", "term", "at", other(-1).alias("starts"), other(1).alias("ends")).where("starts or ends")
+    of_end, of_start = F.expr("if(ends, at + 1L, 0L)"), F.expr("if(starts, cast(at as bigint), 0L)")
+    return ends.groupBy("l", "g", "term").agg(F.sum(of_end - of_start).alias("n"), F.sum(F.expr("if(starts, 1L, 0L)")).alias("docs"))
 
 
 def _share(n: str, total: str, scale: int) -> Column:
@@ -60,7 +62,7 @@ def _value(p: str, q: str) -> Column:
 
 def _ranked(rows: DataFrame, part: str, most: int | None = None) -> DataFrame:
     """With a limit, each task passes on no more than that many rows of a group."""
-    place = F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("value"), "item"))
+    place = F.row_number().over(W.partitionBy("g").orderBy(F.desc("value"), "item"))
     ranked = rows.withColumn("rank", place)
     return (ranked if most is None else ranked.where(F.col("rank") <= most)).select(*GROUP, F.lit(part).alias("part"), "item", "value", "rank")
 
@@ -70,29 +72,33 @@ def audit(docs: DataFrame, min_docs: int = 3, top_terms: int = 200, scale: int =
     language, part `term` the terms that a source has more of than its language, at most `top_terms`."""
     given = Columns(docs)
     rows = given.rows.select(*[F.coalesce(F.col(given[c]).cast("string"), F.lit("")).alias(c) for c in (*GROUP, "text")])
-    of_term = W.partitionBy("lang", "term")
-    sums = counted(rows).withColumns({"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term), "least": F.min("source").over(of_term)})
-    kept = cut_table(sums.where(F.col("lang_docs") >= min_docs).select(*GROUP, "term", "n", "lang_n", (F.col("source") == F.col("least")).alias("is_first")))
-    vocabulary = kept.where("is_first").select("lang", "term", "lang_n")
+    # Numbers stand for groups, g, and languages, l, in what is counted and joined. This pass reads no texts.
+    numbers = cut_table(rows.select(*GROUP).distinct().withColumn("g", F.monotonically_increasing_id()))
+    numbers = numbers.withColumn("l", F.min("g").over(W.partitionBy("lang")))
+    of_term = W.partitionBy("l", "term")
+    sums = counted(rows.join(F.broadcast(numbers), GROUP).select("l", "g", "text"))
+    sums = sums.withColumns({"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term), "least": F.min("g").over(of_term)})
+    kept = cut_table(sums.where(F.col("lang_docs") >= min_docs).select("l", "g", "term", "n", "lang_n", (F.col("g") == F.col("least")).alias("is_first")))
+    vocabulary = kept.where("is_first").select("l", "term", "lang_n")
 
     # A row for each group, with the sums that its shares need.
-    languages = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"))
-    groups = rows.select(*GROUP).distinct().join(totals, GROUP, "left").join(languages, "lang", "left")
+    languages = vocabulary.groupBy("l").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
+    totals = kept.groupBy("g").agg(F.sum("n").alias("total"))
+    groups = numbers.join(totals, "g", "left").join(languages, "l", "left")
     groups = cut_table(groups.na.fill(0, ["total", "kept", "lang_total"]))
 
-    salted = groups.select(*GROUP, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    crossed = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(salted, ["lang", "salt"])
-    zeros = crossed.select("lang", "term", "source", F.lit(0).cast("bigint").alias("n"))
+    salted = groups.select("l", "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    crossed = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(salted, ["l", "salt"])
+    zeros = crossed.select("l", "term", "g", F.lit(0).cast("bigint").alias("n"))
     # The sums need no shuffle of their own, nor does the self-join: rows already lie by language and term.
-    cells = zeros.union(kept.select("lang", "term", "source", "n")).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    shares = cells.join(groups.select(*GROUP, "total", "kept"), GROUP).select("lang", "term", "source", _share("n", "total", scale).alias("p"))
-    other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = shares.join(other, ["lang", "term"]).where("source <> item")
-    sums = met.groupBy(*GROUP, "item").agg(F.sum(_value("p", "q")).alias("value"))
-    all_pairs = groups.select(*GROUP).join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = all_pairs.join(sums, [*GROUP, "item"], "left").na.fill(0, ["value"])
-
-    own = kept.where("n > 0").join(groups, GROUP).select(*GROUP, F.col("term").alias("item"), _share("n", "total", scale).alias("p"), _share("lang_n", "lang_total", scale).alias("q"))
-    terms = own.where("p > q").select(*GROUP, "item", _value("p", "q").alias("value"))
+    cells = zeros.union(kept.select("l", "term", "g", "n")).repartition("l", "term").groupBy("l", "term", "g").agg(F.sum("n").alias("n"))
+    shares = cells.join(groups.select("g", "total", "kept"), "g").select("l", "term", "g", _share("n", "total", scale).alias("p"))
+    other = shares.select("l", "term", F.col("g").alias("h"), F.col("p").alias("q"))
+    met = shares.join(other, ["l", "term"]).where("g <> h")
+    sums = met.groupBy("g", "h").agg(F.sum(_value("p", "q")).alias("value"))
+    all_pairs = groups.select(*GROUP, "g", "l").join(groups.select("l", F.col("g").alias("h"), F.col("source").alias("item")), "l").where("g <> h")
+    pairs = all_pairs.join(sums, ["g", "h"], "left").na.fill(0, ["value"])
+
+    own = kept.where("n > 0").join(groups.drop("l"), "g").select(*GROUP, "g", F.col("term").alias("item"), _share("n", "total", scale).alias("p"), _share("lang_n", "lang_total", scale).alias("q"))
+    terms = own.where("p > q").select(*GROUP, "g", "item", _value("p", "q").alias("value"))
     return _ranked(pairs, "pair").union(_ranked(terms, "term", top_terms))

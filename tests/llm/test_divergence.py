@@ -57,6 +57,13 @@ def test_options_and_ties(spark):
         assert rows_of(divergence.audit(df, **{"top" if k == "top" else k: v for k, v in options.items()})) == want
 
 
+def test_counts_by_runs(spark):
+    """Of a document's equal terms two at most are counted one by one; plans join and sum by numbers of groups."""
+    rows = [(0, 0, "b a a a A c c"), (0, 0, "a a"), (0, 1, "a"), (2, 2, "a a a b"), (2, 2, None), (2, 3, "1 2")]
+    got = divergence.counted(spark.createDataFrame(rows, "l bigint, g bigint, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, "a", 6, 2), (0, 0, "b", 1, 1), (0, 0, "c", 2, 1), (0, 1, "a", 1, 1), (2, 2, "a", 3, 1), (2, 2, "b", 1, 1)]
+
+
 def test_large_counts(spark):
     """Beyond 64 bits the share is worked out in decimals."""
     df = spark.createDataFrame([(5 * 10**12, 9 * 10**12, 3), (4, 11, 3), (4_611_686_017, 5 * 10**9, 7), (4_611_686_019, 5 * 10**9, 7)], "n bigint, total bigint, kept bigint")
