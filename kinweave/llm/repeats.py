@@ -38,6 +38,7 @@ place in the files; it doesn't depend on how a job splits the input.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,8 +48,8 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import Beside, Columns, beside, cut_table, join_salted, stored
 from kinweave.llm.substrings import Hashed, anchors, mix
 
-#: Positions that a task compares among themselves before it passes them on.
-BATCH_WINDOWS = 1 << 20
+#: Positions that a task compares among themselves before it passes them on; a task takes some 250 bytes for each.
+BATCH_WINDOWS = 1 << 18
 
 
 def settle(first_key: np.ndarray, second_key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,8 +90,14 @@ def _settled(row, at, lo, hi, key, g, n, length: int):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in [*arrays, np.full(len(arrays[0]), length)]], names=NAMES)
 
 
-def _gathered(items: list[tuple], length: int):
-    return _settled(*(np.concatenate(x) for x in zip(*items, strict=True)), length)
+def _let_go(held: Sequence[list[tuple]], first: int = 0):
+    """One batch of rows for each list of items, under lengths first, first + 1, …; a list is empty when its batch is passed on."""
+    for length, items in enumerate(held, first):
+        columns = [np.concatenate(x) for x in zip(*items, strict=True)]
+        items.clear()
+        batch = _settled(*columns, length)
+        del columns
+        yield batch
 
 
 def _grams(length: int, gram: int):
@@ -178,10 +185,10 @@ def _sides(length: int, gram: int, contexts: str):
                     held[side].append((np.full(len(b), row), b, lo, lo, h.at(b, gram + half).view(np.int64), g ^ side, np.ones(len(b), np.int64)))
                 count += len(c["lo"])
                 if count >= BATCH_WINDOWS:
-                    yield from (_gathered(x, side) for side, x in enumerate(held))
-                    held, count = ([], []), 0
+                    yield from _let_go(held)
+                    count = 0
         if count:
-            yield from (_gathered(x, side) for side, x in enumerate(held))
+            yield from _let_go(held)
 
     return run
 
@@ -231,10 +238,10 @@ def _windows(length: int, base: int, gram: int, contexts: str, sides: str, lower
                 held.append((np.full(len(s), row), s, s, s, _ranks(h, s, length, base).view(np.int64), c["g"][of] & 0xFFFFFFFF, c["n"][of]))
                 count += len(s)
             if count >= BATCH_WINDOWS:
-                yield _gathered(held, length)
-                held, count = [], 0
+                yield from _let_go([held], length)
+                count = 0
         if count:
-            yield _gathered(held, length)
+            yield from _let_go([held], length)
 
     return run
 

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinweave.llm import classifier, common, eliasfano, license, lm, pii, query_topk, repeats, topk
@@ -215,6 +217,21 @@ def test_repeats(spark, monkeypatch):
     df.unpersist()
 
 
+def test_repeats_memory(monkeypatch):
+    """However many open positions a task meets, it holds a bounded number of them."""
+    n, column = 20_000, lambda *x: np.array(x, np.int64)
+    whole = {"at": column(0), "lo": column(0), "hi": column(n - 400), "g": column(1), "n": column(1)}
+    monkeypatch.setattr(repeats, "Beside", type("Everywhere", (), {"__init__": lambda self, uri: None, "of": lambda self, row: whole}))
+    rnd = np.random.default_rng(2)
+    texts = [bytes(rnd.integers(97, 123, n, dtype=np.uint8)).decode() for _ in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(texts)], names=["row", "text"])
+    tracemalloc.start()
+    out = sum(x.num_rows for x in repeats._windows(400, 200, 80, "", "", "lower")([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out > 80 * (n - 800) and most < 120e6
+
+
 def test_repeats_edges(spark):
     rows = [(r[0], r[1]) for r in cases.rows()]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
