@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import append, cut_table, own_dir
+from kinweave.llm.common import append, cut_table, give_back, lean, own_dir
 
 # Fixed value: the pattern that splits a text before byte-pair merges, as the vocabulary's pre-tokenizer has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,7 +114,9 @@ def _plain_engine(path: str):
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    give_back()  # what reading the file took
+    return made
 
 
 @lru_cache(1)
@@ -325,11 +327,11 @@ def _own_ids(path: str, bits: int, uri: str):
 def share_chunks(texts: DataFrame, path: str, bits: int) -> str:
     """Encodes each chunk that several tasks over texts (a column text) have once; the URI of what each is dealt."""
     of_chunk = W.partitionBy("h")
-    listed = texts.mapInArrow(_hashes(path, bits), "t int, h bigint")
+    listed = texts.mapInArrow(lean(_hashes(path, bits)), "t int, h bigint")
     listed = listed.withColumns({"n": F.count(F.lit(1)).over(of_chunk), "owner": F.min(F.struct(F.xxhash64("h", "t"), "t")).over(of_chunk)["t"]})
     shared = cut_table(listed.where("n > 1").select("t", "h", "owner"))
     own = _deal(shared.where("t = owner").select("t", "h"))
-    made = texts.mapInArrow(_own_ids(path, bits, own), "h bigint, ids array<int>")
+    made = texts.mapInArrow(lean(_own_ids(path, bits, own)), "h bigint, ids array<int>")
     return _deal(shared.select("t", "h").join(made, "h").select("t", "h", "ids"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -87,6 +88,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hand the memory that this process has freed back to the machine. A Python worker goes on to the tasks of other
+    steps, and would keep what the largest of its tasks needed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run, a function for mapInArrow, with its memory handed back when a task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute the rows once and keep them in the shared folder, so that a lost executor loses nothing."""
     spark = df.sparkSession
@@ -121,7 +145,7 @@ def append(df: DataFrame, schema: str, make: Callable[[], Callable[[list], list]
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(apply(piece.column(at).to_pylist()), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *added.names])
 
-    return given.back(given.rows.mapInArrow(run, out), {n: F.col(n) for n in added.names})
+    return given.back(given.rows.mapInArrow(lean(run), out), {n: F.col(n) for n in added.names})
 
 
 def cut_table(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Beside, beside, cut_files, cut_table, delete, join_salted, release
+from kinweave.llm.common import Beside, beside, cut_files, cut_table, delete, join_salted, lean, release
 
 COLUMNS = ["k", "row", "label", "size"]
 SCHEMA = "a bigint, b bigint, k bigint, label bigint, size bigint"
@@ -51,7 +51,7 @@ def _between(x: dict, y: dict, similarity: float, rows: int = 1 << 20):
         yield left["row"][i, 0], y["row"][j]
 
 
-def _meet(similarity: float, few: int, most: int, chunk: int = 1 << 18):
+def _meet(similarity: float, few: int, most: int, chunk: int = 1 << 17):
     """Pairs of rows that share an element, for rows that come sorted by it. Where an element's pairs are too many, its
     rows pass through instead, with b null."""
 
@@ -194,7 +194,7 @@ def _over(texts: DataFrame, uri: str, rows, schema: str, whole: bool = False) ->
                     columns = [pa.array(c if whole else np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def _beside(rows: DataFrame) -> str:
@@ -282,7 +282,7 @@ def possible(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> D
     either = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
     folder = cut_files(_over(texts, _beside(either.distinct()), lambda row, text, _: (row, sketch(hashes(text))), "row bigint, sketch binary", True))
     sketches = pairs.sparkSession.read.schema("row bigint, sketch binary").parquet(folder)
-    return _kept(_ends(pairs, sketches, "sketch").select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint"), folder)
+    return _kept(_ends(pairs, sketches, "sketch").select("a", "b", "of_a", "of_b").mapInArrow(lean(run), "a bigint, b bigint"), folder)
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similarity: float, hashes) -> DataFrame:
@@ -340,7 +340,7 @@ def missing_pairs(texts: DataFrame, nodes: DataFrame, similarity: float, hashes,
     text) has the rows' texts; hashes: gives the different elements of a text, sorted."""
 
     def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_meet(similarity, few, most), SCHEMA))
+        found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(lean(_meet(similarity, few, most)), SCHEMA))
         release(found.sparkSession)
         return found.where("b is not null").select("a", "b"), found.where("b is null")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import golay, setjoin
-from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, stored
+from kinweave.llm.common import Beside, Columns, append, beside, cut_table, join_hot, lean, stored
 from kinweave.llm.components import components
 
 #: Segments as (shift, bits).
@@ -131,7 +131,7 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(o)], names=["k", "f"])
 
 
-def _emit_links(words: list[str], name: str, distance: int, most: int, small: int, both_ways: bool, chunk: int = 1 << 19):
+def _emit_links(words: list[str], name: str, distance: int, most: int, small: int, both_ways: bool, chunk: int = 1 << 17):
     """A task's rows come sorted by key. Whole runs are worked off in chunks; a run over `most` passes
     through with its key for the second round."""
 
@@ -198,7 +198,7 @@ def links_by_key(keys: DataFrame, words: list[str], name: str, distance: int, mo
     """(a, b): links among rows of equal k, named by a column, whose fingerprints in `words` differ in at most
     `distance` bits; enough of them to connect what all such links connect within a k (see links_in)."""
     schema = ", ".join(f"{c} bigint" for c in [*NAMES_LINK, *[f"w{i}" for i in range(len(words))]])
-    found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(_emit_links(words, name, distance, most, small, both_ways), schema))
+    found = cut_table(keys.repartition("k").sortWithinPartitions("k").mapInArrow(lean(_emit_links(words, name, distance, most, small, both_ways)), schema))
     links, over = found.where("k is null").select("a", "b"), found.where("k is not null")
     return links if over.isEmpty() else links.union(_blockwise(over, len(words), distance, most))
 
@@ -304,7 +304,7 @@ def _chosen(uri: str):
 def similar(texts: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int = 1 << 16) -> DataFrame:
     """(a, b): links between nodes (row, f0, f1, codes), by rows of texts (row, text), that are similar: the
     different shingles that both have are at least this share of those that either has."""
-    candidates = links_by_key(nodes.mapInArrow(_wide_keys, "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most, small=8, both_ways=True)
+    candidates = links_by_key(nodes.mapInArrow(lean(_wide_keys), "k bigint, f0 bigint, f1 bigint, row bigint"), ["f0", "f1"], "row", REACH, most, small=8, both_ways=True)
     pairs = cut_table(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     return setjoin.verified(texts, pairs, similarity, _elements(width))
 
@@ -349,4 +349,4 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, number=
     labels = similar_groups(rows.select("row", text.alias("text")), nodes, similarity, width, few)
     grouped = nodes.select("row", "place").join(labels, "row")
     kept = grouped.groupBy("label").agg(F.min("place").alias("place")).select("place.row", F.lit(0).cast("bigint").alias("lo"))
-    return given.back(rows.mapInArrow(_chosen(beside(kept)), rows.schema))
+    return given.back(rows.mapInArrow(lean(_chosen(beside(kept))), rows.schema))
